@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from weft.llm import mixing, packing
 from weft.llm import quality_rules as rules
-from weft.llm.tables import table
+from weft.session import table
+
+
+def word_bpe() -> str:
+    """The installed tokenizer file that the packing query counts with."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
 def op10_quality_rules(spark, sf_dir):
@@ -59,5 +73,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_mixing": op3_mixing, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op10_quality_rules": _op10_sql()}
