@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing
+from weft.llm import mixing, packing, substring_dedup
 from weft.llm import quality_rules as rules
 from weft.session import table
 
@@ -14,6 +14,32 @@ def word_bpe() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
+
+
+_OP2_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - {substring_dedup.SPAN - 2})) AS i, ws FROM d WHERE len(ws) >= {substring_dedup.SPAN}
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + {substring_dedup.SPAN - 1}], ' ')) AS k FROM s
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS m FROM k
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM m, range(0, {substring_dedup.SPAN}) AS o(j) WHERE m < doc_id
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -73,5 +99,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": _op10_sql()}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
+ORACLES = {"op2_substring_dedup": _OP2_SQL, "op10_quality_rules": _op10_sql()}
