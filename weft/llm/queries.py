@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weft.llm import mixing, packing, substring_dedup
+from pyspark.sql import functions as F
+
+from weft.llm import mixing, packing, substring_dedup, suffix_dedup
 from weft.llm import quality_rules as rules
 from weft.session import table
 
@@ -48,6 +50,12 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_quality_rules(spark, sf_dir):
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -99,5 +107,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op2_substring_dedup": _OP2_SQL, "op10_quality_rules": _op10_sql()}
