@@ -19,8 +19,9 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weft.llm.tables import stored
+from weft.session import stored
 
 MARGINS = ("source", "lang", "topic")
 NONE = "?"
@@ -33,7 +34,7 @@ MOST_DRIVER_CELLS = 100_000
 SEED = 17
 
 
-@F.pandas_udf("struct<n_tokens long, topic string>")
+@F.pandas_udf(T.StructType().add("n_tokens", "long").add("topic", "string"))
 def _traits(text: pd.Series) -> pd.DataFrame:
     rows = []
     for t in text:
