@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame, span: int) -> DataFrame:
 def later_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, h and the starts of all windows that occur before, as an array."""
     found = stored(fingerprints(docs, span), "lines")
-    shared = found.groupBy("a").agg(F.min("wh").alias("w0"), F.count("*").alias("n")).filter("n > 1").select("a")
+    # tables of keys are written before they are joined: a join of two plain shuffles can split a hot key
+    shared = stored(found.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "shared")
     place = F.struct("doc_id", "h", "lo")
     met = found.join(shared, "a")
-    first = met.groupBy("a", "wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "wh", "first")
+    first = stored(met.groupBy("a", "wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("a", "wh", "first"), "first")
     return met.join(first, ["a", "wh"]).filter(place > F.col("first")).groupBy(*KEY).agg(F.collect_list("lo").alias("found"))
 
 

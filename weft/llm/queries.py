@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import mixing, packing, substring_dedup, suffix_dedup
+from weft.llm import line_dedup, mixing, packing, substring_dedup, suffix_dedup
 from weft.llm import quality_rules as rules
 from weft.session import table
 
@@ -46,6 +46,31 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_OP4_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, p, trim(raw, E' \t\n\r\x0b\x0c') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE trim(raw, E' \t\n\r\x0b\x0c') <> ''
+), w AS (
+  SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {line_dedup.SPAN - 1} FOLLOWING) AS x FROM f
+), m AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS nth FROM w WHERE len(x) = {line_dedup.SPAN}
+), gone AS (
+  SELECT DISTINCT f.doc_id, f.p FROM m JOIN f ON f.doc_id = m.doc_id AND f.i BETWEEN m.i AND m.i + {line_dedup.SPAN - 1} WHERE nth > 1
+), kept AS (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY p) AS t FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id) USING (doc_id)"""
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -107,5 +132,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op2_substring_dedup": _OP2_SQL, "op10_quality_rules": _op10_sql()}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLES = {"op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_quality_rules": _op10_sql()}
