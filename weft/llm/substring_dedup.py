@@ -94,8 +94,9 @@ def _windows(texts: DataFrame, first: DataFrame, span: int) -> DataFrame:
 def repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Runs of windows to remove: doc_id, h, lo, n and offs (null: the whole run, else the offsets of its windows)."""
     runs = stored(seeds(texts, span, gram), "seeds")
+    # tables of keys are written before they are joined: a join of two plain shuffles can split a hot key
     group = runs.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    shared = group.filter("low < high").select("a", "low", (F.col("c0") != F.col("c1")).alias("many"))
+    shared = stored(group.filter("low < high").select("a", "low", (F.col("c0") != F.col("c1")).alias("many")), "shared")
     met = runs.join(shared, "a")
     alone = met.filter("not many and doc_id > low").select(*KEY, "lo", "n", F.lit(None).cast("array<int>").alias("offs"))
 
@@ -103,9 +104,9 @@ def repeats(texts: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     classes = many.groupBy("a", "c").agg(F.min(F.struct("doc_id", "h", "lo", "n")).alias("x"))
     first = classes.select("a", "c", F.col("x.doc_id").alias("m"), "x.*")
     windows = stored(_windows(texts, first, span), "windows")
-    least = windows.groupBy("a", "wh").agg(F.min("m").alias("least"), F.max("m").alias("most")).filter("least < most").select("a", "wh", "least")
+    least = stored(windows.groupBy("a", "wh").agg(F.min("m").alias("least"), F.max("m").alias("most")).filter("least < most").select("a", "wh", "least"), "least")
     later = windows.join(least, ["a", "wh"]).filter("m > least").groupBy("a", "c").agg(F.collect_list("off").alias("offs"))
-    verdict = first.select("a", "c", "m").join(later, ["a", "c"], "left")
+    verdict = stored(first.select("a", "c", "m").join(later, ["a", "c"], "left"), "verdict")
     judged = many.join(verdict, ["a", "c"]).select(*KEY, "lo", "n", F.when(F.col("doc_id") > F.col("m"), F.lit(None)).otherwise(F.coalesce("offs", F.array().cast("array<int>"))).alias("offs"))
     return alone.unionByName(judged.filter("offs is null or size(offs) > 0"))
 

@@ -261,8 +261,9 @@ def _counted(rows: DataFrame, span: int) -> DataFrame:
 def repeats(texts: DataFrame, span: int = SPAN, step: int = STEP, most_group: int = MOST_GROUP) -> DataFrame:
     """Runs of strings to remove: doc_id, h, lo, n and offs (null: the whole run, else the offsets of its strings)."""
     runs = stored(seeds(texts, span, step), "seeds")
+    # tables of keys are written before they are joined: a join of two plain shuffles can split a hot key
     group = runs.groupBy("a").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    shared = group.filter("k > 1").select("a", (F.col("c0") != F.col("c1")).alias("many"))
+    shared = stored(group.filter("k > 1").select("a", (F.col("c0") != F.col("c1")).alias("many")), "shared")
     met = runs.join(shared, "a")
     alone = met.filter("not many").select(*KEY, "lo", "n", F.lit(None).cast("array<int>").alias("offs"))
 
@@ -277,7 +278,7 @@ def repeats(texts: DataFrame, span: int = SPAN, step: int = STEP, most_group: in
     else:
         later = sort_groups(cut.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a"), span)
         later = later.unionByName(_counted(cut.join(large, "a", "left_semi").select(*cut.columns), span))
-    verdict = cut.select("a", "c", "k").join(later, ["a", "c"], "left")
+    verdict = stored(cut.select("a", "c", "k").join(later, ["a", "c"], "left"), "verdict")
     judged = many.join(verdict, ["a", "c"]).select(*KEY, "lo", "n", F.when(F.col("k") > 1, F.lit(None)).otherwise(F.coalesce("offs", F.array().cast("array<int>"))).alias("offs"))
     return alone.unionByName(judged.filter("offs is null or size(offs) > 0"))
 
