@@ -12,29 +12,38 @@ often as they occur; rows with a null id are packed with a null id; an empty tab
 
 from __future__ import annotations
 
+import array
 import bisect
+import re
+import sys
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.tables import id_text, stored
+from weft.llm.tables import id_text
+from weft.session import stored
 
 CAPACITY = 2048
 #: The plan is broadcast up to so many slots; a longer one is joined like any table.
 MOST_BROADCAST_SLOTS = 200_000
 #: Words whose ids a worker remembers.
-MOST_CACHED_WORDS = 300_000
+MOST_CACHED_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: A lone full stop or comma between a letter and white space.
+STOP = re.compile(rb"([a-z])([.,])(?=[ \n])")
+
 _encoders: dict = {}
 
 
 class WordEncoder:
-    """Token ids of white-space separated words, as little-endian uint32 bytes.
+    """Token ids of texts by their white-space separated words, as little-endian uint32 bytes.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text are those of its words in turn.
+    The tokenizer lowers case and drops white space, and no token spans it, so the ids of a text are those of its words
+    in turn. ASCII letters are lowered and a single full stop or comma after one is set apart before words are looked
+    up, which the tokenizer would do too; texts that may hold its special tokens, whose case counts, are left as they are.
     """
 
     def __init__(self, path: str):
@@ -45,19 +54,23 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def learn(self, words: set) -> None:
-        import numpy as np
+    def words(self, text: str) -> list:
+        raw = text.encode()
+        return raw.split() if b"<|" in raw else STOP.sub(rb"\1 \2", raw.lower()).split()
 
-        new = [w for w in words if w not in self.known]
+    def learn(self, words: list) -> None:
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
         if len(self.known) + len(new) > MOST_CACHED_WORDS:
             self.known = {}
-            new = list(words)
+            new = list(dict.fromkeys(words))
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = array.array("I", e.ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in e.ids)
 
-    def ids(self, words: list) -> bytes:
+    def ids(self, text: str) -> bytes:
+        words = self.words(text)
+        self.learn(words)
         return b"".join(map(self.known.__getitem__, words)) + b"\0\0\0\0"
 
 
@@ -75,9 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         for batch in batches:
             out: tuple = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (text.as_py() or "").encode().split()
-                enc.learn(set(words))
-                ids = memoryview(enc.ids(words))
+                ids = memoryview(enc.ids(text.as_py() or ""))
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
