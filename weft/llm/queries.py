@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import line_dedup, mixing, packing, substring_dedup, suffix_dedup
+from weft.llm import jaccard_join, line_dedup, mixing, packing, substring_dedup, suffix_dedup
 from weft.llm import quality_rules as rules
 from weft.session import table
 
@@ -16,6 +16,38 @@ def word_bpe() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_jaccard_join(spark, sf_dir):
+    out = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+_OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS s FROM g
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b, c = x.n AND c = y.n AS equal FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c)
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other
+), k AS (
+  SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id
+), m AS (
+  SELECT a, count(*) AS n_links, count(*) FILTER (equal) AS n_copies, min(b) FILTER (equal) AS first FROM l GROUP BY a
+)
+SELECT k.doc_id, class_id, least(k.doc_id, coalesce(first, k.doc_id)) AS copy_id,
+       coalesce(n_copies, 0)::BIGINT AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM k LEFT JOIN m ON m.a = k.doc_id"""
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
 
@@ -132,5 +164,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_quality_rules": _op10_sql()}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_quality_rules": _op10_sql()}
