@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import jaccard_join, line_dedup, mixing, packing, substring_dedup, suffix_dedup
+from weft.llm import jaccard_join, language_id, line_dedup, lm_score, mixing, nearest, packing, substring_dedup, suffix_dedup
 from weft.llm import quality_rules as rules
 from weft.session import table
 
@@ -103,16 +103,32 @@ LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM f GROUP BY doc_id) USING (doc
 LEFT JOIN (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id) USING (doc_id)"""
 
 
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    langs, model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    out = language_id.identify(docs, langs, model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op7_lm_score(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return lm_score.lm_score(table(spark, sf_dir, "documents"), good)
+
+
 def op8_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_nearest(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark, sf_dir):
     out = rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -164,5 +180,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op6_packing": op6_packing, "op8_suffix_dedup": op8_suffix_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_lm_score": op7_lm_score, "op8_suffix_dedup": op8_suffix_dedup, "op9_nearest": op9_nearest, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_quality_rules": _op10_sql()}
