@@ -1 +1,76 @@
-"""sources of the line-network engine."""
+"""Scans of rasters, tables and catalogues, and their sinks."""
+
+from __future__ import annotations
+
+import io
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weft.operators.discovery import has_suffix, stem
+
+#: Suffixes of image files.
+IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".ppm", ".bmp", ".tif", ".tiff"]
+
+
+def list_images(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """(path, length) of the image files below a folder, by path; the files' contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    files = files.filter(has_suffix(F.col("path"), IMAGE_SUFFIXES)).orderBy("path")
+    return files if most is None else files.limit(most)
+
+
+def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, row, col, b, g, r) of PNG and JPEG files, decoded by Spark; grey images have three equal values."""
+    im = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    n, at = F.col("nChannels"), F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1))
+    px = im.withColumn("i", at)
+    byte = lambda k: F.conv(F.hex(F.substring("data", 1, 1)), 16, 10) if k is None else F.conv(F.hex(F.expr(f"substring(data, i * nChannels + 1 + least({k}, nChannels - 1), 1)")), 16, 10).cast("int")
+    return px.select(F.col("origin").alias("path"), F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).cast("int").alias("col"), byte(0).alias("b"), F.when(n == 1, byte(0)).otherwise(byte(1)).alias("g"), F.when(n == 1, byte(0)).otherwise(byte(2)).alias("r"))
+
+
+def array_pixels(spark: SparkSession, folder: str, glob: str = "*.npy") -> DataFrame:
+    """(name, row, col, value, error) of two-dimensional .npy files; a file that cannot be read is one row with its error."""
+
+    def decode(frames):
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                try:
+                    a = np.load(io.BytesIO(content), allow_pickle=False)
+                    if a.ndim != 2 or not a.size or not np.isfinite(a.astype(float)).all():
+                        raise ValueError(f"not a finite, non-empty plane: shape {a.shape}")
+                    r, c = np.indices(a.shape)
+                    yield pd.DataFrame({"name": name, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "value": a.ravel().astype(float), "error": None})
+                except (ValueError, OSError, EOFError) as why:
+                    yield pd.DataFrame({"name": [name], "row": pd.array([None], "Int32"), "col": pd.array([None], "Int32"), "value": [None], "error": [str(why)[:4000]]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    return files.select(stem(F.col("path")).alias("name"), "content").mapInPandas(decode, "name string, row int, col int, value double, error string")
+
+
+def read_review(spark: SparkSession, path, required: list[str]) -> DataFrame:
+    """Review tables (CSV, one or several) as text; a missing column is an error."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return rows
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """A feature table, Parquet or CSV by its suffix, with ids as text."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+
+
+def write_by_config(rows: DataFrame, path: str) -> None:
+    """Parquet, a folder for each config_hash; other configurations stay."""
+    rows.write.mode("append").partitionBy("config_hash").parquet(path)
+
+
+def journal(rows: DataFrame, stage: str, path: str) -> None:
+    """Appends the rows that carry an error to a JSON journal."""
+    bad = rows.filter("error is not null")
+    bad.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.col("name").alias("image_id"), F.lit(stage).alias("stage"), F.substring("error", 1, 4000).alias("message")).write.mode("append").json(path)

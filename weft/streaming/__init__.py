@@ -1 +1,27 @@
-"""streaming of the line-network engine."""
+"""Streaming forms of the journal and of event summaries; the same functions run on batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Counts and sums of each event type by hour, within the time that late rows are waited for."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    g = timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Sessions of each user, parted by gaps."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
+    g = timed.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
+    return g.select("user_id", F.col("s.start").alias("start"), "n")
+
+
+def append_journal(errors: DataFrame, path: str, checkpoint: str):
+    """Appends a stream of error rows to a JSON journal, what is there now and then ends."""
+    return errors.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
