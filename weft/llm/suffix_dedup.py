@@ -44,6 +44,8 @@ STRETCH = 2_000_000
 BATCH = 20_000
 
 _END = -1
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 
 
 def seeds(texts: DataFrame, span: int, step: int) -> DataFrame:
@@ -285,7 +287,7 @@ def repeats(texts: DataFrame, span: int = SPAN, step: int = STEP, most_group: in
 
 def suffix_dedup(docs: DataFrame, span: int = SPAN, step: int = STEP, id_col: str = "doc_id", text_col: str = "text", most_group: int = MOST_GROUP) -> DataFrame:
     """doc_id, n_bytes, spans (the removed runs as [from, to) pairs) and the digest of what is kept, for every row."""
-    texts = keyed(docs, id_col, text_col)
+    texts = keyed(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
     def remove(batches):
         for batch in batches:
@@ -307,4 +309,5 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, step: int = STEP, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "spans", "kept_sha256"])
 
     found = repeats(texts, span, step, most_group)
-    return joined(texts, found, F.struct("lo", "n", "offs")).mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string")
+    out = joined(texts, found, F.struct("lo", "n", "offs")).mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
