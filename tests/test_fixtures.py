@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft import functions as fn
 from weft import sources, streaming
-from weft.operators import discovery, graph, kernels, labels, paths, policies, raster, splits, sweeps
+from weft.operators import discovery, graph, kernels, labels, paths, policies, raster, skeleton_graph, splits, sweeps
 from weft.operators.components import connected_components
 
 
@@ -155,3 +155,44 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted((str(r["hour"]), r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect())
     assert key(spark.table("hourly_out")) == key(streaming.hourly(events))
+
+
+def skeleton(spark, points):
+    n, e, p = skeleton_graph.build(pixels(spark, points))
+    return n.collect(), e.collect(), p
+
+
+def test_straight_line_graph(spark):
+    n, e, _ = skeleton(spark, line((10, 3), (10, 40)))
+    assert sorted(r["type"] for r in n) == ["endpoint", "endpoint"] and len(e) == 1 and not e[0]["is_loop"] and e[0]["length"] > 30
+
+
+def test_y_junction_graph(spark):
+    n, e, _ = skeleton(spark, line((50, 50), (50, 10)) | line((50, 50), (20, 80)) | line((50, 50), (80, 80)))
+    kinds = [r["type"] for r in n]
+    assert kinds.count("endpoint") == 3 and kinds.count("junction") == 1 and sum(r["length"] > 20 for r in e) == 3
+
+
+def test_ring_and_lone_pixel_graph(spark):
+    ring = {(0, c) for c in range(1, 9)} | {(9, c) for c in range(1, 9)} | {(r, 0) for r in range(1, 9)} | {(r, 9) for r in range(1, 9)}
+    n, e, _ = skeleton(spark, ring | {(30, 30)})
+    assert sorted(r["type"] for r in n) == ["isolated", "virtual_loop"] and len(e) == 1 and e[0]["is_loop"]
+
+
+def test_close_junctions_merge(spark):
+    cross = line((5, 20), (40, 20)) | line((19, 20), (19, 2)) | line((22, 20), (22, 38))
+    assert [r["type"] for r in skeleton_graph.node_pixels(pixels(spark, cross), 2).select("node", "type").distinct().collect()].count("junction") == 1
+
+
+def test_greedy_pairs_equal_the_sequential_choice(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = sorted({(1, a, b, float(rng.randint(1, 5))) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.2}, key=lambda r: (r[3], r[1], r[2]))
+    used, want = set(), []
+    for r in pairs:
+        if r[1] not in used and r[2] not in used:
+            want.append((r[1], r[2]))
+            used |= {r[1], r[2]}
+    got = skeleton_graph.greedy_pairs(spark.createDataFrame(pairs, "image long, a long, b long, distance double")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
