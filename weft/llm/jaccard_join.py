@@ -4,7 +4,8 @@ Texts become sets of 5-word shingles; equal sets are one class of copies, joined
 ``COORDINATES`` min-hashes. A repetition splits the sets recursively: a node draws each coordinate with probability
 1 / (threshold * COORDINATES), by a hash of its path, and deals its sets to one child for each value of a drawn
 coordinate, so sets of at least the threshold's similarity meet in one child or more on average. A bucket of at most
-``SMALL`` sets is compared by brute force on sketches of the min-hashes; larger ones go a level deeper. Repetitions go
+``SMALL`` sets, or of half its parent or more (whose sets are alike on average), is compared by brute force on sketches
+of the min-hashes; others go a level deeper. Repetitions go
 on until a pair at the threshold is missed with probability under ``MISS`` (see ``repetitions``).
 
 Sketch pairs only propose; sets that proposals connect are brought together, block by block, and every pair among them is
@@ -44,6 +45,8 @@ DEPTH = 5
 MISS = 1e-4
 #: Share of equal min-hashes from which a pair is proposed: about four standard deviations under the threshold.
 PROPOSED = 0.6
+#: Sketches of one block of a large bucket.
+BLOCK_SKETCHES = 2048
 #: Sets, and shingles in all, of one block in the exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 
@@ -105,20 +108,22 @@ def _drawn(paths: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def children(rows: DataFrame, threshold: float, roots: int = 0) -> DataFrame:
-    """(id, path) of the next level for rows (id, sig[, path]); without paths, of the first level of ``roots`` repetitions."""
+    """(id, path, parent) of the next level for rows (id, sig[, path, size]); without paths, of the first level of
+    ``roots`` repetitions. parent: the size of the node that was split, 0 for a root."""
 
     def split(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
+            sizes = np.zeros(len(ids), np.int64) if roots else batch.column(3).to_numpy()
             starts = [np.full(len(ids), mixed(np.array([r + 1], U))[0]) for r in range(roots)] or [batch.column(2).to_numpy().view(U)]
             for paths in starts:
                 row, k = np.nonzero(_drawn(paths, threshold) if not roots else np.broadcast_to(_drawn(paths[:1], threshold), sig.shape)) if len(ids) else (np.zeros(0, int),) * 2
                 child = mixed(paths[row] ^ mixed((sig[row, k].astype(U) << U(8)) | k.astype(U)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view("i8"))], ["id", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view("i8")), pa.array(sizes[row])], ["id", "path", "parent"])
 
-    columns = ["id", "sig"] if roots else ["id", "sig", "path"]
-    return rows.select(*columns).mapInArrow(split, "id long, path long")
+    columns = ["id", "sig"] if roots else ["id", "sig", "path", "size"]
+    return rows.select(*columns).mapInArrow(split, "id long, path long, parent long")
 
 
 def _groups(keys: np.ndarray):
@@ -205,18 +210,20 @@ def proposals(reps: DataFrame, threshold: float, small: int, depth: int, miss: f
     at = stored(children(reps, threshold, repetitions(threshold, miss)), "paths-1")
     leaves = []
     for level in range(1, depth + 1):
-        sizes = stored(at.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes-{level}")
-        known = at.join(sizes, "path")
-        full = sizes.filter(F.col("size") > small)
-        deeper = level < depth and not full.isEmpty()
-        leaves.append(known.filter(F.col("size") <= small) if deeper else known)
+        counts = at.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).filter("size > 1")
+        # a bucket that keeps half of its parent is of similar sets, which further levels would not part
+        split = (F.col("size") > small) & (F.col("size") * 2 < F.when(F.col("parent") == 0, F.lit(1 << 62)).otherwise(F.col("parent")))
+        sizes = stored(counts.select("path", "size", split.alias("split")), f"sizes-{level}")
+        known = at.select("id", "path").join(sizes, "path")
+        deeper = level < depth and not sizes.filter("split").isEmpty()
+        leaves.append(known.filter("not split") if deeper else known)
         if not deeper:
             break
-        at = stored(children(known.filter(F.col("size") > small).join(reps.select("id", "sig"), "id"), threshold), f"paths-{level + 1}")
+        at = stored(children(known.filter("split").join(reps.select("id", "sig"), "id"), threshold), f"paths-{level + 1}")
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
-    rows = rows.select(F.col("path").alias("bucket"), "id", F.ceil(F.col("size") / F.when(F.col("size") <= small, F.lit(small)).otherwise(F.lit(BLOCK_SETS))).alias("blocks"))
+    rows = rows.select(F.col("path").alias("bucket"), "id", F.ceil(F.col("size") / F.lit(BLOCK_SKETCHES)).alias("blocks"))
     sketches = reps.select("id", "sketch")
     rows = blocked(rows.join(sketches, "id"), "blocks").select("bucket", "side", "id", "sketch")
     return propose(rows.repartition("bucket").sortWithinPartitions("bucket")).distinct()
