@@ -196,3 +196,15 @@ def test_greedy_pairs_equal_the_sequential_choice(spark):
             used |= {r[1], r[2]}
     got = skeleton_graph.greedy_pairs(spark.createDataFrame(pairs, "image long, a long, b long, distance double")).collect()
     assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+
+
+def test_stored_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from weft.session import clear, shared_dir, stored
+
+    assert stored(spark.range(3), "t").count() == 3
+    home = Path(shared_dir(spark).removeprefix("file:")) / f"weft-{spark.sparkContext.applicationId}"
+    assert any(home.iterdir())
+    clear(spark)
+    assert not home.exists()
