@@ -69,3 +69,9 @@ def catalogue(images: DataFrame, prob: DataFrame, masks: DataFrame, labels: Data
 def stale(current: DataFrame, cached: DataFrame) -> DataFrame:
     """Inputs whose signature is not in the cache."""
     return current.join(cached, ["image_id", "signature"], "left_anti")
+
+
+def pairs(truths: DataFrame, predictions: DataFrame, truth_suffix: str, prediction_suffix: str) -> DataFrame:
+    """(name, truth, prediction): files whose names differ in the suffix only; just the end of a name counts."""
+    bare = lambda rows, suffix, out: rows.filter(F.col("path").endswith(suffix)).select(F.expr(f"substring(path, 1, length(path) - {len(suffix)})").alias("name"), F.col("path").alias(out))
+    return bare(truths, truth_suffix, "truth").join(bare(predictions, prediction_suffix, "prediction"), "name")

@@ -159,3 +159,46 @@ def pairs_within(points: DataFrame, radius: float) -> DataFrame:
     q = q.select("image", F.col("point").alias("b"), F.col("row").alias("row2"), F.col("col").alias("col2"), (F.col("gr") + F.col("__o.r")).alias("gr"), (F.col("gc") + F.col("__o.c")).alias("gc"))
     d = F.sqrt(F.pow(F.col("row") - F.col("row2"), F.lit(2.0)) + F.pow(F.col("col") - F.col("col2"), F.lit(2.0)))
     return p.join(q, ["image", "gr", "gc"]).filter("point < b").withColumn("distance", d).filter(F.col("distance") <= radius).select("image", F.col("point").alias("a"), "b", "distance")
+
+
+def node_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Degree of each node and what kind of node that makes it, one column a kind."""
+    d = degrees(edges, nodes)
+    kinds = {"is_isolated": F.col("degree") == 0, "is_endpoint": F.col("degree") == 1, "is_passing": F.col("degree") == 2, "is_junction": F.col("degree") >= 3}
+    return d.select("image", "node", "degree", *(k.cast("int").alias(n) for n, k in kinds.items()))
+
+
+def leaving_angle(path: Column, window: int = 7, reverse: bool = False) -> Column:
+    """The angle in degrees at which a path (an array of row and col) leaves its first pixel, seen over ``window`` pixels."""
+    p = F.reverse(path) if reverse else path
+    far = F.element_at(p, F.least(F.lit(window), F.size(p)))
+    near = F.element_at(p, 1)
+    return F.when(F.size(p) > 1, F.pmod(F.degrees(F.atan2((far["row"] - near["row"]).cast("double"), (far["col"] - near["col"]).cast("double"))), F.lit(360.0)))
+
+
+def shared_pixels(paths: DataFrame) -> DataFrame:
+    """Pixels that several edges hold, with how many."""
+    return paths.groupBy("image", "row", "col").agg(F.countDistinct("edge").alias("edges")).filter("edges > 1")
+
+
+def capped_messages(problems: DataFrame, key: str, message: str, most: int = 20) -> DataFrame:
+    """At most ``most`` messages of each key, the first by text, and how many there were.
+
+    Ranked before they are gathered, so no key's messages are held together in full.
+    """
+    w = Window.partitionBy(key).orderBy(message)
+    few = problems.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most)
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(message)).alias("messages"))
+    return lists.join(problems.groupBy(key).agg(F.count("*").alias("n")), key)
+
+
+def painted(paths: DataFrame, values: DataFrame) -> DataFrame:
+    """(image, row, col, value): the value of the last edge at each pixel; edges without one paint nothing."""
+    at = paths.join(values.select("edge", "value"), "edge")
+    return at.groupBy("image", "row", "col").agg(F.max_by("value", "edge").alias("value"))
+
+
+def class_mask(labelled_pixels: DataFrame, values: DataFrame, ignore: int = 255) -> DataFrame:
+    """Pixels with the class value of the edge they belong to; without an edge or a class they are ignored."""
+    at = labelled_pixels.join(values.select(F.col("seed"), F.col("value").alias("__v")), "seed", "left")
+    return at.select("image", "row", "col", F.coalesce("__v", F.lit(ignore)).alias("value"))

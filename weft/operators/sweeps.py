@@ -77,3 +77,31 @@ def report(at: DataFrame) -> DataFrame:
 
 def accuracy(scored: DataFrame, predicted: str, truth: str) -> DataFrame:
     return scored.agg(F.count_if(F.col(predicted) == F.col(truth)).alias("right"), F.count("*").alias("pixels"))
+
+
+def at_half_of_most(scored: DataFrame, image: str, score: str, truth: str) -> DataFrame:
+    """Precision, recall and F1 of all images together, each cut at half of its own greatest score."""
+    top = scored.groupBy(F.col(image).alias("image")).agg(F.max(score).alias("top"))
+    at = scored.select(F.col(image).alias("image"), F.col(score).alias("s"), F.col(truth).alias("t")).join(top, "image").withColumn("p", F.col("s") > F.col("top") / 2)
+    n = at.agg(F.count_if(F.expr("p and t")).alias("tp"), F.count_if(F.expr("p and not t")).alias("fp"), F.count_if(F.expr("not p and t")).alias("fn"))
+    d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    return n.select("tp", "fp", "fn", F.coalesce(d(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(1.0)).alias("precision"), d(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+
+
+def segment_metrics(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
+    """Share of right pixels, and accuracy and IoU averaged over the classes that occur."""
+    c = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    sides = c.select(F.explode(F.array(F.struct(F.col("t").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("p").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("x"), "n", (F.col("t") == F.col("p")).alias("hit"))
+    k = sides.groupBy("x.k").agg(F.sum(F.col("n") * F.col("x.a")).alias("truths"), F.sum(F.col("n") * F.col("x.b")).alias("guesses"), F.sum(F.when(F.col("hit"), F.col("n") * F.col("x.a")).otherwise(0)).alias("hits"))
+    return k.agg(
+        (F.sum("hits") / F.sum("truths")).alias("accuracy"), F.avg(F.try_divide(F.col("hits").cast("double"), F.col("truths"))).alias("class_accuracy"),
+        F.avg(F.try_divide(F.col("hits").cast("double"), F.col("truths") + F.col("guesses") - F.col("hits"))).alias("mean_iou"),
+    )
+
+
+def soft_losses(rows: DataFrame, image: str, p: str, truth: str, smooth: float = 1.0, least: float = 1e-7) -> DataFrame:
+    """Dice loss and binary cross entropy of each image's probabilities."""
+    t, x = F.col(truth).cast("double"), F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col(p)))
+    return rows.groupBy(F.col(image).alias("image")).agg(
+        (1 - (2 * F.sum(F.col(p) * t) + smooth) / (F.sum(F.col(p)) + F.sum(t) + smooth)).alias("dice_loss"), F.avg(-(t * F.ln(x) + (1 - t) * F.ln(1 - x))).alias("bce")
+    )

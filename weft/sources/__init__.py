@@ -74,3 +74,14 @@ def journal(rows: DataFrame, stage: str, path: str) -> None:
     """Appends the rows that carry an error to a JSON journal."""
     bad = rows.filter("error is not null")
     bad.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.col("name").alias("image_id"), F.lit(stage).alias("stage"), F.substring("error", 1, 4000).alias("message")).write.mode("append").json(path)
+
+
+def write_review(edges: DataFrame, path: str) -> None:
+    """A review table with blank label, confidence and notes for people to fill in."""
+    blank = [F.lit("").alias(c) for c in ("label", "confidence", "notes")]
+    edges.select("image_id", "panel_id", "component_id", "edge_id", *blank, "length_px", "row", "col").write.option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
+
+
+def merge_reviews(spark: SparkSession, paths: list[str], to: str) -> None:
+    """Several review tables as one file."""
+    read_review(spark, paths, ["image_id", "edge_id", "label"]).coalesce(1).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(to)
