@@ -208,3 +208,29 @@ def test_stored_tables_are_cleared(spark):
     assert any(home.iterdir())
     clear(spark)
     assert not home.exists()
+
+
+def test_png_pixels_are_bgr(spark, tmp_path):
+    import struct
+    import zlib as z
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", z.crc32(kind + data))
+
+    rows = b"".join(b"\0" + bytes(px) for px in ([255, 0, 0, 0, 255, 0], [0, 0, 255, 9, 8, 7]))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", z.compress(rows)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    assert sources.list_images(spark, str(tmp_path)).count() == 1
+    got = {(r["row"], r["col"]): (r["b"], r["g"], r["r"]) for r in sources.image_pixels(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): (0, 0, 255), (0, 1): (0, 255, 0), (1, 0): (255, 0, 0), (1, 1): (7, 8, 9)}
+
+
+def test_reviews_are_written_blank_and_merged(spark, tmp_path):
+    rows = spark.createDataFrame([("i", "p", 0, k, 3.0, 1, 1) for k in range(3)], "image_id string, panel_id string, component_id int, edge_id int, length_px double, row int, col int")
+    sources.write_review(rows, str(tmp_path / "a"))
+    sources.write_review(rows, str(tmp_path / "b"))
+    sources.merge_reviews(spark, [str(tmp_path / "a"), str(tmp_path / "b")], str(tmp_path / "c"))
+    merged = sources.read_review(spark, str(tmp_path / "c"), ["image_id", "label"])
+    assert merged.count() == 6 and labels.progress(merged).first()["unlabelled"] == 6
+    with pytest.raises(ValueError):
+        sources.read_review(spark, str(tmp_path / "c"), ["nothing"])

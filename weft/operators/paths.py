@@ -27,9 +27,9 @@ def steps(paths: DataFrame, keys: list[str]) -> DataFrame:
 
 def geometry(paths: DataFrame, keys: list[str]) -> DataFrame:
     """Length, pixels, chord, tortuosity, straightness, distance to the best line, bounding box and its fill."""
-    first, last = (F.struct(F.col("pos"), F.col("row"), F.col("col")) for _ in range(2))
+    place = F.struct("pos", "row", "col")
     g = steps(paths, keys).groupBy(*keys).agg(
-        F.count("*").alias("pixel_count"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length_px"), F.min(first).alias("a"), F.max(last).alias("z"),
+        F.count("*").alias("pixel_count"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("length_px"), F.min(place).alias("a"), F.max(place).alias("z"),
         (F.max("row") - F.min("row") + 1).cast("double").alias("bbox_height"), (F.max("col") - F.min("col") + 1).cast("double").alias("bbox_width"),
         F.var_pop("row").alias("vr"), F.var_pop("col").alias("vc"), F.covar_pop("row", "col").alias("vrc"),
     )

@@ -25,10 +25,9 @@ def list_images(spark: SparkSession, folder: str, most: int | None = None) -> Da
 def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(path, row, col, b, g, r) of PNG and JPEG files, decoded by Spark; grey images have three equal values."""
     im = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    n, at = F.col("nChannels"), F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1))
-    px = im.withColumn("i", at)
-    byte = lambda k: F.conv(F.hex(F.substring("data", 1, 1)), 16, 10) if k is None else F.conv(F.hex(F.expr(f"substring(data, i * nChannels + 1 + least({k}, nChannels - 1), 1)")), 16, 10).cast("int")
-    return px.select(F.col("origin").alias("path"), F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).cast("int").alias("col"), byte(0).alias("b"), F.when(n == 1, byte(0)).otherwise(byte(1)).alias("g"), F.when(n == 1, byte(0)).otherwise(byte(2)).alias("r"))
+    px = im.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
+    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, i * nChannels + 1 + least({k}, nChannels - 1), 1)")), 16, 10).cast("int")
+    return px.select(F.col("origin").alias("path"), F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).cast("int").alias("col"), *(byte(k).alias(c) for k, c in enumerate("bgr")))
 
 
 def array_pixels(spark: SparkSession, folder: str, glob: str = "*.npy") -> DataFrame:
