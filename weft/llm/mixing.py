@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +71,10 @@ def targets(cells: DataFrame, margin: str, given: dict | None = None) -> DataFra
 def _rake_here(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) -> DataFrame:
     frame, spark = cells.toPandas(), cells.sparkSession
     tokens = frame["tokens"].to_numpy("f8")
-    p = pd.Series(keep, index=frame.index, dtype="f8").to_numpy().copy()
+    p = np.full(len(frame), keep)
     shares = {m: frame[m].map(dict(w.toPandas().itertuples(index=False, name=None))).to_numpy("f8") for m, w in wanted.items()}
     goal = keep * tokens.sum()
     codes = {m: frame[m].astype("category").cat.codes.to_numpy() for m in wanted}
-    import numpy as np
-
     for _ in range(ROUNDS):
         old = p.copy()
         for m in wanted:
