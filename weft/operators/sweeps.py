@@ -17,11 +17,6 @@ def histogram(scored: DataFrame, image: str, score: str, truth: str) -> DataFram
     return scored.groupBy(F.col(image).alias("image"), F.col(score).cast("int").alias("level")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
 
 
-def thresholds(spark, step: float = 0.01) -> DataFrame:
-    n = round(1 / step)
-    return spark.range(n).select(F.col("id").cast("int").alias("k"), (F.col("id") * F.lit(float(step))).alias("threshold"))
-
-
 def curve(scored: DataFrame, image: str, score: str, truth: str, top: int = 255, step: float = 0.01) -> DataFrame:
     """image, k, threshold, tp, fp, fn, tn of every image at every threshold."""
     n = round(1 / step)
@@ -29,7 +24,7 @@ def curve(scored: DataFrame, image: str, score: str, truth: str, top: int = 255,
     # a level is above thresholds 0 to last: level > k * step * top
     last = F.least(F.ceil(F.col("level") / F.lit(top * step)) - 1, F.lit(n - 1)).cast("int")
     cells = levels.withColumn("k", last).groupBy("image", "k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    grid = cells.select("image").distinct().crossJoin(F.broadcast(thresholds(scored.sparkSession, step)))
+    grid = cells.select("image").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("threshold", F.col("k") * F.lit(float(step)))
     filled = grid.join(cells, ["image", "k"], "left").na.fill(0, ["pos", "neg"])
     above = Window.partitionBy("image").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     totals = levels.groupBy("image").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
@@ -72,7 +67,7 @@ def best_miou(at: DataFrame) -> DataFrame:
 def report(at: DataFrame) -> DataFrame:
     """One row: independent best F1, precision and recall of the micro curve, with ODS, OIS and the best mIoU."""
     m = micro_curve(at).agg(F.max("f1").alias("f1"), F.max("precision").alias("precision"), F.max("recall").alias("recall"))
-    return m.crossJoin(ods(at).select("ods")).crossJoin(ois(at).select("ois")).crossJoin(best_miou(at))
+    return m.select("*", ods(at).select("ods").scalar().alias("ods"), ois(at).select("ois").scalar().alias("ois"), best_miou(at).scalar().alias("best_miou"))
 
 
 def accuracy(scored: DataFrame, predicted: str, truth: str) -> DataFrame:
