@@ -64,8 +64,8 @@ def targets(cells: DataFrame, margin: str, given: dict | None = None) -> DataFra
         seen = seen.join(wish, margin, "left").select(margin, F.when(F.col("seen") > 0, F.coalesce("wish", F.lit(0.0))).otherwise(0.0).alias("weight"))
     else:
         seen = seen.select(margin, F.pow("seen", F.lit(TEMPERS[margin])).alias("weight"))
-    total = seen.agg(F.sum("weight").alias("total"))
-    return seen.crossJoin(F.broadcast(total)).select(margin, F.coalesce(F.try_divide("weight", "total"), F.lit(0.0)).alias("share"))
+    total = seen.agg(F.sum("weight")).first()[0] or 0.0
+    return seen.select(margin, (F.col("weight") / total if total else F.lit(0.0)).alias("share"))
 
 
 def _rake_here(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) -> DataFrame:
