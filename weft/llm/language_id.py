@@ -75,9 +75,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     large = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
     langs = sorted(large)
-    table = counts.filter(F.col("lang").isin(langs)).toPandas()
+    places = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
+    table = counts.filter(F.col("lang").isin(langs)).select("bucket", places.alias("place"), "n").toArrow()
     n = np.zeros((BUCKETS, len(langs)))
-    n[table["bucket"].to_numpy(), table["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=int)] = table["n"].to_numpy()
+    n[table.column(0).to_numpy(), table.column(1).to_numpy() - 1] = table.column(2).to_numpy()
     return langs, ((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
 
 

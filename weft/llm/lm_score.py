@@ -68,7 +68,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list:
         least, held = n, held + k
     if least is None:
         return []
-    return [bytes(r[0]) for r in words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toLocalIterator()]
+    return words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toArrow().column(0).to_pylist()
 
 
 class Coder:
@@ -111,7 +111,7 @@ def counts(docs: DataFrame, coder) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, "i4")), pa.array(at.astype("i4")), pa.array(sums[kind, 0, at]), pa.array(sums[kind, 1, at])], ["kind", "cell", "target", "background"])
 
     each = docs.select("text", "target").mapInArrow(count, "kind int, cell int, target long, background long")
-    return each.groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return each.groupBy("kind", "cell").agg(F.sum("target").cast("float").alias("target"), F.sum("background").cast("float").alias("background"))
 
 
 class Models:
@@ -121,9 +121,9 @@ class Models:
         self.unigram = np.zeros((2, words + 2))
         self.bigram = np.zeros((2, buckets), np.float32)
         for kind, into in ((0, self.unigram), (1, self.bigram)):
-            part = table[table["kind"] == kind]
-            into[0, part["cell"]] = part["target"]
-            into[1, part["cell"]] = part["background"]
+            at = table["kind"] == kind
+            into[0, table["cell"][at]] = table["target"][at]
+            into[1, table["cell"][at]] = table["background"][at]
         self.context = self.unigram.copy()
         total = self.unigram[:, : words + 1].sum(axis=1, keepdims=True)
         self.unigram = (self.unigram + 1) / (total + words + 1)
@@ -145,7 +145,11 @@ def lm_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     words = vocabulary(texts, size)
     coder = sc.broadcast(Coder(words, buckets))
-    table = counts(texts.join(marks, "doc_id", "left"), coder).toPandas()
+    # two rows a word and one a bucket at most; sums over 2^24 are rounded to floats
+    # ids of target documents grow with the corpus, so they are merged with it, never broadcast
+    arrow = counts(texts.join(marks.hint("merge"), "doc_id", "left"), coder).toArrow()
+    table = {name: arrow.column(name).to_numpy() for name in arrow.column_names}
+    del arrow
     models = sc.broadcast(Models(table, len(words), buckets))
 
     def score(batches):
