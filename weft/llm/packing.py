@@ -29,7 +29,7 @@ CAPACITY = 2048
 #: The plan is broadcast up to so many slots; a longer one is joined like any table.
 MOST_BROADCAST_SLOTS = 200_000
 #: Words whose ids a worker remembers.
-MOST_CACHED_WORDS = 1_000_000
+MOST_CACHED_WORDS = 1_600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: A lone full stop or comma between a letter and white space.
