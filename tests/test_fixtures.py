@@ -234,3 +234,9 @@ def test_reviews_are_written_blank_and_merged(spark, tmp_path):
     assert merged.count() == 6 and labels.progress(merged).first()["unlabelled"] == 6
     with pytest.raises(ValueError):
         sources.read_review(spark, str(tmp_path / "c"), ["nothing"])
+
+
+def test_label_spellings(spark):
+    rows = spark.createDataFrame([(" C ",), ("q",), ("nan",), (None,), ("255",), ("0",), ("2.0",), ("zzz",), ("99",)], "raw string")
+    got = [r[0] for r in rows.select(labels.normalized(F.col("raw"), {1: "crack", 2: "craquelure"})).collect()]
+    assert got == ["crack", "craquelure", "unlabeled", "unlabeled", "uncertain", "unlabeled", "craquelure", None, None]

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Accepted spellings of the classes.
-ALIASES = {"crack": "crack", "cracks": "crack", "craquelure": "craquelure", "craq": "craquelure", "other": "other_line", "other_line": "other_line", "line": "other_line", "uncertain": "uncertain", "unknown": "uncertain", "?": "uncertain"}
+#: Accepted spellings, and the raster values that are no class.
+ALIASES = {
+    "": "unlabeled",
+    "nan": "unlabeled",
+    "none": "unlabeled",
+    "unknown": "uncertain",
+    "uncertain": "uncertain",
+    "ignore": "uncertain",
+    "mixed": "uncertain",
+    "c": "crack",
+    "crack": "crack",
+    "q": "craquelure",
+    "craquelure": "craquelure",
+    "craqueleur": "craquelure",
+    "o": "other_line",
+    "other": "other_line",
+    "other_line": "other_line",
+}
+NO_CLASS = {0: "unlabeled", 255: "uncertain"}
 UNLABELED = "unlabeled"
 
 
 def normalized(raw: Column, values: dict[int, str]) -> Column:
-    """A label from free text: aliases, class numbers (1 or 1.0), blank for unlabeled; NULL if it is none of them."""
+    """A label from free text: a spelling, a class name, or a raster value (1 or 1.0); NULL if it is none of them."""
     text = F.lower(F.trim(F.coalesce(raw.cast("string"), F.lit(""))))
-    names = F.create_map(*(F.lit(x) for kv in ALIASES.items() for x in kv))
-    numbers = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
-    number = F.when(text.rlike(r"^[0-9]+(\.0+)?$"), F.element_at(numbers, F.split(text, r"\.")[0].cast("int")))
-    return F.when((text == "") | (text == UNLABELED), UNLABELED).otherwise(F.coalesce(F.try_element_at(names, text), number))
+    names = F.create_map(*(F.lit(x) for kv in ({v.lower(): v for v in values.values()} | ALIASES | {UNLABELED: UNLABELED}).items() for x in kv))
+    numbers = F.create_map(*(F.lit(x) for kv in (NO_CLASS | values).items() for x in kv))
+    number = F.when(text.rlike(r"^[0-9]{1,9}(\.0+)?$"), F.try_element_at(numbers, F.split(text, r"\.")[0].cast("int")))
+    return F.coalesce(F.try_element_at(names, text), number)
 
 
 def vote(samples: DataFrame, keys: list[str], value: str, least_samples: int = 1, least_purity: float = 0.6) -> DataFrame:

@@ -23,11 +23,11 @@ def _vote(s, d):
 
 def _raw(s, d):
     """Free-text labels made of documents."""
-    raw = F.when(F.col("doc_id") % 6 == 0, " Crack ").when(F.col("doc_id") % 6 == 1, "2").when(F.col("doc_id") % 6 == 2, "").when(F.col("doc_id") % 6 == 3, "craq").when(F.col("doc_id") % 6 == 4, "1.0").otherwise(F.col("lang"))
+    raw = F.when(F.col("doc_id") % 6 == 0, " Crack ").when(F.col("doc_id") % 6 == 1, "2").when(F.col("doc_id") % 6 == 2, "").when(F.col("doc_id") % 6 == 3, "craqueleur").when(F.col("doc_id") % 6 == 4, "1.0").otherwise(F.col("lang"))
     return table(s, d, "documents").select("doc_id", raw.alias("raw"), "n_chars", "source")
 
 
-_RAW = "WITH r AS (SELECT doc_id, n_chars, source, CASE doc_id % 6 WHEN 0 THEN ' Crack ' WHEN 1 THEN '2' WHEN 2 THEN '' WHEN 3 THEN 'craq' WHEN 4 THEN '1.0' ELSE lang END AS raw FROM documents), n AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'crack' WHEN 1 THEN 'craquelure' WHEN 2 THEN 'unlabeled' WHEN 3 THEN 'craquelure' WHEN 4 THEN 'crack' END AS label FROM r) "
+_RAW = "WITH r AS (SELECT doc_id, n_chars, source, CASE doc_id % 6 WHEN 0 THEN ' Crack ' WHEN 1 THEN '2' WHEN 2 THEN '' WHEN 3 THEN 'craqueleur' WHEN 4 THEN '1.0' ELSE lang END AS raw FROM documents), n AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'crack' WHEN 1 THEN 'craquelure' WHEN 2 THEN 'unlabeled' WHEN 3 THEN 'craquelure' WHEN 4 THEN 'crack' END AS label FROM r) "
 
 
 def _normalized(s, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weft.operators.discovery import has_suffix, stem
 
 #: Suffixes of image files.
-IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".ppm", ".bmp", ".tif", ".tiff"]
+IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".ppm", ".bmp"]
 
 
 def list_images(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
