@@ -351,6 +351,31 @@ def test_lm_score_odd_rows(odd):
     assert lm_score.lm_score(odd.limit(0), odd).count() == 0
 
 
+def lm_brute(rows, targets):
+    toks = [lm_score.tokens(t) for _, t in rows]
+    vocab, losses = {w for t in toks for w in t}, []
+    for some in ([t for (k, _), t in zip(rows, toks, strict=True) if k in targets], toks):
+        uni, bi = Counter(w for t in some for w in t), Counter(x for t in some for x in zip([None, *t], t, strict=False))
+        ctx, total = uni + Counter({None: sum(1 for t in some if t)}), sum(uni.values())
+        prob = lambda a, b: lm_score.BIGRAM * (bi[a, b] / ctx[a] if ctx[a] else 0) + (1 - lm_score.BIGRAM) * (uni[b] + 1) / (total + len(vocab) + 1)  # noqa: B023, E731
+        losses.append([-sum(np.log(prob(a, b)) for a, b in zip([None, *t], t, strict=False)) / len(t) if t else None for t in toks])
+    return [(k, len(t), *x) for (k, _), t, *x in zip(rows, toks, *losses, strict=True)]
+
+
+@pytest.mark.parametrize("chunk", [lm_score.CHUNK, 50])
+def test_lm_score_counts_every_word_and_bigram(spark, chunk):
+    n = 140_000 if chunk > 50 else 400  # more words than 2^17
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randrange(9)}" for _ in range(30)) + f" rare{k % 2} w1") for k in range(40)]
+    rows += [(40, " ".join(f"u{k}" for k in range(n))), (41, " ".join(f"u{k}" for k in range(0, n, 2))), (41, "w1 w2"), (41, "w1 w2"), (None, "w3 u5"), (42, None)]
+    targets = {*range(0, 20), 41}
+    df, target = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in targets], "doc_id long")
+    got = lm_score.lm_score(df, target, **({"chunk": chunk} if chunk == 50 else {}))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for g, w in zip(sorted((tuple(r)[:4] for r in got.collect()), key=key), sorted(lm_brute(rows, targets), key=key), strict=True):
+        assert g[:2] == w[:2] and (g[2:] == w[2:] if w[2] is None else np.allclose(g[2:], w[2:], atol=1e-9)), (g, w)
+
+
 def test_vocabulary_is_bounded_by_count(odd):
     assert len(lm_score.vocabulary(odd.select("text"), 5)) <= 5
 
