@@ -198,6 +198,12 @@ def test_greedy_pairs_equal_the_sequential_choice(spark):
     assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
 
 
+def test_greedy_pairs_of_a_line_take_as_many_rounds_as_needed(spark):
+    rows = [(1, k, k + 1, 1.0) for k in range(109)] + [(1, 5, 5, 0.5), (None, 1, 2, 0.5), (1, None, 2, 0.5)]
+    got = skeleton_graph.greedy_pairs(spark.createDataFrame(rows, "image long, a long, b long, distance double")).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(k, k + 1) for k in range(0, 109, 2)]
+
+
 def test_stored_tables_are_cleared(spark):
     from pathlib import Path
 

@@ -69,20 +69,21 @@ def build(skeleton: DataFrame, radius: int = 0) -> tuple[DataFrame, DataFrame, D
     return nodes, edges, paths
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """The pairs (image, a, b, distance) that taking them by (distance, a, b), each point once, would take.
 
     Each round takes every pair that is the first of both its points; the order is total, so this is the same choice.
+    Of the pairs left the first is always taken, so rounds end when none is left. Equal rows are one pair;
+    rows without an image or two points are none.
     """
-    left, taken = stored(pairs.select("image", "a", "b", "distance"), "pairs"), None
-    for _ in range(rounds):
+    pairs = pairs.filter("image is not null and a <> b").select("image", "a", "b", "distance").distinct()
+    left, taken = stored(pairs, "pairs"), None
+    while not left.isEmpty():
         ends = left.select("image", "a", "b", F.struct("distance", "a", "b").alias("k"))
         both = ends.select("image", F.col("a").alias("p"), "k").union(ends.select("image", F.col("b").alias("p"), "k"))
         first = both.groupBy("image", "p").agg(F.min("k").alias("k"))
         won = first.groupBy("image", "k").agg(F.count("*").alias("n")).filter("n = 2").select("image", "k.*")
         won = stored(won.select("image", "a", "b", "distance"), "won")
-        if won.isEmpty():
-            break
         taken = won if taken is None else taken.unionByName(won)
         used = won.select("image", F.explode(F.array("a", "b")).alias("p"))
         left = stored(left.join(used.withColumnRenamed("p", "a"), ["image", "a"], "left_anti").join(used.withColumnRenamed("p", "b"), ["image", "b"], "left_anti").select("image", "a", "b", "distance"), "pairs")
