@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -106,6 +107,15 @@ def test_jaccard_blocks_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == jaccard_brute(rows)
 
 
+def test_jaccard_repetitions_reach_the_deepest_level():
+    kept = 1.0
+    for _ in range(jaccard_join.DEPTH):
+        kept = 1 - (1 - kept / jaccard_join.COORDINATES) ** jaccard_join.COORDINATES
+    least = int(np.ceil(jaccard_join.PROPOSED * 64))
+    tail = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(least))
+    assert (1 - kept) ** jaccard_join.repetitions(0.8, jaccard_join.MISS) + tail <= jaccard_join.MISS
+
+
 def test_jaccard_odd_rows(odd):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == len(ODD)

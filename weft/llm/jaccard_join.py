@@ -43,8 +43,8 @@ SMALL = 256
 DEPTH = 5
 #: A pair at the threshold may be missed with this probability.
 MISS = 1e-4
-#: Share of equal min-hashes from which a pair is proposed: about four standard deviations under the threshold.
-PROPOSED = 0.6
+#: Share of equal min-hashes from which a pair is proposed: about 4.5 standard deviations under the threshold.
+PROPOSED = 0.57
 #: Sketches of one block of a large bucket.
 BLOCK_SKETCHES = 2048
 #: Sets, and shingles in all, of one block in the exact comparison.
@@ -62,17 +62,23 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(Rolling(h).all(min(words, len(h))))
 
 
-def repetitions(threshold: float, miss: float) -> int:
-    """Repetitions until a pair at the threshold is missed with probability under ``miss``.
+def unproposed(threshold: float) -> float:
+    """The chance that the sketches of a pair at the threshold agree too little for a proposal."""
+    return sum(math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(math.ceil(PROPOSED * COORDINATES)))
+
+
+def repetitions(threshold: float, miss: float, depth: int = DEPTH) -> int:
+    """Repetitions until a pair at the threshold is missed with probability under ``miss``, however deep its buckets are split.
 
     At the root each of the coordinates is drawn with probability 1 / (threshold * COORDINATES) and agrees with
     probability ``threshold``: about one draw agrees, and none does with probability (1 - 1 / COORDINATES) ^ COORDINATES.
-    Each level further lets a pair through with at least the fraction that a critical branching process keeps.
+    Each level further lets a pair through with at least the fraction that a critical branching process keeps. What
+    sketches miss is taken off ``miss``, up to half of it.
     """
     kept = 1.0
-    for _ in range(2):
+    for _ in range(depth):
         kept = 1 - (1 - kept / COORDINATES) ** COORDINATES
-    return math.ceil(math.log(miss) / math.log(1 - kept))
+    return math.ceil(math.log(miss - min(unproposed(threshold), miss / 2)) / math.log(1 - kept))
 
 
 def sets(texts: DataFrame, words: int) -> DataFrame:
@@ -207,7 +213,7 @@ def blocked(rows: DataFrame, blocks: str) -> DataFrame:
 
 def proposals(reps: DataFrame, threshold: float, small: int, depth: int, miss: float) -> DataFrame:
     """(src, dst): edges whose components hold every pair at the threshold, but for the chance ``miss``."""
-    at = stored(children(reps, threshold, repetitions(threshold, miss)), "paths-1")
+    at = stored(children(reps, threshold, repetitions(threshold, miss, depth)), "paths-1")
     leaves = []
     for level in range(1, depth + 1):
         counts = at.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).filter("size > 1")
