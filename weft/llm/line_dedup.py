@@ -16,9 +16,11 @@ table gives an empty result; other columns are passed on or not looked at.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,9 @@ from weft.llm.substring_dedup import stretches, word_hashes
 from weft.session import stored
 
 SPAN = 3
-STRETCH = 500_000
+#: Lines hashed at a time, and bytes of text in one batch that goes back to Spark.
+STRETCH = 100_000
+MOST_BYTES = 4_000_000
 BLANK = b" \t\n\r\x0b\x0c"
 
 
@@ -72,42 +76,88 @@ def later_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return met.join(first, ["a", "wh"]).filter(place > F.col("first")).groupBy(*KEY).agg(F.collect_list("lo").alias("found"))
 
 
-@F.pandas_udf(T.StructType().add("n_lines", "long").add("n_removed", "long").add("text", "string"))
-def _cut(text: pd.Series, found: pd.Series, span: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, starts, width in zip(text, found, span, strict=True):
-        if t is None:
-            rows.append((0, 0, None))
-            continue
-        lines = t.split("\n")
-        full = [k for k, x in enumerate(lines) if x.encode().strip(BLANK)]
-        gone = 0
-        if starts is not None:
-            at = np.asarray(starts, np.int64)
-            mask = covered(len(full), at, np.ones(len(at), np.int64), int(width))
-            dead = {full[k] for k in np.flatnonzero(mask)}
-            gone = len(dead)
-            t = "\n".join(x for k, x in enumerate(lines) if k not in dead)
-        rows.append((len(full), gone, t))
-    return pd.DataFrame(rows, columns=["n_lines", "n_removed", "text"])
+def cut_lines(text: str, starts, span: int) -> tuple[int, int, str]:
+    """How many lines a text has, how many of them windows at ``starts`` (numbers of lines that are not blank) delete, and the rest."""
+    if "\n" not in text and starts is None:
+        return int(bool(text.encode().strip(BLANK))), 0, text
+    lines = text.split("\n")
+    full = [k for k, x in enumerate(lines) if x.encode().strip(BLANK)]
+    if starts is None:
+        return len(full), 0, text
+    at = np.asarray(starts, np.int64)
+    dead = {full[k] for k in np.flatnonzero(covered(len(full), at, np.ones(len(at), np.int64), span))}
+    return len(full), len(dead), "\n".join(x for k, x in enumerate(lines) if k not in dead)
+
+
+def slices(texts: pa.Array, most: int = MOST_BYTES):
+    """(from, to) of stretches of a column of texts that hold about ``most`` bytes each, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def _judged(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with a struct __cut of n_lines, n_removed and the text that is left."""
+    """docs with the columns __text, __id and __found: the starts of the windows that go (null: none)."""
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(text)})
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__h": F.xxhash64(text), "__text": text})
     found = later_runs(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), span)
     found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("found").alias("__found"))
-    return keyed.join(found, ["__id", "__h"], "left").withColumn("__cut", _cut.asNondeterministic()(text, "__found", F.lit(span)))
+    return keyed.join(found, ["__id", "__h"], "left")
+
+
+def _cut(docs: DataFrame, span: int, id_col: str, text_col: str, last: str, kept) -> DataFrame:
+    """doc_id, n_lines, n_removed and ``kept`` of what is left, as column ``last``. Batches out are bounded in bytes."""
+
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                rows = [(0, 0, None) if not t.is_valid else cut_lines(t.as_py(), f.as_py(), span) for t, f in zip(part.column(1), part.column(2), strict=True)]
+                lines, gone, rest = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(map(kept, rest), pa.string(), size=len(rest))], ["doc_id", "n_lines", "n_removed", last])
+
+    rows = _judged(docs, span, id_col, text_col).select("__id", "__text", "__found")
+    return rows.mapInArrow(cut, f"doc_id long, n_lines long, n_removed long, {last} string")
 
 
 def line_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left, of every row."""
-    return _judged(docs, span, id_col, text_col).select(F.col("__id").alias("doc_id"), "__cut.*")
+    return _cut(docs, span, id_col, text_col, "text", lambda rest: rest)
+
+
+def line_digest(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As line_dedup, with the SHA-256 of the text that is left (null: of none) in its place, so that no text goes back to Spark."""
+    return _cut(docs, span, id_col, text_col, "kept_sha256", lambda rest: hashlib.sha256((rest or "").encode()).hexdigest())
 
 
 def without_later_runs(docs: DataFrame, span: int = SPAN, text_col: str = "text") -> DataFrame:
-    """docs with later repeated runs deleted from the text; rows that lose their last line go."""
-    cut = _judged(docs, span, "doc_id", text_col).filter("__cut.n_removed = 0 or __cut.n_removed < __cut.n_lines")
-    now = {text_col: F.col("__cut.text")} | ({"n_chars": F.when(F.col("__cut.n_removed") > 0, F.length("__cut.text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return cut.withColumns(now).select(*docs.columns)
+    """docs with later repeated runs deleted from the text, n_chars (a whole number, if there) kept in step; rows that lose their last line go."""
+    # columns by place, whatever their names
+    own = [f"__{k}" for k in range(len(docs.columns))]
+    text_at, size_at = docs.columns.index(text_col), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    rows = _judged(docs, span, "doc_id", text_col)
+    rows = rows.select(*(F.col("__text" if k == text_at else f"`{c}`").alias(own[k]) for k, c in enumerate(docs.columns)), "__found")
+
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(text_at)):
+                part = batch.slice(lo, hi - lo)
+                columns, found = part.columns[:-1], part.column(len(own))
+                texts, kept = columns[text_at], [True] * len(part)
+                if found.null_count < len(part):
+                    texts = texts.to_pylist()
+                    sizes = None if size_at is None else columns[size_at].to_pylist()
+                    for k in np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)):
+                        lines, gone, texts[k] = cut_lines(texts[k], found[k].as_py(), span)
+                        kept[k] = gone < lines
+                        if sizes and gone:
+                            sizes[k] = len(texts[k])
+                    columns[text_at] = pa.array(texts, columns[text_at].type)
+                    if sizes:
+                        columns[size_at] = pa.array(sizes, pa.int64()).cast(columns[size_at].type)
+                yield pa.RecordBatch.from_arrays(columns, own).filter(pa.array(kept))
+
+    return rows.mapInArrow(cut, T.StructType([T.StructField(n, rows.schema[n].dataType) for n in own])).toDF(*docs.columns)

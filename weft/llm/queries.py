@@ -79,8 +79,7 @@ def op3_mixing(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
 _OP4_SQL = rf"""
