@@ -124,6 +124,31 @@ def op8_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+_OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(x) // 2 AS n FROM documents
+), b AS (
+  SELECT doc_id, n, k * 1024 AS lo, substring(x, k * 2048 + 1, 2048 + 2 * {suffix_dedup.SPAN}) AS x FROM d, unnest(range(0, (n + 1023) // 1024)) AS u(k)
+), w AS (
+  SELECT doc_id, lo + j AS i, substring(x, 2 * j - 1, 2) AS b,
+         CASE WHEN lo + j <= n - {suffix_dedup.SPAN - 1} THEN md5_number(substring(x, 2 * j - 1, {2 * suffix_dedup.SPAN})) END AS k
+  FROM b, unnest(range(1, least(1024, n - lo) + 1)) AS u(j)
+), r AS (
+  SELECT k FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1
+), m AS (
+  SELECT doc_id, i, b, bool_or(r.k IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {suffix_dedup.SPAN - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN r ON w.k = r.k
+), s AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS first FROM m
+), g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans,
+         sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
+  FROM s GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def op9_nearest(spark, sf_dir):
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -180,4 +205,4 @@ FROM m"""
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_lm_score": op7_lm_score, "op8_suffix_dedup": op8_suffix_dedup, "op9_nearest": op9_nearest, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op10_quality_rules": _op10_sql()}
+ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op8_suffix_dedup": _OP8_SQL, "op10_quality_rules": _op10_sql()}

@@ -29,7 +29,7 @@ from weft.session import stored
 SPAN = 50
 GRAM = 10
 #: Words hashed at a time; a longer text is cut into stretches that overlap by a window.
-STRETCH = 1_000_000
+STRETCH = 250_000
 
 
 def word_hashes(words: list) -> np.ndarray:

@@ -5,7 +5,8 @@ Only suffixes at the positions of a string synchronising set are sorted (about o
 classes; a class with two members is settled by counting, and a suffix whose first ``SPAN - STEP + 1`` bytes occur once
 in the corpus goes no further. The rest, one suffix per class, is dealt to tasks by those bytes and sorted there:
 
-* multikey quicksort, eight symbols at a time, to ``SHALLOW`` bytes, all groups of a batch at once;
+* multikey quicksort, four symbols at a time, over the ``SHALLOW`` bytes after those that a group shares, all groups of a
+  batch at once;
 * groups that are still tied have long common prefixes; a blind trie over each orders them, comparing whole strings
   only once an insertion.
 
@@ -39,7 +40,7 @@ GRAM = 16
 SHALLOW = 64
 MOST_GROUP = 50_000
 #: Bytes hashed at a time; longer texts are cut into stretches that overlap by a string.
-STRETCH = 2_000_000
+STRETCH = 500_000
 #: Suffixes sorted at a time.
 BATCH = 20_000
 
@@ -131,34 +132,54 @@ def _shared(s: bytes, t: bytes) -> int:
     return lo
 
 
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, sizes: np.ndarray) -> None:
+    """Sorts the items of each segment of ``order`` (segments of ``sizes``, end to end) by their rows of ``words``, in place.
+
+    Three-way partitions: each segment's items go before, with or after its pivot at the segment's word; those with it
+    go on to the next word, the others stay at this one. All segments are parted in the same round.
+    """
+    starts = np.cumsum(sizes) - sizes
+    depth = np.zeros(len(sizes), np.int64)
+    while True:
+        open_ = (sizes > 1) & (depth < words.shape[1])
+        starts, sizes, depth = starts[open_], sizes[open_], depth[open_]
+        if not len(sizes):
+            return
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(of))
+        items = order[at]
+        key = words[items, depth[of]]
+        thirds = np.stack([words[order[starts + k], depth] for k in (0 * sizes, sizes // 2, sizes - 1)])
+        pivot = np.sort(thirds, axis=0)[1][of]
+        part = 3 * of + np.where(key < pivot, 0, np.where(key == pivot, 1, 2))
+        order[at] = items[np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(sizes)).reshape(-1, 3)
+        starts = (starts[:, None] + np.cumsum(counts, axis=1) - counts).ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        sizes = counts.ravel()
+
+
 def deep_shallow(strings: list, groups: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the strings within their groups: their order, and the bytes each shares with the one before it (-1: none there)."""
     m = len(strings)
-    sizes = np.array([len(s) for s in strings], np.int64)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.array([len(s) for s in strings], np.int64)
     symbols = np.frombuffer(b"".join(s[:shallow].ljust(shallow, b"\0") for s in strings), np.uint8).reshape(m, shallow).astype(">u2") + np.uint16(1)
-    symbols = np.where(np.arange(shallow) < sizes[:, None], symbols, 0).astype(">u2")
-    words = np.ascontiguousarray(symbols).view(">u8").astype(np.uint64)
+    symbols = np.where(np.arange(shallow) < ends[:, None], symbols, 0).astype(">u2")
     order = np.argsort(groups, kind="stable")
-    segment = np.cumsum(np.concatenate([[0], np.diff(groups[order]) != 0])) if m else np.zeros(0, np.int64)
-    lcp = np.full(m, -2, np.int64)  # -2: tied with the one before, so far
-    if m:
-        lcp[np.concatenate([[True], segment[1:] != segment[:-1]])] = -1
-    for w in range(words.shape[1]):
-        first = np.concatenate([lcp != -2, [True]])
-        tied = np.flatnonzero(~(first[:-1] & first[1:]))
-        if not len(tied):
-            break
-        segment = np.cumsum(lcp != -2)
-        key = words[order[tied], w]
-        by = np.lexsort((key, segment[tied]))
-        order[tied] = order[tied][by]
-        key = key[by]
-        parted = np.concatenate([[False], (key[1:] != key[:-1]) & (segment[tied][1:] == segment[tied][:-1])])
-        differ = key[1:][parted[1:]] ^ key[:-1][parted[1:]]
-        lcp[tied[parted]] = 4 * w + (differ < (1 << 48)).astype(int) + (differ < (1 << 32)) + (differ < (1 << 16))
+    fresh = np.concatenate([[True], groups[order][1:] != groups[order][:-1]])
+    starts = np.flatnonzero(fresh)
+    # four symbols to a word, of two bytes each: 0 stands for the end of a string
+    multikey_quicksort(np.ascontiguousarray(symbols).view(">u8").astype(np.uint64), order, np.diff(np.append(starts, m)))
+    sorted_ = symbols[order]
+    differ = sorted_[1:] != sorted_[:-1]
+    lcp = np.full(m, -1, np.int64)
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), -2)  # -2: tied with the one before, so far
+    lcp[fresh] = -1
     starts = np.flatnonzero(lcp != -2)
-    ends = np.append(starts[1:], m)
-    for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
+    stops = np.append(starts[1:], m)
+    for lo, hi in zip(starts[stops - starts > 1], stops[stops - starts > 1], strict=True):
         inside = order[lo:hi]
         rank, shared = blind_trie([strings[i] for i in inside])
         order[lo:hi] = inside[rank]
@@ -166,13 +187,14 @@ def deep_shallow(strings: list, groups: np.ndarray, shallow: int = SHALLOW) -> t
     return order, lcp
 
 
-def repeated_starts(left: list, right: list, groups: np.ndarray, least: np.ndarray, most: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(left: list, right: list, groups: np.ndarray, least: np.ndarray, most: np.ndarray, span: int, common: int) -> tuple[np.ndarray, np.ndarray]:
     """(item, l) for each string of ``span`` bytes from l back (least to most) that another item of the group has too.
 
-    left: the bytes before each suffix, backwards; right: the suffixes.
+    left: the bytes before each suffix, backwards; right: the suffixes without the ``common`` bytes that all of a group share.
     """
     m = len(right)
     by_right, shared_right = deep_shallow(right, groups)
+    shared_right = np.where(shared_right < 0, -1, shared_right + common)
     by_left, shared_left = deep_shallow(left, groups)
     rank, items, backs = np.empty(m, np.int64), [], []
     other = np.empty(m, np.int64)
@@ -213,7 +235,7 @@ def contexts(texts: DataFrame, first: DataFrame, span: int) -> DataFrame:
     return joined(texts, first, F.struct("a", "c", "k", "back", "lo", "n")).mapInArrow(cut, CONTEXT)
 
 
-def sort_groups(rows: DataFrame, span: int) -> DataFrame:
+def sort_groups(rows: DataFrame, span: int, common: int) -> DataFrame:
     """For rows that come group by group: a, c and the offsets in the run of strings that another class has."""
 
     def settle(rows):
@@ -221,8 +243,8 @@ def sort_groups(rows: DataFrame, span: int) -> DataFrame:
         p = np.array([r[2] for r in rows], np.int64)
         n = np.array([r[3] for r in rows], np.int64)
         left = [r[4][: r[2]][::-1] for r in rows]
-        right = [r[4][r[2] : r[2] + span] for r in rows]
-        item, back = repeated_starts(left, right, np.unique(a, return_inverse=True)[1], p - n + 1, p, span)
+        right = [r[4][r[2] + common : r[2] + span] for r in rows]
+        item, back = repeated_starts(left, right, np.unique(a, return_inverse=True)[1], p - n + 1, p, span, common)
         by = np.lexsort((-back, item))
         item, off = item[by], (p[item] - back)[by]
         cuts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])) if len(item) else np.zeros(0, np.int64)
@@ -276,9 +298,9 @@ def repeats(texts: DataFrame, span: int = SPAN, step: int = STEP, most_group: in
     cut = stored(contexts(texts, classes, span), "contexts")
     large = sizes.filter(F.col("size") > most_group).select("a")
     if large.isEmpty():
-        later = sort_groups(cut.repartition("a").sortWithinPartitions("a"), span)
+        later = sort_groups(cut.repartition("a").sortWithinPartitions("a"), span, span - step + 1)
     else:
-        later = sort_groups(cut.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a"), span)
+        later = sort_groups(cut.join(large, "a", "left_anti").repartition("a").sortWithinPartitions("a"), span, span - step + 1)
         later = later.unionByName(_counted(cut.join(large, "a", "left_semi").select(*cut.columns), span))
     verdict = stored(cut.select("a", "c", "k").join(later, ["a", "c"], "left"), "verdict")
     judged = many.join(verdict, ["a", "c"]).select(*KEY, "lo", "n", F.when(F.col("k") > 1, F.lit(None)).otherwise(F.coalesce("offs", F.array().cast("array<int>"))).alias("offs"))
