@@ -51,6 +51,8 @@ BLOCK_SKETCHES = 2048
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 
 U = np.uint64
+#: Stands for a null doc_id where one row of each class is chosen.
+LAST = (1 << 63) - 1
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, COORDINATES, dtype=U) * U(2) + U(1)
 
 
@@ -309,10 +311,9 @@ def _exact(texts: DataFrame, reps: DataFrame, groups: DataFrame, words: int, thr
     return verify(rows.repartition("bucket").sortWithinPartitions("bucket"), threshold)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
-    """doc_id, copy_id (least doc_id with the same set), class_id (least of the near-duplicate class), n_copies (other
-    documents with the same set), n_set_links (other sets at the threshold) and n_links (other documents at it)."""
-    texts = keyed(docs, id_col, text_col)
+def _classes(texts: DataFrame, threshold: float, words: int, small: int, depth: int, miss: float) -> DataFrame:
+    """doc_id, h, copy (the doc_id and h of the first copy), class_of (those of its class's first), copies, sets and docs of
+    every row of texts; the last five are null where a row has no set."""
     all_sets = stored(sets(texts, words), "sets")
     some = all_sets.filter("doc_id is not null and n > 0")
     first = some.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x"), F.count("*").alias("copies")).select("s1", "s2", "copies", "x.*")
@@ -321,25 +322,49 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     # the sketch is the low byte of each min-hash
     sketch = F.unhex(F.expr(f"array_join(transform(sequence(0, {COORDINATES - 1}), i -> substring(hex(sig), 8 * i + 1, 2)), '')"))
     reps = stored(reps.withColumn("sketch", sketch), "reps")
-    groups = connected_components(proposals(reps, threshold, small, depth, miss)) if not reps.isEmpty() else None
-    if groups is None:
-        return all_sets.select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), *(F.lit(0).cast("long").alias(x) for x in ("n_copies", "n_set_links", "n_links")))
+    place = F.struct("doc_id", "h")
+    if reps.isEmpty():
+        nothing = F.lit(None).cast("struct<doc_id:bigint,h:bigint>")
+        return all_sets.select(*KEY, nothing.alias("copy"), nothing.alias("class_of"), *(F.lit(None).cast("long").alias(x) for x in ("copies", "sets", "docs")))
+    groups = connected_components(proposals(reps, threshold, small, depth, miss))
     exact = stored(_exact(texts, reps, groups, words, threshold), "links")
     counts = exact.groupBy("id").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     classes = connected_components(exact.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    named = reps.select("id", "s1", "s2", "copies", F.col("doc_id").alias("copy_id")).join(classes, "id", "left").join(counts, "id", "left")
-    least = named.filter("component is not null").groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    of = stored(named.join(least, "component", "left").select("s1", "s2", "copies", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), "sets", "docs"), "classes")
-    held = all_sets.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("s1")).alias("s1"), "s2").join(of, ["s1", "s2"], "left")
+    named = reps.select("id", "s1", "s2", "copies", place.alias("copy")).join(classes, "id", "left").join(counts, "id", "left")
+    least = named.filter("component is not null").groupBy("component").agg(F.min("copy").alias("class_of"))
+    of = named.join(least, "component", "left").select("s1", "s2", "copy", F.coalesce("class_of", "copy").alias("class_of"), "copies", "sets", "docs")
+    of = stored(of, "classes")
+    held = all_sets.select(*KEY, F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("s1")).alias("s1"), "s2").join(of, ["s1", "s2"], "left")
+    return held.select(*KEY, "copy", "class_of", "copies", "sets", "docs")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
+    """doc_id, copy_id (least doc_id with the same set), class_id (least of the near-duplicate class), n_copies (other
+    documents with the same set), n_set_links (other sets at the threshold) and n_links (other documents at it)."""
+    held = _classes(keyed(docs, id_col, text_col), threshold, words, small, depth, miss)
+    copies = F.coalesce("copies", F.lit(1)) - 1
     return held.select(
-        "doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        (F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_copies"), F.coalesce("sets", F.lit(0)).cast("long").alias("n_set_links"),
-        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
+        "doc_id", F.coalesce("copy.doc_id", "doc_id").alias("copy_id"), F.coalesce("class_of.doc_id", "doc_id").alias("class_id"),
+        copies.cast("long").alias("n_copies"), F.coalesce("sets", F.lit(0)).cast("long").alias("n_set_links"),
+        (copies + F.coalesce("docs", F.lit(0))).cast("long").alias("n_links"),
     )
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """docs with the document of the least doc_id of each class; rows with a null doc_id stay."""
-    found = jaccard_join(docs, threshold, words, "doc_id", text_col)
-    gone = found.filter("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    """docs with one row of each class: that of the least doc_id (null ids last), then of the least text hash.
+
+    Rows are told apart by doc_id and text, so texts that share an id are judged one by one; of rows that repeat both one
+    stays. Rows without a set (null or blank text) stay as they are, but for such repeats.
+    """
+    text = F.col(text_col).cast("string")
+    own = [f"__{k}" for k in range(len(docs.columns))]
+    # a null id sorts last among the documents of its class
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(text).alias("__h")]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)), *key, text.isNull().alias("__none"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = _classes(texts, threshold, words, SMALL, DEPTH, MISS)
+    gone = found.filter("class_of.doc_id <> doc_id or class_of.h <> h").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__of")).distinct()
+    # repeats are met on the map side first, so that a row that occurs very often is one row a task; the join needs no further shuffle
+    once = rows.groupBy("__id", "__h", "__none").agg(F.first(F.struct(*own)).alias("__row"))
+    left = once.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__h") == F.col("__of")), "left_anti")
+    return left.select(*(F.col(f"__row.{n}").alias(n) for n in own)).toDF(*docs.columns)
