@@ -129,6 +129,18 @@ def test_jaccard_recall_of_lone_pairs_in_deep_buckets(spark):
     assert sum(r["n_links"] == 1 for r in got) >= 2 * 149
 
 
+def test_similarity_of_a_bucket_is_estimated(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 64, dtype=np.uint32)
+    rows = []
+    for path, similarity in ((1, 0.9), (2, 0.2), (3, 0.0)):
+        for k in range(400):
+            sig = np.where(rng.random(64) < similarity**0.5, base, rng.integers(0, 1 << 32, 64, dtype=np.uint32))
+            rows.append((path, int(((sig[:16] & 1) << np.arange(16)).sum())))
+    got = {r["path"]: r["alike"] for r in jaccard_join.buckets_of(spark.createDataFrame(rows, "path long, signs int")).collect()}
+    assert abs(got[1] - 0.9) < 0.1 and abs(got[2] - 0.2) < 0.1 and abs(got[3]) < 0.1
+
+
 def test_one_of_each_judges_rows(spark):
     text = " ".join(f"w{k}" for k in range(60))
     near = text + " more"

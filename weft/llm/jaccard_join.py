@@ -4,8 +4,8 @@ Texts become sets of 5-word shingles; equal sets are one class of copies, joined
 ``COORDINATES`` min-hashes. A repetition splits the sets recursively: a node draws each coordinate with probability
 1 / (threshold * COORDINATES), by a hash of its path, and deals its sets to one child for each value of a drawn
 coordinate, so sets of at least the threshold's similarity meet in one child or more on average. A bucket of at most
-``SMALL`` sets, or of half its parent or more (whose sets are alike on average), is compared by brute force on sketches
-of the min-hashes; others go a level deeper. Repetitions go
+``SMALL`` sets, or whose sets are alike on average (see ``buckets_of``), is compared by brute force on sketches of the
+min-hashes; others go a level deeper. Repetitions go
 on until a pair at the threshold is missed with probability under ``MISS`` (see ``repetitions``).
 
 Sketch pairs only propose; sets that proposals connect are brought together, block by block, and every pair among them is
@@ -41,6 +41,9 @@ COORDINATES = 64
 #: Largest bucket that is compared by brute force, and depth at which larger ones are compared by blocks instead.
 SMALL = 256
 DEPTH = 5
+#: Mean similarity from which a bucket is not split, and the min-hashes it is estimated from.
+ALIKE = 0.5
+SIGNS = 16
 #: A pair at the threshold may be missed with this probability.
 MISS = 1e-4
 #: Share of equal min-hashes from which a pair is proposed: about 4.5 standard deviations under the threshold.
@@ -116,22 +119,35 @@ def _drawn(paths: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def children(rows: DataFrame, threshold: float, roots: int = 0) -> DataFrame:
-    """(id, path, parent) of the next level for rows (id, sig[, path, size]); without paths, of the first level of
-    ``roots`` repetitions. parent: the size of the node that was split, 0 for a root."""
+    """(id, path, signs) of the next level for rows (id, sig[, path]); without paths, of the first level of ``roots``
+    repetitions. signs: one bit of each of ``SIGNS`` min-hashes."""
 
     def split(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-            sizes = np.zeros(len(ids), np.int64) if roots else batch.column(3).to_numpy()
+            signs = ((sig[:, :SIGNS] & np.uint32(1)) << np.arange(SIGNS, dtype=np.uint32)).sum(axis=1).astype("i4")
             starts = [np.full(len(ids), mixed(np.array([r + 1], U))[0]) for r in range(roots)] or [batch.column(2).to_numpy().view(U)]
             for paths in starts:
                 row, k = np.nonzero(_drawn(paths, threshold) if not roots else np.broadcast_to(_drawn(paths[:1], threshold), sig.shape)) if len(ids) else (np.zeros(0, int),) * 2
                 child = mixed(paths[row] ^ mixed((sig[row, k].astype(U) << U(8)) | k.astype(U)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view("i8")), pa.array(sizes[row])], ["id", "path", "parent"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view("i8")), pa.array(signs[row])], ["id", "path", "signs"])
 
-    columns = ["id", "sig"] if roots else ["id", "sig", "path", "size"]
-    return rows.select(*columns).mapInArrow(split, "id long, path long, parent long")
+    columns = ["id", "sig"] if roots else ["id", "sig", "path"]
+    return rows.select(*columns).mapInArrow(split, "id long, path long, signs int")
+
+
+def buckets_of(at: DataFrame) -> DataFrame:
+    """(path, size, alike): buckets of two sets or more, and the mean similarity of their sets.
+
+    Signs of equal min-hashes are equal and others are so by chance, so the square of a sum of signs (+1, -1) over a
+    bucket of n sets is n + n (n - 1) similarity on average: sums on the map side, whatever the bucket's size.
+    """
+    size = F.count("*").cast("double")
+    bit = lambda k: F.call_function("shiftright", F.col("signs"), F.lit(k)).bitwiseAND(F.lit(1)).cast("long")
+    sums = [F.pow(2 * F.sum(bit(k)) - size, F.lit(2.0)) for k in range(SIGNS)]
+    alike = (sum(sums[1:], sums[0]) / SIGNS - size) / (size * (size - 1))
+    return at.groupBy("path").agg(F.count("*").alias("size"), F.when(size > 1, alike).alias("alike")).filter("size > 1")
 
 
 def _groups(keys: np.ndarray):
@@ -218,10 +234,9 @@ def proposals(reps: DataFrame, threshold: float, small: int, depth: int, miss: f
     at = stored(children(reps, threshold, repetitions(threshold, miss, depth)), "paths-1")
     leaves = []
     for level in range(1, depth + 1):
-        counts = at.groupBy("path").agg(F.count("*").alias("size"), F.max("parent").alias("parent")).filter("size > 1")
-        # a bucket that keeps half of its parent is of similar sets, which further levels would not part
-        split = (F.col("size") > small) & (F.col("size") * 2 < F.when(F.col("parent") == 0, F.lit(1 << 62)).otherwise(F.col("parent")))
-        sizes = stored(counts.select("path", "size", split.alias("split")), f"sizes-{level}")
+        # further levels would not part the sets of a bucket that are alike
+        counts = buckets_of(at).select("path", "size", ((F.col("size") > small) & (F.col("alike") < ALIKE)).alias("split"))
+        sizes = stored(counts, f"sizes-{level}")
         known = at.select("id", "path").join(sizes, "path")
         deeper = level < depth and not sizes.filter("split").isEmpty()
         leaves.append(known.filter("not split") if deeper else known)
