@@ -110,7 +110,7 @@ def test_jaccard_blocks_lose_nothing(spark, monkeypatch):
 def test_jaccard_repetitions_reach_the_deepest_level():
     kept = 1.0
     for _ in range(jaccard_join.DEPTH):
-        kept = 1 - (1 - kept / jaccard_join.COORDINATES) ** jaccard_join.COORDINATES
+        kept = 1 - (1 - jaccard_join.BRANCHING * kept / jaccard_join.COORDINATES) ** jaccard_join.COORDINATES
     least = int(np.ceil(jaccard_join.PROPOSED * 64))
     tail = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(least))
     assert (1 - kept) ** jaccard_join.repetitions(0.8, jaccard_join.MISS) + tail <= jaccard_join.MISS

@@ -2,8 +2,8 @@
 
 Texts become sets of 5-word shingles; equal sets are one class of copies, joined once. Each set is embedded in
 ``COORDINATES`` min-hashes. A repetition splits the sets recursively: a node draws each coordinate with probability
-1 / (threshold * COORDINATES), by a hash of its path, and deals its sets to one child for each value of a drawn
-coordinate, so sets of at least the threshold's similarity meet in one child or more on average. A bucket of at most
+BRANCHING / (threshold * COORDINATES), by a hash of its path, and deals its sets to one child for each value of a drawn
+coordinate, so sets of at least the threshold's similarity meet in BRANCHING children or more on average. A bucket of at most
 ``SMALL`` sets, or whose sets are alike on average (see ``buckets_of``), is compared by brute force on sketches of the
 min-hashes; others go a level deeper. Repetitions go
 on until a pair at the threshold is missed with probability under ``MISS`` (see ``repetitions``).
@@ -39,8 +39,11 @@ WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
 #: Largest bucket that is compared by brute force, and depth at which larger ones are compared by blocks instead.
-SMALL = 256
-DEPTH = 5
+SMALL = 1024
+DEPTH = 4
+#: Children in which a pair at the threshold meets, on average, for each node it is in. Above 1 a pair is less likely to
+#: die out, so fewer repetitions do; each node has more children in turn.
+BRANCHING = 1.25
 #: Mean similarity from which a bucket is not split, and the min-hashes it is estimated from.
 ALIKE = 0.5
 SIGNS = 16
@@ -75,14 +78,14 @@ def unproposed(threshold: float) -> float:
 def repetitions(threshold: float, miss: float, depth: int = DEPTH) -> int:
     """Repetitions until a pair at the threshold is missed with probability under ``miss``, however deep its buckets are split.
 
-    At the root each of the coordinates is drawn with probability 1 / (threshold * COORDINATES) and agrees with
-    probability ``threshold``: about one draw agrees, and none does with probability (1 - 1 / COORDINATES) ^ COORDINATES.
-    Each level further lets a pair through with at least the fraction that a critical branching process keeps. What
-    sketches miss is taken off ``miss``, up to half of it.
+    At the root each of the coordinates is drawn with probability BRANCHING / (threshold * COORDINATES) and agrees with
+    probability ``threshold``: none is drawn and agrees with probability (1 - BRANCHING / COORDINATES) ^ COORDINATES.
+    Each level further lets a pair through with at least the fraction that such a branching process keeps. What sketches
+    miss is taken off ``miss``, up to half of it.
     """
     kept = 1.0
     for _ in range(depth):
-        kept = 1 - (1 - kept / COORDINATES) ** COORDINATES
+        kept = 1 - (1 - BRANCHING * kept / COORDINATES) ** COORDINATES
     return math.ceil(math.log(miss - min(unproposed(threshold), miss / 2)) / math.log(1 - kept))
 
 
@@ -115,7 +118,7 @@ def sets(texts: DataFrame, words: int) -> DataFrame:
 def _drawn(paths: np.ndarray, threshold: float) -> np.ndarray:
     """Which coordinates each node draws, by its path."""
     chance = mixed(paths[:, None] ^ mixed(np.arange(1, COORDINATES + 1, dtype=U))[None, :])
-    return chance < U(int((1 << 64) / (threshold * COORDINATES)))
+    return chance < U(int((1 << 64) * BRANCHING / (threshold * COORDINATES)))
 
 
 def children(rows: DataFrame, threshold: float, roots: int = 0) -> DataFrame:
