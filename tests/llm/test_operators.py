@@ -202,25 +202,70 @@ def test_substring_stretches_and_empty(odd, monkeypatch):
 # 3
 
 
-def test_mixing_meets_targets(docs):
-    wishes = {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}
-    cells, few = mixing.plan(docs, 0.3, wishes)
-    p = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in cells.collect()}
-    assert few and all(0 <= x <= 1 for x in p.values())
-    frame = docs.select("source", "lang", "text").toPandas()
-    got, total = Counter(), 0
-    for s, la, t in frame.itertuples(index=False):
-        w = words(t)
-        total += len(w)
-        got[la] += len(w) * p[s, la, f"t{zlib.crc32(max(w, key=len)) % mixing.TOPICS}" if w else "?"]
-    assert abs(sum(got.values()) - 0.3 * total) < 0.05 * total
-    assert max(got.values()) / sum(got.values()) < 0.4
+def rake_brute(tokens, shares, keep, rounds):
+    """Keep probabilities by plain loops: one margin after the other is scaled to its targets, never above 1."""
+    p, goal = dict.fromkeys(tokens, keep), keep * sum(tokens.values())
+    for _ in range(rounds):
+        for at, share in enumerate(shares):
+            have = Counter()
+            for cell, n in tokens.items():
+                have[cell[at]] += p[cell] * n
+            p = {cell: min(1.0, x * share[cell[at]] * goal / have[cell[at]]) if have[cell[at]] > 0 else x for cell, x in p.items()}
+    return p
+
+
+@pytest.mark.parametrize("wishes", [None, {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}])
+def test_mixing_rakes_like_plain_loops(docs, wishes):
+    cells, few, model = mixing.plan(docs, 0.3, wishes)
+    tokens = Counter()
+    for r in docs.collect():
+        counts, v = mixing._vectors([r["text"]])
+        tokens[r["source"] or "?", r["lang"] or "?", f"t{model.nearest(v)[0]}" if counts[0] else "?"] += counts[0]
+    got = cells.collect()
+    assert few and {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in got} == tokens
+    shares = []
+    for at, margin in enumerate(mixing.MARGINS):
+        seen = Counter()
+        for cell, n in tokens.items():
+            seen[cell[at]] += n
+        weight = {c: ((wishes or {}).get(margin, {}).get(c, 0.0) if n else 0.0) if margin in (wishes or {}) else n ** mixing.TEMPERS[margin] for c, n in seen.items()}
+        shares.append({c: w / sum(weight.values()) for c, w in weight.items()})
+    want = rake_brute(tokens, shares, 0.3, mixing.ROUNDS)
+    assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-4 for r in got)
+
+
+def test_mixing_draws_what_it_expects(docs):
+    report = mixing.achieved(docs, 0.3, {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}).collect()
+    assert {r["margin"] for r in report} == set(mixing.MARGINS)
+    assert all(abs(sum(r["wanted"] for r in report if r["margin"] == m) - 1) < 1e-9 and abs(sum(r["expected"] for r in report if r["margin"] == m) - 1) < 1e-9 for m in mixing.MARGINS)
+    assert all(r["met"] == (abs(r["wanted"] - r["expected"]) <= 0.01) for r in report)
+    drawn = mixing.mix(docs).toPandas()
+    expected = (drawn["n_tokens"] * drawn["probability"]).sum()
+    spread = float((drawn["n_tokens"] ** 2 * drawn["probability"] * (1 - drawn["probability"])).sum() ** 0.5)
+    assert abs(drawn.loc[drawn["kept"], "n_tokens"].sum() - expected) < 4 * spread
+
+
+def test_topics_part_word_fields(spark):
+    rng = random.Random(3)
+    fields = [[f"f{f}w{k}" for k in range(300)] for f in range(4)]
+    common = [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(fields[k % 4], k=60) + rng.choices(common, k=60))) for k in range(800)]
+    signed = mixing.with_traits(spark.createDataFrame(rows, "doc_id long, text string"), None).select("__mix.*")
+    model = mixing.learn_topics(signed, 4)
+    own = model.nearest(mixing._vectors([t for _, t in rows])[1])
+    assert sum(max(Counter(own[f::4].tolist()).values()) for f in range(4)) > 0.95 * len(rows) and len(set(own.tolist())) == 4
+
+
+def test_mixing_takes_a_topic_column(docs):
+    named = docs.withColumn("theme", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+    got = mixing.mix(named, topic_col="theme")
+    assert {r["topic"] for r in got.select("topic").distinct().collect()} == {"1", "2", "?"} and got.count() == docs.count()
 
 
 def test_mixing_joined_equals_driver(docs, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 3)
-    one, few = mixing.plan(docs)
-    two, joined = mixing.plan(docs, most_driver_cells=0)
+    one, few, _ = mixing.plan(docs)
+    two, joined, _ = mixing.plan(docs, most_driver_cells=0)
     assert few and not joined
     a, b = ({(r["source"], r["lang"], r["topic"]): r["probability"] for r in x.collect()} for x in (one, two))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)

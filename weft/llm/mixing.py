@@ -5,6 +5,9 @@ Raking runs over the cells: each round scales the cells' keep probabilities so t
 targets of one margin after the other, never above 1. Then every document is kept with its cell's probability, by a
 hash of its id: the draw is repeatable, and independent of partitions.
 
+The topic is a column that is named, or else a cluster of word sets: each document's different words give 64 sums of
+signs, and spherical k-means about their mean, over all documents, makes ``TOPICS`` clusters. Only sums reach the driver.
+
 Cells are raked in the driver up to ``MOST_DRIVER_CELLS`` (a checked count), else by DataFrame joins.
 
 Defined results: a null source, language or topic is a category of its own (``?``); a null or empty text has no tokens
@@ -14,14 +17,14 @@ an empty result; a margin without targets is tempered from what the corpus has.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.substring_dedup import word_hashes
 from weft.session import stored
 
 MARGINS = ("source", "lang", "topic")
@@ -29,31 +32,110 @@ NONE = "?"
 #: Share of all tokens to keep, and the exponents that temper each margin's observed shares into targets.
 KEEP_SHARE = 0.6
 TEMPERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-ROUNDS, TOLERANCE = 60, 1e-9
+#: Rounds of raking at most (they end when no probability moves by ``TOLERANCE``), and rounds of clustering.
+ROUNDS, TOLERANCE = 500, 1e-7
+CLUSTER_ROUNDS = 8
 TOPICS = 8
+#: Vectors of least hash that the clusters start from.
+STARTS = 1024
 MOST_DRIVER_CELLS = 100_000
 SEED = 17
+_UNIT = 16
 
 
-@F.pandas_udf(T.StructType().add("n_tokens", "long").add("topic", "string"))
-def _traits(text: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in text:
+def _vectors(texts: pd.Series) -> tuple[list, np.ndarray]:
+    """Words of each text, and the signature of its different words: 64 sums of signs, scaled by the root of their number."""
+    counts, rows = [], np.zeros((len(texts), 64), np.int64)
+    for k, t in enumerate(texts):
         words = t.encode().split() if t else []
-        rows.append((len(words), f"t{zlib.crc32(max(words, key=len)) % TOPICS}" if words else NONE))
-    return pd.DataFrame(rows, columns=["n_tokens", "topic"])
+        counts.append(len(words))
+        if words:
+            h = word_hashes(list(set(words)))
+            sums = 2.0 * np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0) - len(h)
+            rows[k] = np.clip(np.rint(_UNIT * sums / np.sqrt(len(h))), -127, 127)
+    return counts, rows
+
+
+@F.pandas_udf(T.StructType().add("n_tokens", "long").add("vec", "binary"))
+def _signature(text: pd.Series) -> pd.DataFrame:
+    counts, rows = _vectors(text)
+    return pd.DataFrame({"n_tokens": counts, "vec": [r.tobytes() for r in rows.astype(np.int8)]})
+
+
+def _read(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int8).reshape(-1, 64).astype(np.int64)
+
+
+class Topics:
+    """Clusters of signatures about their mean. Whole numbers all through, so that every machine assigns alike."""
+
+    def __init__(self, mean: np.ndarray, centres: np.ndarray):
+        self.mean, self.centres = mean, centres
+
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        return ((vectors - self.mean) @ self.centres.T).argmax(axis=1) if len(vectors) else np.zeros(0, np.int64)
+
+    @staticmethod
+    def directions(sums: np.ndarray) -> np.ndarray:
+        size = np.sqrt((sums.astype(float) ** 2).sum(axis=1, keepdims=True))
+        return np.rint(1000 * np.divide(sums, size, out=np.zeros(sums.shape), where=size > 0)).astype(np.int64)
+
+
+def learn_topics(signatures: DataFrame, topics: int = TOPICS) -> Topics:
+    """Spherical k-means over the signatures (vec) of all documents; a round brings one sum a cluster and task together."""
+
+    def summed(model):
+        def add(batches):
+            sums, n = np.zeros((topics, 64), np.int64), np.zeros(topics, np.int64)
+            for batch in batches:
+                v = _read(batch.column(0).to_pylist())
+                own = model.nearest(v) if model else np.zeros(len(v), np.int64)
+                np.add.at(sums, own, v - (model.mean if model else 0))
+                n += np.bincount(own, minlength=topics)
+            yield pa.RecordBatch.from_arrays([pa.array(range(topics), pa.int32()), pa.array(n), pa.array(list(sums), pa.list_(pa.int64()))], ["topic", "n", "sums"])
+
+        parts = signatures.select("vec").mapInArrow(add, "topic int, n long, sums array<long>")
+        rows = parts.select("topic", "n", F.posexplode("sums").alias("k", "s")).groupBy("topic", "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+        total, counts = np.zeros((topics, 64), np.int64), np.zeros(topics, np.int64)
+        for r in rows:
+            total[r["topic"], r["k"]], counts[r["topic"]] = r["s"], r["n"]
+        return total, counts
+
+    total, counts = summed(None)
+    mean = np.rint(total[0] / max(1, counts[0])).astype(np.int64)
+    some = signatures.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(STARTS).collect()
+    v = Topics.directions(_read([bytes(r["vec"]) for r in some]) - mean) if some else np.zeros((0, 64), np.int64)
+    picks = [0] if len(v) else []
+    while len(picks) < min(topics, len(v)):  # the next start is the one least like those there are
+        picks.append(int((v @ v[picks].T).max(axis=1).argmin()))
+    model = Topics(mean, np.concatenate([v[picks], np.zeros((topics - len(picks), 64), np.int64)]))
+    for _ in range(CLUSTER_ROUNDS):
+        total, counts = summed(model)
+        centres = np.where(counts[:, None] > 0, Topics.directions(total), model.centres)
+        if (centres == model.centres).all():
+            break
+        model = Topics(mean, centres)
+    return model
 
 
-def traits(text: Column) -> Column:
-    """Words of a text, and its topic: the hash class of its (first) longest word, as the tables have no topic."""
-    return _traits(text)
+def with_traits(docs: DataFrame, model: Topics | None, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """docs with a struct __mix of source, lang, topic and n_tokens; without a model the signature stands for the topic."""
+    text = F.col(text_col).cast("string")
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)
+    if model is None:
+        given, topic = docs.withColumn("__mix", _signature(text)), F.col("__mix.vec").alias("vec")
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
+        @F.pandas_udf(T.StructType().add("n_tokens", "long").add("topic", "string"))
+        def assigned(texts: pd.Series) -> pd.DataFrame:
+            counts, rows = _vectors(texts)
+            return pd.DataFrame({"n_tokens": counts, "topic": [f"t{k}" if n else NONE for k, n in zip(shared.value.nearest(rows), counts, strict=True)]})
 
-def with_traits(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct __mix of source, lang, topic and n_tokens."""
-    given = docs.withColumn("__mix", traits(F.col(text_col).cast("string")))
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)
-    return given.withColumn("__mix", F.struct(known("source").alias("source"), known("lang").alias("lang"), F.col("__mix.topic").alias("topic"), F.col("__mix.n_tokens").alias("n_tokens")))
+        given, topic = docs.withColumn("__mix", assigned(text)), F.col("__mix.topic").alias("topic")
+    if topic_col is not None:
+        topic = F.coalesce(F.col(topic_col).cast("string"), F.lit(NONE)).alias("topic")
+    return given.withColumn("__mix", F.struct(known("source").alias("source"), known("lang").alias("lang"), topic, F.col("__mix.n_tokens").alias("n_tokens")))
 
 
 def targets(cells: DataFrame, margin: str, given: dict | None = None) -> DataFrame:
@@ -84,7 +166,7 @@ def _rake_here(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) -> D
         if not len(p) or np.abs(p - old).max() < TOLERANCE:
             break
     frame["probability"] = p
-    return spark.createDataFrame(frame[[*MARGINS, "probability"]], "source string, lang string, topic string, probability double")
+    return spark.createDataFrame(frame[[*MARGINS, "tokens", "probability"]], "source string, lang string, topic string, tokens long, probability double")
 
 
 def _rake_joined(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) -> DataFrame:
@@ -100,34 +182,60 @@ def _rake_joined(cells: DataFrame, wanted: dict[str, DataFrame], keep: float) ->
         moved = now.join(old, list(MARGINS)).agg(F.max(F.abs(F.col("probability") - F.col("old")))).first()[0]
         if (moved or 0) < TOLERANCE:
             break
-    return now.select(*MARGINS, "probability")
+    return now.select(*MARGINS, "tokens", "probability")
 
 
-def plan(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, most_driver_cells: int = MOST_DRIVER_CELLS, text_col: str = "text") -> tuple[DataFrame, bool]:
-    """The keep probability of each cell, and whether the cells are few enough to be broadcast."""
-    m = with_traits(docs, text_col).select("__mix.*")
-    cells = stored(m.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+def plan(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, most_driver_cells: int = MOST_DRIVER_CELLS, text_col: str = "text", topic_col: str | None = None) -> tuple[DataFrame, bool, Topics]:
+    """The keep probability of each cell (with its tokens), whether the cells are few enough to be broadcast, and the topics."""
+    signed = stored(with_traits(docs, None, text_col).select("__mix.*", *([F.coalesce(F.col(topic_col).cast("string"), F.lit(NONE)).alias("topic")] if topic_col else [])), "signatures")
+    model = learn_topics(signed.filter("n_tokens > 0"), TOPICS) if topic_col is None else Topics(np.zeros(64, np.int64), np.zeros((1, 64), np.int64))
+    if topic_col is None:
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf("string")
+        def topic(vec: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([f"t{k}" if m else NONE for k, m in zip(shared.value.nearest(_read(vec)), n, strict=True)], dtype=object)
+
+        signed = signed.withColumn("topic", topic("vec", "n_tokens"))
+    cells = stored(signed.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     few = cells.count() <= most_driver_cells
     wanted = {name: targets(cells, name, (wishes or {}).get(name)) for name in MARGINS}
-    return (_rake_here if few else _rake_joined)(cells, wanted, keep), few
+    raked = (_rake_here if few else _rake_joined)(cells, wanted, keep)
+    return raked, few, model
+
+
+def achieved(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, text_col: str = "text", topic_col: str | None = None, within: float = 0.01) -> DataFrame:
+    """margin, category, wanted and expected (shares of the kept tokens) and met: within ``within`` of each other.
+
+    A category whose documents are all kept can fall short, as no document is taken twice; then others of its margin exceed theirs.
+    """
+    cells, _, _ = plan(docs, keep, wishes, text_col=text_col, topic_col=topic_col)
+    cells = stored(cells, "raked")
+    out = None
+    for m in MARGINS:
+        part = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.col("probability")).alias("kept")).join(targets(cells, m, (wishes or {}).get(m)), m)
+        part = part.select(F.lit(m).alias("margin"), F.col(m).alias("category"), F.col("share").alias("wanted"), F.coalesce(F.try_divide("kept", F.lit(cells.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0])), F.lit(0.0)).alias("expected"))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("met", F.abs(F.col("wanted") - F.col("expected")) <= within)
 
 
-def _drawn(docs: DataFrame, cells: DataFrame, few: bool, text_col: str, seed: int) -> DataFrame:
+def _drawn(docs: DataFrame, cells: DataFrame, few: bool, model: Topics, text_col: str, topic_col: str | None, seed: int) -> DataFrame:
+    cells = cells.drop("tokens")
     cells = F.broadcast(cells) if few else cells
     keys = [F.col(f"__mix.{m}") == F.col(f"__cell.{m}") for m in MARGINS]
-    joined = with_traits(docs, text_col).join(cells.select(F.struct(*cells.columns).alias("__cell")), keys, "left")
+    joined = with_traits(docs, model, text_col, topic_col).join(cells.select(F.struct(*cells.columns).alias("__cell")), keys, "left")
     id_col = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
     draw = F.call_function("shiftrightunsigned", F.xxhash64(id_col, F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(seed)), F.lit(11)) / F.lit(float(1 << 53))
     return joined.withColumn("__kept", draw < F.coalesce(F.col("__cell.probability"), F.lit(0.0)))
 
 
-def mix(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, most_driver_cells: int = MOST_DRIVER_CELLS, text_col: str = "text", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, most_driver_cells: int = MOST_DRIVER_CELLS, text_col: str = "text", topic_col: str | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, its cell, n_tokens, probability and whether the draw keeps it, for every row."""
-    cells, few = plan(docs, keep, wishes, most_driver_cells, text_col)
-    return _drawn(docs, cells, few, text_col, seed).select("doc_id", "__mix.*", F.col("__cell.probability").alias("probability"), F.col("__kept").alias("kept"))
+    cells, few, model = plan(docs, keep, wishes, most_driver_cells, text_col, topic_col)
+    return _drawn(docs, cells, few, model, text_col, topic_col, seed).select("doc_id", "__mix.*", F.col("__cell.probability").alias("probability"), F.col("__kept").alias("kept"))
 
 
-def sampled(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, text_col: str = "text", seed: int = SEED) -> DataFrame:
+def sampled(docs: DataFrame, keep: float = KEEP_SHARE, wishes: dict | None = None, text_col: str = "text", topic_col: str | None = None, seed: int = SEED) -> DataFrame:
     """The rows of docs that the draw keeps, with their own columns."""
-    cells, few = plan(docs, keep, wishes, text_col=text_col)
-    return _drawn(docs, cells, few, text_col, seed).filter("__kept").select(*docs.columns)
+    cells, few, model = plan(docs, keep, wishes, text_col=text_col, topic_col=topic_col)
+    return _drawn(docs, cells, few, model, text_col, topic_col, seed).filter("__kept").select(*docs.columns)
