@@ -341,6 +341,59 @@ def test_language_mixture_maximises_likelihood():
         assert np.log(g @ other).sum() <= best + 0.5
 
 
+def language_brute(rows, texts):
+    """Trigram counts in a dictionary a language, and for each text the best of all sets of languages by penalised likelihood."""
+    from itertools import combinations
+
+    counts = defaultdict(Counter)
+    for t, lang in rows:
+        counts[lang].update(language_id.trigrams(t).tolist())
+    langs, out = sorted(counts), []
+    size = {k: sum(c.values()) for k, c in counts.items()}
+    prob = lambda b, k: (counts[k][b] + language_id.SMOOTHING) / (size[k] + language_id.SMOOTHING * language_id.BUCKETS)
+    for t in texts:
+        tri = language_id.trigrams(t).tolist()
+        best = (-np.inf, ())
+        for many in range(1, len(langs) + 1):
+            for some in combinations(langs, many):
+                g = np.array([[prob(b, k) for k in some] for b in tri])
+                pi = np.full(many, 1 / many)
+                for _ in range(3000):
+                    pi = pi * (g / (g @ pi)[:, None]).mean(axis=0)
+                score = np.log(g @ pi).sum() - language_id.PENALTY * 0.5 * many * np.log(len(tri))
+                best = max(best, (score, tuple(zip(some, pi, strict=True))))
+        out.append(dict(best[1]))
+    return out
+
+
+def test_language_sets_are_those_of_an_exhaustive_search(spark):
+    rng = random.Random(6)
+    pools = {k: ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(60)] for k, letters in (("a", "abcdef"), ("b", "cdefgh"), ("c", "ghijkl"), ("d", "klmnop"))}
+    say = lambda k, n: " ".join(rng.choices(pools[k], k=n))
+    rows = [(say(k, 80), k) for k in pools for _ in range(5)]
+    texts = [say("a", 40), say("a", 60) + " " + say("c", 30), say("b", 40) + " " + say("d", 40), say("a", 40) + " " + say("c", 40) + " " + say("d", 40), say("b", 3)]
+    langs, model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    got = language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), langs, model).orderBy("doc_id").collect()
+    for r, want in zip(got, language_brute(rows, texts), strict=True):
+        assert r["langs"].keys() == want.keys() and all(abs(r["langs"][k] - want[k]) < 0.01 for k in want)
+
+
+def test_language_model_is_bounded_without_dropping_languages(spark):
+    rows = [(f"word{k} " * 20, f"l{k:02d}") for k in range(9)]
+    langs, model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"), most_cells=1 << 17)
+    assert len(langs) == 9 and model.shape == (1 << 13, 9) and np.allclose(model.sum(axis=0), 1, atol=1e-3)
+    got = language_id.identify(spark.createDataFrame(rows, "text string, lang string").withColumn("doc_id", F.lit(1)).withColumn("id", F.col("lang")), langs, model)
+    assert got.count() == 9
+
+
+def test_long_text_has_one_choice(spark):
+    en, de = "the cat and the dog are in the house with us ", "der Hund und die Katze sind mit uns im Haus "
+    langs, model = language_id.learn(spark.createDataFrame([(en * 20, "en"), (de * 20, "de")], "text string, lang string"))
+    rows = spark.createDataFrame([(1, en * 6 + de * 3), (2, en * 24_000 + de * 12_000)], "doc_id long, text string")
+    short, long = language_id.identify(rows, langs, model).orderBy("doc_id").collect()
+    assert short["langs"].keys() == long["langs"].keys() and abs(short["score"] - long["score"]) < 0.02
+
+
 def test_language_odd_rows(odd):
     langs, model = language_id.learn(odd)
     got = language_id.identify(odd, langs, model).collect()
@@ -418,6 +471,7 @@ def test_lm_score_matches_plain_models(spark):
     got = {r["doc_id"]: r for r in lm_score.lm_score(df, target).collect()}
     toks = {k: [w.decode() for w in lm_score.tokens(t)] for k, t in rows}
     vocab = sorted({w for t in toks.values() for w in t})
+    target_tokens = sum(len(toks[k]) for k in range(1, 20, 2))
     for corpus, name in ((range(1, 20, 2), "target_loss"), (toks, "background_loss")):
         uni, bi, ctx = Counter(), Counter(), Counter()
         for k in corpus:
@@ -429,8 +483,9 @@ def test_lm_score_matches_plain_models(spark):
         for k in (0, 1, 5):
             loss = 0.0
             for a, b in zip(["<s>", *toks[k]], toks[k], strict=False):
-                pair = bi[a, b] / ctx[a] if ctx[a] else 0
-                loss -= np.log(lm_score.BIGRAM * pair + (1 - lm_score.BIGRAM) * (uni[b] + 1) / (total + len(vocab) + 1))
+                scale = 1 if name == "target_loss" else target_tokens / total
+                word = (scale * uni[b] + 1) / (scale * total + len(vocab) + 1)
+                loss -= np.log((scale * bi[a, b] + lm_score.PRIOR * word) / (scale * ctx[a] + lm_score.PRIOR))
             assert abs(got[k][name] - loss / len(toks[k])) < 1e-5
     assert got[1]["score"] < got[0]["score"] and got[20]["n_tokens"] == got[21]["n_tokens"] == 0 and got[20]["score"] is None
 
@@ -443,11 +498,14 @@ def test_lm_score_odd_rows(odd):
 
 def lm_brute(rows, targets):
     toks = [lm_score.tokens(t) for _, t in rows]
-    vocab, losses = {w for t in toks for w in t}, []
+    vocab, losses, target = {w for t in toks for w in t}, [], 0
     for some in ([t for (k, _), t in zip(rows, toks, strict=True) if k in targets], toks):
         uni, bi = Counter(w for t in some for w in t), Counter(x for t in some for x in zip([None, *t], t, strict=False))
         ctx, total = uni + Counter({None: sum(1 for t in some if t)}), sum(uni.values())
-        prob = lambda a, b: lm_score.BIGRAM * (bi[a, b] / ctx[a] if ctx[a] else 0) + (1 - lm_score.BIGRAM) * (uni[b] + 1) / (total + len(vocab) + 1)  # noqa: B023, E731
+        target = target if losses else total
+        scale = target / total
+        word = lambda b: (scale * uni[b] + 1) / (scale * total + len(vocab) + 1)  # noqa: B023, E731
+        prob = lambda a, b: (scale * bi[a, b] + lm_score.PRIOR * word(b)) / (scale * ctx[a] + lm_score.PRIOR)  # noqa: B023, E731
         losses.append([-sum(np.log(prob(a, b)) for a, b in zip([None, *t], t, strict=False)) / len(t) if t else None for t in toks])
     return [(k, len(t), *x) for (k, _), t, *x in zip(rows, toks, *losses, strict=True)]
 
@@ -466,8 +524,15 @@ def test_lm_score_counts_every_word_and_bigram(spark, chunk):
         assert g[:2] == w[:2] and (g[2:] == w[2:] if w[2] is None else np.allclose(g[2:], w[2:], atol=1e-9)), (g, w)
 
 
-def test_vocabulary_is_bounded_by_count(odd):
-    assert len(lm_score.vocabulary(odd.select("text"), 5)) <= 5
+def test_lm_score_is_the_same_however_often_the_background_is_repeated(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefg") for _ in range(40))) for k in range(30)]
+    wanted = spark.createDataFrame([(k,) for k in range(10)], "doc_id long")
+    one = lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), wanted)
+    more = rows + [(100 * n + k, t) for n in (1, 2, 3) for k, t in rows]
+    many = lm_score.lm_score(spark.createDataFrame(more, "doc_id long, text string"), wanted)
+    a, b = ({r["doc_id"]: r["score"] for r in x.collect()} for x in (one, many))
+    assert all(abs(a[k] - b[k]) < 1e-9 for k, _ in rows)
 
 
 # 8

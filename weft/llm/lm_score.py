@@ -1,8 +1,13 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target corpus and of the whole (background) corpus, share one vocabulary and one smoothing: every
-word of the corpus is in it, and every bigram has its own count. A document's score is its mean loss per token under the
-target model less that under the background model: the lower, the more it is like the target.
+Two matched bigram models, of a target corpus and of the whole (background) corpus, share one vocabulary and one
+smoothing: every word of the corpus is in it, and every bigram has its own count. The background is counted over all
+documents and its counts are scaled to the target's number of tokens, which is what a draw of that size would hold on
+average; so both models trust what they have seen equally, however much larger the corpus is. A document's score is its
+mean loss per token under the target model less that under the background model: the lower, the more it is like the target.
+
+A word's probability after another is (pairs + PRIOR * unigram) / (occurrences of the other + PRIOR), the unigram one
+(count + 1) / (tokens + words + 1).
 
 Texts are read once, into chunks of about ``CHUNK`` tokens (numbers into the chunk's own words). A chunk sends one
 count for each different word and bigram it has to the bucket of that key; a bucket sums the counts of all chunks and
@@ -10,14 +15,14 @@ answers each chunk in the chunk's own order, so a hot bigram is one entry a chun
 are 63-bit hashes with a bit that tells words from bigrams.
 
 Defined results: a null or empty text, or one without words, has no tokens and null losses; without target documents
-the target model is uniform; rows with null ids are counted and scored; repeated rows count as often as they occur; an
+the target model is uniform and the background is not scaled; rows with null ids are counted and scored; repeated rows count as often as they occur; an
 empty table gives an empty result; other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,8 @@ from weft.llm.jaccard_join import _groups
 from weft.llm.substring_dedup import word_hashes
 from weft.session import stored
 
-VOCABULARY = 1 << 17
-#: Weight of the bigram estimate against the unigram one.
-BIGRAM = 0.6
-#: Distinct words that a task sums before it hands them on.
-MOST_HELD = 500_000
+#: Occurrences of a context that its bigrams need to weigh as much as the unigram estimate.
+PRIOR = 4.0
 #: Tokens of a chunk, but for a longer last text.
 CHUNK = 1 << 20
 #: Least buckets, and tokens of the corpus for each when there are more.
@@ -52,35 +54,6 @@ def tokens(text: str | None) -> list:
     return text.lower().encode().translate(_BLANKS).split() if text else []
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list:
-    """The most frequent words, by count and then by word; of the words tied at the end all or none are in."""
-
-    def count(batches):
-        sums: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                sums.update(tokens(text.as_py()))
-                if len(sums) > MOST_HELD:
-                    yield rows(sums)
-                    sums = Counter()
-        yield rows(sums)
-
-    def rows(sums):
-        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
-
-    words = stored(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # how many words have each count: as many rows as there are different counts
-    sizes = sorted(words.groupBy("n").agg(F.count("*").alias("k")).collect(), reverse=True)
-    least, held = None, 0
-    for n, k in sizes:
-        if held + k > size:
-            break
-        least, held = n, held + k
-    if least is None:
-        return []
-    return words.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toArrow().column(0).to_pylist()
-
-
 def _packed(values: np.ndarray) -> bytes:
     """Numbers by byte planes, deflated."""
     return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), 1)
@@ -225,7 +198,8 @@ def lm_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
     wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     marks = held.select("chunk", F.posexplode("ids").alias("pos", "doc_id")).join(wanted.hint("merge"), "doc_id").groupBy("chunk").agg(F.collect_list("pos").alias("marks"))
     answers = stored(summed(sent(held.drop("ids").join(marks.hint("merge"), "chunk", "left"), bits)), "answers")
-    words, *totals = (x or 0 for x in answers.agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
+    words, target, background = (x or 0 for x in answers.agg(F.sum("words"), F.sum("target"), F.sum("background")).first())
+    models = [(target, 1.0), (background, target / background if target else 1.0)]
 
     def score(batches):
         for batch in batches:
@@ -233,13 +207,12 @@ def lm_score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_c
                 c = Chunk(row["sizes"], row["words"], row["at"])
                 sorted_counts = [np.concatenate(x) for x in zip(*(_unpacked(a["counts"], "i8").reshape(2, -1) for a in sorted(row["answers"], key=lambda a: a["bucket"])), strict=True)]
                 losses = []
-                for total, by_key in zip(totals, sorted_counts, strict=True):
+                for (total, scale), by_key in zip(models, sorted_counts, strict=True):
                     n = np.empty(len(by_key))
-                    n[c.order] = by_key
+                    n[c.order] = by_key * scale
                     pairs, single = n[: len(c.a)], n[len(c.a) :]
-                    seen = single[c.a]
-                    pair = np.divide(pairs, seen, out=np.zeros(len(pairs)), where=seen > 0)
-                    loss = -np.log(BIGRAM * pair + (1 - BIGRAM) * (single[c.b] + 1) / (total + words + 1))
+                    unigram = (single[c.b] + 1) / (total * scale + words + 1)
+                    loss = -np.log((pairs + PRIOR * unigram) / (single[c.a] + PRIOR))
                     losses.append(np.bincount(c.doc, loss[c.pair], len(c.sizes)) / np.maximum(c.sizes, 1))
                 none = c.sizes == 0
                 columns = [pa.array(row["ids"], pa.int64()), pa.array(c.sizes), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))]
