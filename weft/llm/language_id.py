@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import stored
+
+#: Cells of a language's distribution; halved while languages times cells are more than ``MOST_CELLS``, which bounds the model.
 BUCKETS = 1 << 16
-#: Languages of most trigrams that are learned; bounds the model.
-MOST_LANGUAGES = 256
+MOST_CELLS = 1 << 25
 SMOOTHING = 0.5
-#: Languages that a document's mixture is searched among: those that explain most of its trigrams.
-CANDIDATES = 8
-ROUNDS = 12
+#: Expectation-maximisation ends when no proportion moves by this.
+STILL = 1e-4
+MOST_ROUNDS = 1000
 PENALTY = 6.0
-#: Trigrams looked at together, for bounded memory; proportions of a longer text are averaged over such stretches.
-STRETCH = 1_000_000
+#: Languages whose counts a task holds before it hands them on.
+MOST_HELD = 64
 UND = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -48,7 +50,7 @@ def trigrams(text: str) -> np.ndarray:
     return (key * np.uint32(2654435761)) >> np.uint32(16)
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list, np.ndarray]:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_cells: int = MOST_CELLS) -> tuple[list, np.ndarray]:
     """Languages in order, and the probability of each bucket (rows) in each (columns)."""
 
     def count(batches):
@@ -61,9 +63,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
                     have += np.bincount(t, minlength=BUCKETS)
                 else:
                     np.add.at(have, t, 1)
-            if len(sums) > MOST_LANGUAGES:
-                yield from emit(sums)
-                sums = {}
+                if len(sums) > MOST_HELD:
+                    yield from emit(sums)
+                    sums = {}
         yield from emit(sums)
 
     def emit(sums):
@@ -72,48 +74,51 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype("i4")), pa.array(have[at])], ["lang", "bucket", "n"])
 
     labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    large = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    langs = sorted(large)
-    places = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
-    table = counts.filter(F.col("lang").isin(langs)).select("bucket", places.alias("place"), "n").toArrow()
-    n = np.zeros((BUCKETS, len(langs)))
-    n[table.column(0).to_numpy(), table.column(1).to_numpy() - 1] = table.column(2).to_numpy()
-    return langs, ((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
-
-
-def _em(g: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    for _ in range(ROUNDS):
-        mixed = g @ pi
-        new = pi * (g / mixed[:, None]).mean(axis=0)
-        if np.abs(new - pi).max() < 1e-3:
-            return new / new.sum()
+    counts = stored(labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    fold = 0
+    while len(langs) << (16 - fold) > most_cells:
+        fold += 1
+    names = counts.sparkSession.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, place int")
+    n = np.zeros((BUCKETS >> fold, len(langs)))
+    cells = counts.join(names, "lang").groupBy(F.call_function("shiftright", F.col("bucket"), F.lit(fold)).alias("bucket"), "place").agg(F.sum("n").alias("n"))
+    table = cells.select("bucket", "place", "n").toArrow()
+    n[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
+    return langs, ((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * len(n))).astype(np.float32)
+
+
+def _em(g: np.ndarray, pi: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """The proportions that maximise the likelihood, from pi on; times: how often each row counts."""
+    share = np.full(len(g), 1 / len(g)) if times is None else times / times.sum()
+    for _ in range(MOST_ROUNDS):
+        new = pi * (share @ (g / (g @ pi)[:, None]))
+        still = np.abs(new - pi).max() < STILL
         pi = new
+        if still:
+            break
     return pi / pi.sum()
 
 
-def mixture(g: np.ndarray) -> np.ndarray:
-    """The proportions of the languages (columns) in a document of trigrams (rows) with these likelihoods."""
+def mixture(g: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """The proportions of the languages (columns) in a document of different trigrams (rows) with these likelihoods,
+    each of which occurs so many times."""
     n, languages = g.shape
+    times = np.ones(n) if times is None else times.astype(float)
     out = np.zeros(languages)
-    if languages > CANDIDATES:
-        share = (g / g.sum(axis=1, keepdims=True)).mean(axis=0)
-        some = np.sort(np.argsort(-share, kind="stable")[:CANDIDATES])
-        out[some] = mixture(np.ascontiguousarray(g[:, some]))
-        return out
-    logs = np.log(g).sum(axis=0, dtype=float)
+    logs = times @ np.log(g, dtype=float)
     best = int(np.argmax(logs))
     out[best] = 1.0
-    if languages == 1 or (g / g[:, best : best + 1]).mean(axis=0).max() <= 1 + 1e-6:
+    total = times.sum()
+    if languages == 1 or (times @ (g / g[:, best : best + 1]) / total).max() <= 1 + 1e-6:
         return out
-    full = _em(g, np.full(languages, 1.0 / languages, np.float32))
+    full = _em(g, np.full(languages, 1.0 / languages), times)
     order = np.argsort(-full, kind="stable")
-    score = logs[best] - PENALTY * 0.5 * np.log(n)
+    score = logs[best] - PENALTY * 0.5 * np.log(total)
     for size in range(2, languages + 1):
         members = order[:size]
         part = np.ascontiguousarray(g[:, members])
-        pi = _em(part, (full[members] / full[members].sum()).astype(np.float32))
-        new = np.log(part @ pi).sum(dtype=float) - PENALTY * 0.5 * size * np.log(n)
+        pi = _em(part, full[members] / full[members].sum(), times)
+        new = times @ np.log(part @ pi) - PENALTY * 0.5 * size * np.log(total)
         if new <= score:
             break
         score = new
@@ -129,14 +134,15 @@ def identify(docs: DataFrame, langs: list, model: np.ndarray, id_col: str = "doc
 
     def infer(batches):
         names, likelihood = shared.value
+        fold = np.uint32((BUCKETS // max(1, len(likelihood))).bit_length() - 1)
         for batch in batches:
             out: tuple = ([], [], [])
             for text in batch.column(1):
                 text, shares = text.as_py(), None
                 if text is not None and names and LETTER.search(text):
-                    t = trigrams(text)
-                    parts = [t[i : i + STRETCH] for i in range(0, len(t), STRETCH)]
-                    shares = sum(mixture(likelihood[p]) * (len(p) / len(t)) for p in parts)
+                    # a document has as many rows as different trigrams, at most one a cell, however long it is
+                    cells, times = np.unique(trigrams(text) >> fold, return_counts=True)
+                    shares = mixture(likelihood[cells], times)
                 for column, value in zip(out, (UND, 0.0, []) if shares is None else (names[int(np.argmax(shares))], float(min(1.0, shares.max())), [(names[k], float(shares[k])) for k in np.flatnonzero(shares)]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "langs"])
