@@ -613,6 +613,28 @@ def test_nearest_odd_rows(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_any_magnitude_and_length(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(120, 4))
+    rows = [(k, (x * (1e200, 1e-200, 1.0)[k % 3]).tolist()) for k, x in enumerate(v)] + [(200, [1.0, 2.0]), (201, [2.0, 1.0]), (202, [1.0, 1.9]), (250, [5.0])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for k in (0, 50, 100):
+        s = u @ u[k]
+        s[k] = -9
+        g = got[got["query_id"] == k].sort_values("rank")
+        assert np.allclose(g["score"], s[g["vec_id"]], atol=1e-12) and len(set(g["vec_id"]) & set(np.argsort(-s)[:5])) >= 4
+    assert got[got["query_id"] == 200].sort_values("rank")["vec_id"].tolist() == [202, 201] and not (got["query_id"] == 250).any()
+
+
+def test_few_lists_are_opened_where_vectors_have_clusters():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(100, 32))
+    x = centres[rng.integers(0, 100, 8000)] + 0.2 * rng.normal(size=(8000, 32))
+    index = nearest.Index(x[:6000], 40, 5)
+    assert len(index.opened(nearest._unit(x[6000:]))[0]) / 2000 < 4
+
+
 def test_many_equal_vectors(spark):
     df = spark.createDataFrame([(k, [1.0, 2.0, 3.0]) for k in range(120)] + [(200, [3.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     got = {k: [] for k in (0, 50, 100, 200)}

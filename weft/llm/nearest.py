@@ -11,8 +11,8 @@ Equal vectors are one entry with its ``k + 1`` least ids, more of which can neve
 the queries that open them are cut into chunks of bounded size, every chunk of one met by every chunk of the other, so
 no list is too large for a task. Scores are cosines of the original vectors in double precision.
 
-Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite numbers
-take no part, nor do rows with a null id; repeated ids count once; fewer candidates than k give as many rows; an empty
+Defined results: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do rows with a
+null id; vectors of different lengths are never near each other; repeated ids count once; fewer candidates than k give as many rows; an empty
 table gives an empty result; other columns are never looked at.
 """
 
@@ -30,7 +30,7 @@ LIST = 256
 MOST_LISTS = 4096
 REPLICAS = 4
 BOUNDARY = 1.15
-SAMPLE_RECALL = 0.985
+SAMPLE_RECALL = 0.96
 SAMPLE_QUERIES = 256
 DEGREE = 24
 CHUNK = 4096
@@ -46,8 +46,14 @@ def entries(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components to about 1: cosines stay as they are, digit by digit,
+    but squares of very large or small components neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -167,7 +173,7 @@ def _best(k: int):
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         if not stored_in.num_rows or not asked.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        x, q = (np.array(t.column("v").to_pylist(), float) for t in (stored_in, asked))
+        x, q = (scaled(np.array(t.column("v").to_pylist(), float)) for t in (stored_in, asked))
         norms = lambda a: np.sqrt((a * a).sum(axis=1))
         nx, nq = norms(x), norms(q)
         ids, queries, out = stored_in.column("ids").to_pylist(), asked.column("query_id").to_pylist(), []
@@ -192,17 +198,20 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = K, id_col: str = "vec_
     width = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if width is None:
         return spark.createDataFrame([], schema)
-    usable = usable.filter(F.size("v") == width["d"])
-    sample = np.array([r[0] for r in usable.orderBy(F.xxhash64(F.col("ids")[0])).limit(SAMPLE).select("v").collect()], float)
+    main = F.size("v") == width["d"]
+    sample = np.array([r[0] for r in usable.filter(main).orderBy(F.xxhash64(F.col("ids")[0])).limit(SAMPLE).select("v").collect()], float)
     index = spark.sparkContext.broadcast(Index(sample, lists or min(MOST_LISTS, -(-width["n"] // LIST)), k))
 
     asked = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("v")).filter((F.col("query_id") % every == 0)).distinct()
     asked = asked.join(usable.select("v"), "v", "left_semi")
-    postings = stored(_dealt(usable, index, "homes", ["v", "ids"]), "postings")
-    probes = stored(_dealt(asked, index, "opened", ["v", "query_id"]), "probes")
+    # vectors of another length than most have a list for each length, which queries of that length open
+    dealt = lambda rows, pick, columns: _dealt(rows.filter(main), index, pick, columns).unionByName(rows.filter(~main).select((-F.size("v")).alias("list"), *columns))
+    postings = stored(dealt(usable, "homes", ["v", "ids"]), "postings")
+    probes = stored(dealt(asked, "opened", ["v", "query_id"]), "probes")
     chunks = lambda rows, name: rows.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
-    # one row a list, MOST_LISTS at most
-    sizes = F.broadcast(chunks(postings, "p").join(chunks(probes, "q"), "list"))
+    # one row a list
+    sizes = stored(chunks(postings, "p").join(chunks(probes, "q"), "list"), "list-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= 2 * MOST_LISTS else sizes
 
     def chunked(rows, own, other, mine, its, key):
         at = rows.join(sizes, "list").withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
