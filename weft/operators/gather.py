@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import ratio
+from weft.operators.graph import neighbour_sums
 from weft.operators.paths import normals, series
 from weft.operators.raster import PIXEL
 
@@ -38,10 +39,7 @@ def line_graph_layer(edges: DataFrame, columns: list[str], weights: list[list[fl
 
     Nodes sum their edges once, so a hot node costs as much as its edges, not their pairs.
     """
-    ends = edges.select("image", "edge", *columns, F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
-    sums = ends.groupBy("image", "node").agg(F.count("*").alias("__n"), *(F.sum(c).alias(f"__{c}") for c in columns))
-    near = ends.join(sums, ["image", "node"]).groupBy("image", "edge").agg(F.sum(F.col("__n") - 1).alias("__n"), *(F.sum(F.col(f"__{c}") - F.col(c)).alias(f"__{c}") for c in columns))
-    at = edges.join(near, ["image", "edge"])
-    h = [(1 + eps) * F.col(c) + F.coalesce(ratio(F.col(f"__{c}").cast("double"), F.col("__n")), F.lit(0.0)) for c in columns]
+    at = edges.join(neighbour_sums(edges, columns), ["image", "edge"])
+    h = [(1 + eps) * F.col(c) + F.coalesce(ratio(F.col(f"sum_{c}").cast("double"), F.col("n")), F.lit(0.0)) for c in columns]
     out = [F.greatest(sum((w * x for w, x in zip(row, h, strict=True)), F.lit(float(b))), F.lit(0.0)).alias(f"out_{k}") for k, (row, b) in enumerate(zip(weights, bias, strict=True))]
     return at.select("image", "edge", *out)

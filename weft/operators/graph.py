@@ -78,22 +78,52 @@ def branch_angles(ends_at: DataFrame) -> DataFrame:
 
 
 def line_graph(edges: DataFrame) -> DataFrame:
-    """(image, src, dst): ordered pairs of different edges that share a node, once each."""
-    e = ends(edges).distinct()
-    other = e.select("image", "node", F.col("edge").alias("dst"))
-    return e.withColumnRenamed("edge", "src").join(other, ["image", "node"]).filter("src <> dst").select("image", "src", "dst").distinct()
+    """(image, src, dst): ordered pairs of different edges that share a node, once each.
 
+    A pair that shares both its nodes is given at the lesser of them, so that the pairs need not be made distinct.
+    """
+    e = edges.select("image", "edge", "u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
+    other = e.select("image", "node", F.col("edge").alias("dst"), F.col("u").alias("u2"), F.col("v").alias("v2"))
+    shared = F.array_min(F.array_intersect(F.array("u", "v"), F.array("u2", "v2")))
+    return e.withColumnRenamed("edge", "src").join(other, ["image", "node"]).filter((F.col("src") != F.col("dst")) & (F.col("node") == shared)).select("image", "src", "dst")
 
-def neighbour_stats(edges: DataFrame, value: str) -> DataFrame:
-    """Mean and count of a value over the edges that share a node, without pairing the edges of a hot node.
 
-    Each node is summed once; an edge takes its nodes' sums less its own share. Parallel edges count at either node.
+#: Sums over neighbours are taken in decimals, so that what a hot node has and an edge's own share part without error.
+EXACT = "decimal(30,12)"
+
+
+def neighbour_sums(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """(image, edge, n, and n_<c>, sum_<c> of each column): over the different edges that share a node, without pairing them.
+
+    Each node is summed once; an edge takes its nodes' sums, less its own share and less what parallel edges have at the
+    second node. Values are under 1e18, to twelve places; NULLs are left out of n_<c> and sum_<c>.
     """
-    v = F.col(value).cast("double")
-    e = edges.select("image", "edge", v.alias("x"), F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
-    sums = e.groupBy("image", "node").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
-    near = e.join(sums, ["image", "node"]).groupBy("image", "edge").agg(F.sum(F.col("s") - F.col("x")).alias("s"), F.sum(F.col("n") - 1).alias("n"))
-    return near.select("image", "edge", F.col("n").alias("neighbours"), F.try_divide("s", "n").alias(f"{value}_near"))
+    own = [F.col(c).cast(EXACT).alias(f"__{c}") for c in columns]
+    e = edges.select("image", "edge", "u", "v", *own)
+    totals = [F.count("*").alias("t"), *(x for c in columns for x in (F.sum(f"__{c}").alias(f"t_{c}"), F.count(f"__{c}").alias(f"m_{c}")))]
+    ends = e.withColumn("node", F.explode(F.array_distinct(F.array("u", "v"))))
+    at_node = ends.join(ends.groupBy("image", "node").agg(*totals), ["image", "node"])
+    # parallel edges stand at both nodes: once is enough
+    key = [F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")]
+    apart = e.filter("u <> v").select("*", *key)
+    twice = apart.join(apart.groupBy("image", "a", "b").agg(*totals), ["image", "a", "b"])
+    zero = F.lit(0)
+
+    def parts(rows: DataFrame, sign: int) -> DataFrame:
+        each = [x for c in columns for x in (
+            (sign * (F.coalesce(f"t_{c}", zero) - F.coalesce(f"__{c}", zero))).cast("decimal(38,12)").alias(f"sum_{c}"),
+            (sign * (F.col(f"m_{c}") - F.col(f"__{c}").isNotNull().cast("long"))).alias(f"n_{c}"),
+        )]
+        return rows.select("image", "edge", (sign * (F.col("t") - 1)).alias("n"), *each)
+
+    return parts(at_node, 1).unionByName(parts(twice, -1)).groupBy("image", "edge").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for c in columns for x in (f"sum_{c}", f"n_{c}")))
+
+
+def neighbour_stats(edges: DataFrame, value: str) -> DataFrame:
+    """Mean and count of a value over the different edges that share a node."""
+    near = neighbour_sums(edges, [value])
+    mean = F.try_divide(F.col(f"sum_{value}").cast("double"), F.col(f"n_{value}"))
+    return near.select("image", "edge", F.col(f"n_{value}").alias("neighbours"), mean.alias(f"{value}_near"))
 
 
 def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -102,16 +132,29 @@ def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends(edges).distinct().join(known, ["image", "node"], "left_anti").select("image", "edge", "node", F.lit("missing node").alias("problem"))
 
 
-def khop(edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(image, edge, node, hop): nodes within ``hops`` steps of an edge's ends, with the fewest steps."""
+def khop(edges: DataFrame, hops: int = 2, middles: DataFrame | None = None, places: DataFrame | None = None, radius: float | None = None) -> DataFrame:
+    """(image, edge, node, hop): nodes within ``hops`` steps of an edge's ends, with the fewest steps.
+
+    With a radius a step leads only to nodes (places: image, node, row, col) within it of the edge's middle (image, edge,
+    row, col), which bounds a context however many edges its nodes have; the two ends are always in.
+    """
     steps = edges.select("image", F.col("u").alias("node"), F.col("v").alias("next")).union(edges.select("image", F.col("v").alias("node"), F.col("u").alias("next"))).distinct()
     reached = ends(edges).distinct().withColumn("hop", F.lit(0))
+    own = ["image", "edge"]
+    if radius is not None:
+        own = ["image", "edge", "__r", "__c"]
+        steps = steps.join(places.select("image", F.col("node").alias("next"), F.col("row").alias("__row"), F.col("col").alias("__col")), ["image", "next"])
+        reached = reached.join(middles.select("image", "edge", F.col("row").alias("__r"), F.col("col").alias("__c")), ["image", "edge"])
     front = reached
     for h in range(1, hops + 1):
-        nxt = front.join(steps, ["image", "node"]).select("image", "edge", F.col("next").alias("node")).distinct().withColumn("hop", F.lit(h))
-        front = nxt.join(reached.select("image", "edge", "node"), ["image", "edge", "node"], "left_anti")
+        nxt = front.join(steps, ["image", "node"])
+        if radius is not None:
+            dr, dc = F.col("__row") - F.col("__r"), F.col("__col") - F.col("__c")
+            nxt = nxt.filter(dr * dr + dc * dc <= radius * radius)
+        nxt = nxt.select(*own, F.col("next").alias("node")).distinct().withColumn("hop", F.lit(h))
+        front = nxt.join(reached.select("image", "edge", "node"), ["image", "edge", "node"], "left_anti").select(*reached.columns)
         reached = reached.unionByName(front)
-    return reached
+    return reached.select("image", "edge", "node", "hop")
 
 
 def induced(edges: DataFrame, context: DataFrame) -> DataFrame:

@@ -6,21 +6,29 @@ from pyspark.sql import functions as F
 
 from weft.operators import graph as G
 from weft.operators import policies
-from weft.plans.relations import edges, nodes, with_
+from weft.plans.relations import edges, middles, nodes, places, with_
 from weft.plans.sweep_queries import rounded
 
 _COMPONENTS = with_("edges", "ends", recursive=True) + """, steps AS (SELECT u AS a, v AS b FROM edges UNION SELECT v, u FROM edges
-), reach(node, other) AS (
-  SELECT DISTINCT node, node FROM ends UNION SELECT reach.node, steps.b FROM reach JOIN steps ON steps.a = reach.other
-), comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node) """
-
-_KHOP = with_("edges", "ends") + """, steps AS (SELECT image, u AS a, v AS b FROM edges UNION SELECT image, v, u FROM edges
-), h0 AS (SELECT DISTINCT image, edge, node, 0 AS hop FROM ends
-), h1 AS (SELECT image, edge, node, hop FROM h0 UNION SELECT h0.image, edge, b, 1 FROM h0 JOIN steps ON steps.image = h0.image AND a = node
-), h2 AS (SELECT image, edge, node, hop FROM h1 UNION SELECT h1.image, edge, b, 2 FROM h1 JOIN steps ON steps.image = h1.image AND a = node
+), comp(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM steps
+  UNION
+  SELECT s.a, min(c.component) FROM comp c JOIN steps s ON s.b = c.node JOIN recurring.comp r ON r.node = s.a WHERE c.component < r.component GROUP BY s.a
+) """
+
+RADIUS = 6.0
+_KHOP = with_("edges", "ends", "places", "middles") + f""", steps AS (
+  SELECT s.image, s.a, s.b, p.row, p.col FROM (SELECT image, u AS a, v AS b FROM edges UNION SELECT image, v, u FROM edges) s JOIN places p ON p.image = s.image AND p.node = s.b
+), h0 AS (SELECT DISTINCT e.image, edge, node, 0 AS hop, m.row AS r, m.col AS c FROM ends e JOIN middles m USING (edge)
+), h1 AS (SELECT * FROM h0 UNION SELECT h0.image, edge, b, 1, r, c FROM h0 JOIN steps ON steps.image = h0.image AND a = node WHERE (row - r) * (row - r) + (col - c) * (col - c) <= {RADIUS * RADIUS:.0f}
+), h2 AS (SELECT * FROM h1 UNION SELECT h1.image, edge, b, 2, r, c FROM h1 JOIN steps ON steps.image = h1.image AND a = node WHERE (row - r) * (row - r) + (col - c) * (col - c) <= {RADIUS * RADIUS:.0f}
 ), ctx AS (SELECT image, edge, node, min(hop)::INT AS hop FROM h2 GROUP BY ALL) """
 
 
+def _context(s, d, hops):
+    return G.khop(edges(s, d), hops, middles(s, d), places(s, d), RADIUS)
+
+
 def _labelled(s, d):
     e = edges(s, d)
     return e.withColumn("predicted_label", F.when(F.col("discount") < 0.05, F.col("raw_label")).otherwise("uncertain"))
@@ -47,7 +55,7 @@ def _component_structure(s, d):
 
 def _local_structure(s, d):
     e = edges(s, d)
-    inside = G.induced(e, G.khop(e, 1))
+    inside = G.induced(e, _context(s, d, 1))
     other = e.select("image", F.col("edge").alias("other"), "u", "v", "length")
     return rounded(G.structure(inside.join(other, ["image", "other"]), ["edge"]))
 
@@ -91,14 +99,14 @@ QUERIES = {
     "line_graph": (lambda s, d: G.line_graph(edges(s, d)), with_("edges", "ends") + "SELECT DISTINCT a.image, a.edge AS src, b.edge AS dst FROM ends a JOIN ends b ON a.image = b.image AND a.node = b.node AND a.edge <> b.edge"),
     "neighbour_stats": (
         lambda s, d: rounded(G.neighbour_stats(edges(s, d), "length")),
-        with_("edges", "ends") + ", e AS (SELECT DISTINCT image, edge, node FROM ends) SELECT a.image, a.edge, count(x.length) AS neighbours, round(sum(x.length) / nullif(count(x.length), 0), 6) AS length_near FROM e a LEFT JOIN e b ON a.image = b.image AND a.node = b.node AND a.edge <> b.edge LEFT JOIN edges x ON x.edge = b.edge GROUP BY a.image, a.edge",
+        with_("edges", "ends") + ", e AS (SELECT DISTINCT image, edge, node FROM ends), p AS (SELECT DISTINCT a.edge, b.edge AS other FROM e a JOIN e b ON a.image = b.image AND a.node = b.node AND a.edge <> b.edge) SELECT a.image, a.edge, count(x.length) AS neighbours, round(sum(x.length::DECIMAL(30, 12))::DOUBLE / nullif(count(x.length), 0), 6) AS length_near FROM edges a LEFT JOIN p ON p.edge = a.edge LEFT JOIN edges x ON x.edge = p.other GROUP BY a.image, a.edge",
     ),
     "junction_policy": (
         lambda s, d: policies.junction_policy(_labelled(s, d)).select("image", "edge", "raw_label", "predicted_label"),
         with_("edges", "ends") + ", n AS (SELECT DISTINCT a.edge, x.raw_label FROM ends a JOIN ends b ON a.image = b.image AND a.node = b.node AND a.edge <> b.edge JOIN edges x ON x.edge = b.edge) SELECT image, edge, raw_label, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.edge = e.edge) AND NOT EXISTS (SELECT 1 FROM n WHERE n.edge = e.edge AND n.raw_label = e.raw_label) THEN 'uncertain' WHEN discount < 0.05 THEN raw_label ELSE 'uncertain' END AS predicted_label FROM edges e",
     ),
     "validate_refs": (lambda s, d: G.validate(edges(s, d), nodes(s, d)), with_("edges", "ends", "nodes") + "SELECT DISTINCT image, edge, node, 'missing node' AS problem FROM ends e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.image = e.image AND n.node = e.node)"),
-    "khop_context": (lambda s, d: G.khop(edges(s, d), 2), _KHOP + "SELECT image, edge, node, hop FROM ctx"),
+    "khop_context": (lambda s, d: _context(s, d, 2), _KHOP + "SELECT image, edge, node, hop FROM ctx"),
     "pairs_within": (
         lambda s, d: rounded(G.pairs_within(nodes(s, d).withColumnRenamed("node", "point"), 3.0)),
         with_("edges", "ends", "nodes") + "SELECT a.image, a.node AS a, b.node AS b, round(sqrt(power(a.row - b.row, 2) + power(a.col - b.col, 2)), 6) AS distance FROM nodes a JOIN nodes b ON a.image = b.image AND a.node < b.node WHERE power(a.row - b.row, 2) + power(a.col - b.col, 2) <= 9",

@@ -30,14 +30,26 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 46 and l_returnflag = 'R'")
+    li = table(spark, sf_dir, "lineitem")
     base = F.col("l_linenumber").cast("long") * 10_000_000
     return li.select(
-        F.col("l_linenumber").cast("long").alias("image"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 1_000_000).alias("edge"), (base + F.col("l_partkey")).alias("u"),
+        F.col("l_linenumber").cast("long").alias("image"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("edge"), (base + F.col("l_partkey")).alias("u"),
         (base + 5_000_000 + F.col("l_suppkey")).alias("v"), F.col("l_extendedprice").alias("length"), F.col("l_linestatus").alias("raw_label"), F.col("l_discount").alias("discount"),
     )
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every end of an edge lies, and an edge's middle: that of its end u."""
+    e = edges(spark, sf_dir).select("image", F.explode(F.array("u", "v")).alias("node")).distinct()
+    key = F.col("node") % 5_000_000
+    return e.select("image", "node", (key % 97).alias("row"), (F.floor(key / 97) % 89).alias("col"))
+
+
+def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("u") % 5_000_000
+    return edges(spark, sf_dir).select("image", "edge", (key % 97).alias("row"), (F.floor(key / 97) % 89).alias("col"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ends of edges, but for suppliers divisible by 10, as points with two features."""
     e = edges(spark, sf_dir).select("image", F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -66,9 +78,11 @@ SQL = {
     "prob": f"prob AS (SELECT vec_id AS image, ((i - 1) // {SIDE})::INT AS row, ((i - 1) % {SIDE})::INT AS col, greatest(0.0, least(1.0, 0.5 + e::DOUBLE)) AS p FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))",
     "mask": "mask AS (SELECT image, row, col FROM prob WHERE p >= 0.55::DOUBLE)",
     "scores": "scores AS (SELECT l_suppkey AS image, CAST(round(l_discount * 100) AS INT) * 25 AS score, l_returnflag = 'R' AS truth FROM lineitem)",
-    "edges": "edges AS (SELECT l_linenumber::BIGINT AS image, (l_orderkey * 10 + l_linenumber) * 1000000 + (l_partkey * 7 + l_suppkey * 13) % 1000000 AS edge, l_linenumber::BIGINT * 10000000 + l_partkey AS u, l_linenumber::BIGINT * 10000000 + 5000000 + l_suppkey AS v, l_extendedprice AS length, l_linestatus AS raw_label, l_discount AS discount FROM lineitem WHERE l_quantity >= 46 AND l_returnflag = 'R')",
+    "edges": "edges AS (SELECT l_linenumber::BIGINT AS image, ((l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey) * 100 + l_quantity::BIGINT AS edge, l_linenumber::BIGINT * 10000000 + l_partkey AS u, l_linenumber::BIGINT * 10000000 + 5000000 + l_suppkey AS v, l_extendedprice AS length, l_linestatus AS raw_label, l_discount AS discount FROM lineitem)",
     "ends": "ends AS (SELECT image, edge, u AS node FROM edges UNION ALL SELECT image, edge, v FROM edges)",
     "nodes": "nodes AS (SELECT image, node, key % 97 AS row, (key // 97) % 89 AS col, key % 7 AS f, CASE WHEN key % 5 > 0 THEN key % 11 END AS g FROM (SELECT DISTINCT image, node, node % 5000000 AS key FROM ends) WHERE NOT (node % 10000000 >= 5000000 AND key % 10 = 0))",
+    "places": "places AS (SELECT DISTINCT image, node, node % 5000000 % 97 AS row, (node % 5000000 // 97) % 89 AS col FROM ends)",
+    "middles": "middles AS (SELECT image, edge, u % 5000000 % 97 AS row, (u % 5000000 // 97) % 89 AS col FROM edges)",
     "paths": "paths AS (SELECT user_id AS edge, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS row, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS col, event_type FROM events)",
     "predictions": "predictions AS (SELECT doc_id, quality AS y, 1 - toxic AS yhat, n_chars AS length, n_chars < 200 AS abstained, source, lang, (doc_id % 5)::INT AS fold FROM labels JOIN documents USING (doc_id))",
 }
