@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,9 +56,69 @@ def test_thinning_keeps_components_and_holes():
     assert out.sum() < 120 and out.any(axis=1).sum() > 10
 
 
-def test_trace_follows_a_line():
-    assert kernels.trace({(0, k) for k in range(9)}) == [(0, k) for k in range(9)]
-    assert len(kernels.trace(line((0, 0), (9, 4)))) == len(line((0, 0), (9, 4)))
+def thin_path(rng, n):
+    """A random walk whose pixels touch only the one before and the one after."""
+    path = [(50, 50)]
+    while len(path) < n:
+        r, c = path[-1]
+        free = [q for q in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j) if sum(abs(q[0] - x) <= 1 and abs(q[1] - y) <= 1 for x, y in path) == 1]
+        if not free:
+            break
+        path.append(rng.choice(free))
+    return path
+
+
+def test_places_follow_lines_and_rings():
+    rng = random.Random(2)
+    chains = [thin_path(rng, rng.randint(1, 60)) for _ in range(60)]
+    ring = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 2), (3, 1), (2, 0), (1, 0)]
+    rows = [(k, *p) for k, path in enumerate([*chains, ring]) for p in path]
+    rng.shuffle(rows)
+    chain, row, col = (np.array(x) for x in zip(*rows, strict=True))
+    got = kernels.places(chain, row, col)
+    for k, path in enumerate(chains):
+        mine = np.flatnonzero(chain == k)
+        walked = [(row[i], col[i]) for i in mine[np.argsort(got[mine])]]
+        assert walked == (path if path[0] <= path[-1] else path[::-1])
+    mine = np.flatnonzero(chain == len(chains))
+    assert [(row[i], col[i]) for i in mine[np.argsort(got[mine])]] == ring
+    with pytest.raises(ValueError):
+        kernels.places(np.zeros(4, int), np.array([0, 0, 0, 1]), np.array([0, 1, 2, 1]))
+
+
+def test_traced_chains_of_named_images(spark):
+    rows = [(name, row, c) for name in ("a", "b") for row in (0, 5) for c in range(7)]
+    at = raster.labelled(spark.createDataFrame(rows, "image string, row int, col int"))
+    got = kernels.traced(at).orderBy("image", "component", "pos").collect()
+    assert [(r["image"], r["row"], r["col"]) for r in got] == sorted(rows) and len({r["component"] for r in got}) == 4
+
+
+def test_junctions_at_the_border_stay_apart(spark):
+    tee = {(0, c) for c in range(9)} | {(r, 4) for r in range(6)}
+    for names, kind in (((1, 2), "long"), (("x", "y"), "string")):
+        skeleton = spark.createDataFrame([(k, r, c) for k in names for r, c in tee], f"image {kind}, row int, col int")
+        at = skeleton_graph.node_pixels(skeleton, 1).filter("type = 'junction'")
+        assert [r["n"] for r in at.groupBy("image").agg(F.countDistinct("node").alias("n")).collect()] == [1, 1]
+        assert at.select("node").distinct().count() == 2
+        nodes, edges, _ = skeleton_graph.build(skeleton, 1)
+        assert {(r["image"], r["type"], r["n"]) for r in nodes.groupBy("image", "type").agg(F.count("*").alias("n")).collect()} == {(k, t, n) for k in names for t, n in (("junction", 1), ("endpoint", 3))}
+        assert edges.groupBy("image").agg(F.count("*").alias("n")).filter("n = 3").count() == 2
+
+
+def test_pixels_without_a_key_are_an_error(spark):
+    with pytest.raises(Exception, match="no pixel key"):
+        raster.labelled(spark.createDataFrame([(1, 1 << 20, 0)], "image long, row int, col int")).collect()
+
+
+def test_distances_are_those_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        grid = rng.random(rng.integers(1, 25, 2)) < rng.choice([0.5, 0.9, 0.99])
+        if grid.all():
+            continue
+        r, c = np.nonzero(~grid)
+        want = np.array([[((r - i) ** 2 + (c - j) ** 2).min() for j in range(grid.shape[1])] for i in range(grid.shape[0])])
+        assert (kernels.squared_distances(grid) == want).all()
 
 
 def test_distances_match_brute_force():
@@ -92,10 +154,10 @@ def test_cycle_rank(spark, v, e, c, want):
 
 
 def test_junction_policy(spark):
-    rows = [("1", 0, 0, 1, "crack"), ("1", 1, 1, 2, "craquelure"), ("1", 2, 1, 3, "craquelure"), ("2", 0, 10, 11, "crack")]
+    rows = [("1", 0, 0, 1, "thin"), ("1", 1, 1, 2, "wide"), ("1", 2, 1, 3, "wide"), ("2", 0, 10, 11, "thin")]
     e = spark.createDataFrame(rows, "image string, edge long, u long, v long, raw_label string").withColumn("predicted_label", F.col("raw_label"))
     got = {(r["image"], r["edge"]): r["predicted_label"] for r in policies.junction_policy(e).collect()}
-    assert got == {("1", 0): "uncertain", ("1", 1): "craquelure", ("1", 2): "craquelure", ("2", 0): "crack"}
+    assert got == {("1", 0): "uncertain", ("1", 1): "wide", ("1", 2): "wide", ("2", 0): "thin"}
 
 
 def test_line_graph_of_two_edges(spark):
@@ -244,5 +306,5 @@ def test_reviews_are_written_blank_and_merged(spark, tmp_path):
 
 def test_label_spellings(spark):
     rows = spark.createDataFrame([(" C ",), ("q",), ("nan",), (None,), ("255",), ("0",), ("2.0",), ("zzz",), ("99",)], "raw string")
-    got = [r[0] for r in rows.select(labels.normalized(F.col("raw"), {1: "crack", 2: "craquelure"})).collect()]
-    assert got == ["crack", "craquelure", "unlabeled", "unlabeled", "uncertain", "unlabeled", "craquelure", None, None]
+    got = [r[0] for r in rows.select(labels.normalized(F.col("raw"), labels.Vocabulary({1: "thin", 2: "wide"}, {"C": "thin", "q": "wide", "nan": "unlabeled"}, {0: "unlabeled", 255: "uncertain"}))).collect()]
+    assert got == ["thin", "wide", "unlabeled", "unlabeled", "uncertain", "unlabeled", "wide", None, None]

@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Accepted spellings, and the raster values that are no class.
-ALIASES = {
-    "": "unlabeled",
-    "nan": "unlabeled",
-    "none": "unlabeled",
-    "unknown": "uncertain",
-    "uncertain": "uncertain",
-    "ignore": "uncertain",
-    "mixed": "uncertain",
-    "c": "crack",
-    "crack": "crack",
-    "q": "craquelure",
-    "craquelure": "craquelure",
-    "craqueleur": "craquelure",
-    "o": "other_line",
-    "other": "other_line",
-    "other_line": "other_line",
-}
-NO_CLASS = {0: "unlabeled", 255: "uncertain"}
 UNLABELED = "unlabeled"
+UNCERTAIN = "uncertain"
 
 
-def normalized(raw: Column, values: dict[int, str]) -> Column:
-    """A label from free text: a spelling, a class name, or a raster value (1 or 1.0); NULL if it is none of them."""
+class Vocabulary:
+    """Which labels there are: classes by raster value, raster values that are no class, and accepted spellings of either.
+
+    A blank text is unlabeled. Spellings are compared in lower case without outer blanks.
+    """
+
+    def __init__(self, classes: dict[int, str], spellings: dict[str, str] | None = None, no_class: dict[int, str] | None = None):
+        self.classes, self.no_class = classes, {0: UNLABELED} if no_class is None else no_class
+        labels = {*classes.values(), *self.no_class.values(), UNLABELED, UNCERTAIN}
+        self.spellings = {"": UNLABELED} | {x.lower(): x for x in labels} | {k.strip().lower(): v for k, v in (spellings or {}).items()}
+        if unknown := {v for v in self.spellings.values() if v not in labels}:
+            raise ValueError(f"spellings of no label: {sorted(unknown)}")
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Vocabulary:
+        """From a small table of kind (class, no_class or spelling), key and label."""
+        by = {k: {r["key"]: r["label"] for r in rows.filter(F.col("kind") == k).select("key", "label").collect()} for k in ("class", "no_class", "spelling")}
+        numbered = lambda d: {int(k): v for k, v in d.items()}
+        return cls(numbered(by["class"]), by["spelling"], numbered(by["no_class"]) or None)
+
+
+def normalized(raw: Column, words: Vocabulary) -> Column:
+    """A label from free text: a spelling, a label's name, or a raster value (1 or 1.0); NULL if it is none of them."""
     text = F.lower(F.trim(F.coalesce(raw.cast("string"), F.lit(""))))
-    names = F.create_map(*(F.lit(x) for kv in ({v.lower(): v for v in values.values()} | ALIASES | {UNLABELED: UNLABELED}).items() for x in kv))
-    numbers = F.create_map(*(F.lit(x) for kv in (NO_CLASS | values).items() for x in kv))
+    names = F.create_map(*(F.lit(x) for kv in words.spellings.items() for x in kv))
+    numbers = F.create_map(*(F.lit(x) for kv in (words.no_class | words.classes).items() for x in kv))
     number = F.when(text.rlike(r"^[0-9]{1,9}(\.0+)?$"), F.try_element_at(numbers, F.split(text, r"\.")[0].cast("int")))
     return F.coalesce(F.try_element_at(names, text), number)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators.components import connected_components
 
@@ -44,18 +45,30 @@ def weak_and_strong(prob: DataFrame, high: float, low: float) -> DataFrame:
     return prob.filter(F.col("p") >= low).withColumn("strong", F.col("p") >= high)
 
 
-def _pixel_id(image: str = "image", row: str = "row", col: str = "col") -> Column:
-    """One number for each pixel: 24 bits of image, 20 bits each of row and column."""
-    return F.shiftleft(F.col(image).cast("long"), 40).bitwiseOR(F.shiftleft(F.col(row).cast("long"), 20)).bitwiseOR(F.col(col).cast("long"))
+def pixel_id(pixels: DataFrame) -> Column:
+    """A key for each pixel that orders an image's pixels by row and column, an error outside what it can hold.
+
+    Images that are numbers (0 to 2^23 - 1) give numbers, 20 bits each for row and column; other images give text.
+    Rows and columns are 0 to 2^20 - 1, so no two pixels share a key.
+    """
+    row, col, image = F.col("row"), F.col("col"), F.col("image")
+    held = row.between(0, (1 << 20) - 1) & col.between(0, (1 << 20) - 1)
+    if isinstance(pixels.schema["image"].dataType, T.IntegralType):
+        key = F.shiftleft(image.cast("long"), 40).bitwiseOR(F.shiftleft(row.cast("long"), 20)).bitwiseOR(col.cast("long"))
+        held = held & image.between(0, (1 << 23) - 1)
+    else:
+        place = lambda x: F.lpad(x.cast("string"), 7, "0")
+        key = F.concat(image.cast("string"), F.lit(":"), place(row), F.lit(":"), place(col))
+    return F.when(held, key).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no pixel key for"), image.cast("string"), row.cast("string"), col.cast("string"))))
 
 
 def labelled(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """mask with component: the least pixel number of the component. Images are numbered below 2^23, rows and columns below 2^20."""
-    own = mask.select(*PIXEL, _pixel_id().alias("pixel"))
+    """mask with component: the least pixel key of the component (see ``pixel_id``)."""
+    own = mask.select(*PIXEL, pixel_id(mask).alias("pixel"))
     near = shifted(own, neighbours(connectivity), ["pixel"]).withColumnRenamed("pixel", "src")
     touching = near.join(own, PIXEL).select("src", F.col("pixel").alias("dst"))
     found = connected_components(touching).withColumnRenamed("id", "pixel")
-    return mask.withColumn("pixel", _pixel_id()).join(found, "pixel", "left").withColumn("component", F.coalesce("component", "pixel")).drop("pixel")
+    return mask.withColumn("pixel", pixel_id(mask)).join(found, "pixel", "left").withColumn("component", F.coalesce("component", "pixel")).drop("pixel")
 
 
 def hysteresis(prob: DataFrame, high: float, low: float, connectivity: int = 8) -> DataFrame:

@@ -6,8 +6,9 @@ at a time, so images of any size are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.operators import kernels, raster
 from weft.operators.graph import medoids
@@ -20,16 +21,23 @@ AROUND = [o for o in raster.square(1) if o != (0, 0)]
 def node_pixels(skeleton: DataFrame, radius: int = 0) -> DataFrame:
     """(image, row, col, node, type): junction clusters, ends and lone pixels. node: the least pixel number of its cluster.
 
-    Junction pixels (three neighbours or more) within ``radius`` (Chebyshev) of each other are one cluster.
+    Junction pixels (three neighbours or more) within ``radius`` (Chebyshev) of each other are one cluster. Around them only
+    places inside the frame count: what lies outside joins nothing.
     """
     at = raster.neighbour_count(skeleton)
     junctions = at.filter("neighbours >= 3").select(*PIXEL)
-    grown = raster.shifted(junctions, raster.square(radius)).distinct()
+    grown = raster.shifted(junctions, raster.square(radius)).filter("row >= 0 and col >= 0").distinct()
     clusters = raster.labelled(grown).join(junctions, PIXEL).select(*PIXEL, F.col("component").alias("node"), F.lit("junction").alias("type"))
-    tips = at.filter("neighbours < 2").select(*PIXEL, raster._pixel_id().alias("node"), F.when(F.col("neighbours") == 1, "endpoint").otherwise("isolated").alias("type"))
+    tips = at.filter("neighbours < 2").select(*PIXEL, raster.pixel_id(at).alias("node"), F.when(F.col("neighbours") == 1, "endpoint").otherwise("isolated").alias("type"))
     return clusters.unionByName(tips)
 
 
+def _direct_id(pixels: DataFrame, u: str, v: str) -> Column:
+    """The number, or for images that are no numbers the text, of an edge without pixels."""
+    number = F.xxhash64(u, v)
+    return number if isinstance(pixels.schema["image"].dataType, T.IntegralType) else F.concat(F.lit("direct:"), F.col(u), F.lit("-"), F.col(v))
+
+
 def build(skeleton: DataFrame, radius: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (image, node, type, row, col, pixels), edges (image, edge, u, v, length, is_loop) and paths (image, edge, pos, row, col).
 
@@ -60,7 +68,7 @@ def build(skeleton: DataFrame, radius: int = 0) -> tuple[DataFrame, DataFrame, D
 
     other = px.select(*PIXEL, F.col("node").alias("v"))
     touching = near.withColumnRenamed("node", "u").join(other, PIXEL).filter("u < v").select("image", "u", "v").distinct()
-    direct = touching.select("image", F.xxhash64("u", "v").alias("edge"), "u", "v", F.lit(1.0).alias("length"), F.lit(0).cast("long").alias("pixels"))
+    direct = touching.select("image", _direct_id(skeleton, "u", "v").alias("edge"), "u", "v", F.lit(1.0).alias("length"), F.lit(0).cast("long").alias("pixels"))
     edges = along.unionByName(direct).withColumn("is_loop", F.col("u") == F.col("v"))
 
     centres = medoids(px, ["image", "node", "type"])

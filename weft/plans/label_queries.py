@@ -9,8 +9,9 @@ from weft.plans.relations import predictions, scores, votes, with_
 from weft.plans.sweep_queries import rounded
 from weft.session import table
 
-#: Class names by raster value.
-CLASSES = {1: "crack", 2: "craquelure", 3: "other_line"}
+#: The labels of these queries.
+WORDS = labels.Vocabulary({1: "thin", 2: "wide", 3: "side"}, {"wd": "wide"}, {0: "unlabeled", 255: "uncertain"})
+CLASSES = WORDS.classes
 
 
 def _votes_sql() -> str:
@@ -23,20 +24,20 @@ def _vote(s, d):
 
 def _raw(s, d):
     """Free-text labels made of documents."""
-    raw = F.when(F.col("doc_id") % 6 == 0, " Crack ").when(F.col("doc_id") % 6 == 1, "2").when(F.col("doc_id") % 6 == 2, "").when(F.col("doc_id") % 6 == 3, "craqueleur").when(F.col("doc_id") % 6 == 4, "1.0").otherwise(F.col("lang"))
+    raw = F.when(F.col("doc_id") % 6 == 0, " Thin ").when(F.col("doc_id") % 6 == 1, "2").when(F.col("doc_id") % 6 == 2, "").when(F.col("doc_id") % 6 == 3, "wd").when(F.col("doc_id") % 6 == 4, "1.0").otherwise(F.col("lang"))
     return table(s, d, "documents").select("doc_id", raw.alias("raw"), "n_chars", "source")
 
 
-_RAW = "WITH r AS (SELECT doc_id, n_chars, source, CASE doc_id % 6 WHEN 0 THEN ' Crack ' WHEN 1 THEN '2' WHEN 2 THEN '' WHEN 3 THEN 'craqueleur' WHEN 4 THEN '1.0' ELSE lang END AS raw FROM documents), n AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'crack' WHEN 1 THEN 'craquelure' WHEN 2 THEN 'unlabeled' WHEN 3 THEN 'craquelure' WHEN 4 THEN 'crack' END AS label FROM r) "
+_RAW = "WITH r AS (SELECT doc_id, n_chars, source, CASE doc_id % 6 WHEN 0 THEN ' Thin ' WHEN 1 THEN '2' WHEN 2 THEN '' WHEN 3 THEN 'wd' WHEN 4 THEN '1.0' ELSE lang END AS raw FROM documents), n AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'thin' WHEN 1 THEN 'wide' WHEN 2 THEN 'unlabeled' WHEN 3 THEN 'wide' WHEN 4 THEN 'thin' END AS label FROM r) "
 
 
 def _normalized(s, d):
-    return _raw(s, d).withColumn("label", labels.normalized(F.col("raw"), CLASSES))
+    return _raw(s, d).withColumn("label", labels.normalized(F.col("raw"), WORDS))
 
 
 def _overlay(s, d):
     base = _normalized(s, d)
-    derived = base.filter("doc_id % 2 = 0").select("doc_id", F.lit("other_line").alias("label"))
+    derived = base.filter("doc_id % 2 = 0").select("doc_id", F.lit("side").alias("label"))
     review = base.filter("doc_id % 4 = 0").select("doc_id", "label")
     return labels.overlay(base.select("doc_id"), derived, review, ["doc_id"])
 
@@ -103,10 +104,10 @@ def _forest(s, d):
 QUERIES = {
     "label_vote": (_vote, _votes_sql() + "SELECT edge, value, round(purity, 6) AS purity, samples, CASE WHEN purity < 0.3::DOUBLE THEN 'mixed_below_purity' ELSE 'majority' END AS reason FROM v"),
     "normalize_labels": (lambda s, d: _normalized(s, d).select("doc_id", F.coalesce("label", F.lit("?")).alias("label")), _RAW + "SELECT doc_id, coalesce(label, '?') AS label FROM n"),
-    "label_overlay": (_overlay, _RAW + "SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND label IS NOT NULL THEN label WHEN doc_id % 2 = 0 THEN 'other_line' ELSE 'unlabeled' END AS label FROM n"),
+    "label_overlay": (_overlay, _RAW + "SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND label IS NOT NULL THEN label WHEN doc_id % 2 = 0 THEN 'side' ELSE 'unlabeled' END AS label FROM n"),
     "trainable_rows": (
         lambda s, d: labels.trainable(_normalized(s, d), s.createDataFrame([(c,) for c in CLASSES.values()], "name string")).select("doc_id", "label"),
-        _RAW + "SELECT doc_id, label FROM n WHERE label IN ('crack', 'craquelure', 'other_line')",
+        _RAW + "SELECT doc_id, label FROM n WHERE label IN ('thin', 'wide', 'side')",
     ),
     "label_progress": (lambda s, d: labels.progress(_raw(s, d).select(F.col("raw").alias("label"))), _RAW + "SELECT count(*) AS n, count(*) FILTER (trim(raw) <> '') AS labelled, count(*) FILTER (NOT coalesce(trim(raw) <> '', FALSE)) AS unlabelled FROM r"),
     "label_distribution": (lambda s, d: rounded(labels.distribution(predictions(s, d), "lang")), with_("predictions") + "SELECT lang AS label, count(*) AS n, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) AS share FROM predictions GROUP BY lang"),
@@ -135,7 +136,7 @@ QUERIES = {
         lambda s, d: splits.holdout(predictions(s, d), "source", 0.25),
         with_("predictions") + ", g AS (SELECT DISTINCT source AS \"group\" FROM predictions) SELECT \"group\", row_number() OVER (ORDER BY md5(\"group\"), \"group\") <= ceil(0.25 * count(*) OVER ()) AS held FROM g",
     ),
-    "shared_groups": (lambda s, d: splits.shared_groups(predictions(s, d).filter("doc_id % 7 = 0"), predictions(s, d).filter("doc_id % 7 = 1"), "source"), with_("predictions") + "SELECT source FROM predictions WHERE doc_id % 7 = 0 INTERSECT SELECT source FROM predictions WHERE doc_id % 7 = 1"),
+    "shared_groups": (lambda s, d: splits.shared_groups(predictions(s, d).filter("doc_id % 7 = 0"), predictions(s, d).filter("doc_id % 7 > 0"), "source"), with_("predictions") + "SELECT source FROM predictions WHERE doc_id % 7 = 0 INTERSECT SELECT source FROM predictions WHERE doc_id % 7 > 0"),
     "review_sample": (
         lambda s, d: policies.review_sample(table(s, d, "documents"), "doc_id", "lang", "n_chars", 100, 20),
         "WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE n_chars >= 100), t AS (SELECT *, row_number() OVER (PARTITION BY lang, r > 10 ORDER BY md5(doc_id::VARCHAR), doc_id) AS n FROM r) SELECT lang, doc_id, n_chars, r <= 10 AS longest FROM t WHERE r <= 10 OR n <= 10",

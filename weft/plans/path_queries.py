@@ -58,7 +58,9 @@ FROM g JOIN e USING (edge)"""
 
 
 def _elongation(s, d):
-    return rounded(P.elongation(paths(s, d), ["edge"]), 3).filter("elongation < 1000")
+    """The ratio is not stable where points lie on a line: those paths are marked instead."""
+    line = F.col("elongation") >= 1000
+    return P.elongation(paths(s, d), ["edge"]).select("edge", F.when(~line, F.round("elongation", 3)).alias("elongation"), line.alias("on_a_line"))
 
 
 QUERIES = {
@@ -83,7 +85,7 @@ QUERIES = {
     ),
     "elongation": (
         _elongation,
-        with_("paths") + ", g AS (SELECT edge, var_samp(row) AS a, covar_samp(row, col) AS b, var_samp(col) AS c FROM paths GROUP BY edge), e AS (SELECT edge, sqrt(greatest((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0) / (greatest((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0) + 1e-9)) AS elongation FROM g) SELECT edge, round(elongation, 3) AS elongation FROM e WHERE elongation < 1000",
+        with_("paths") + ", g AS (SELECT edge, var_samp(row) AS a, covar_samp(row, col) AS b, var_samp(col) AS c FROM paths GROUP BY edge), e AS (SELECT edge, sqrt(greatest((a + c + sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0) / (greatest((a + c - sqrt((a - c) * (a - c) + 4 * b * b)) / 2, 0) + 1e-9)) AS elongation FROM g) SELECT edge, CASE WHEN elongation < 1000 THEN round(elongation, 3) END AS elongation, elongation >= 1000 AS on_a_line FROM e",
     ),
     "json_props": (
         lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int").alias("p")).groupBy(F.col("p.k").alias("k")).agg(F.count("*").alias("n")),

@@ -95,8 +95,8 @@ QUERIES = {
         with_("prob") + ", h AS (SELECT i, greatest(0.5 - 0.5 * cos(2 * pi() * i / 3), 1e-3) AS w FROM range(4) AS r(i)), t AS (SELECT image, row, col, p + a.o / 100::DOUBLE AS p, x.w * y.w AS w FROM prob JOIN (VALUES (0), (2), (4)) AS a(o) ON row BETWEEN a.o AND a.o + 3 JOIN (VALUES (0), (2), (4)) AS b(o) ON col BETWEEN b.o AND b.o + 3 JOIN h x ON x.i = row - a.o JOIN h y ON y.i = col - b.o) SELECT image, row, col, round(sum(p * w) / greatest(sum(w), 1e-6), 6) AS p FROM t GROUP BY ALL",
     ),
     "disc_samples": (
-        lambda s, d: R.thickened(paths(s, d).filter("pos < 5").withColumn("row", F.floor("row").cast("int")).withColumn("width", F.col("col") % 8), ["edge"], "width").groupBy("edge", "row", "col").agg(F.count("*").alias("n")),
-        with_("paths") + ", w AS (SELECT edge, floor(row)::INT AS row, col, round_even(col % 8 / 2::DOUBLE, 0)::INT AS r FROM paths WHERE pos < 5), x AS (SELECT edge, row, col, r, unnest(range(-r, r + 1)) AS dr FROM w), y AS (SELECT *, unnest(range(-r, r + 1)) AS dc FROM x) SELECT edge, (row + dr)::INT AS row, (col + dc)::INT AS col, count(*) AS n FROM y WHERE dr * dr + dc * dc <= r * r GROUP BY ALL",
+        lambda s, d: R.thickened(paths(s, d).withColumn("row", F.floor("row").cast("int")).withColumn("width", F.col("col") % 8), ["edge"], "width").groupBy("edge", "row", "col").agg(F.count("*").alias("n")),
+        with_("paths") + ", w AS (SELECT edge, floor(row)::INT AS row, col, round_even(col % 8 / 2::DOUBLE, 0)::INT AS r FROM paths), x AS (SELECT edge, row, col, r, unnest(range(-r, r + 1)) AS dr FROM w), y AS (SELECT *, unnest(range(-r, r + 1)) AS dc FROM x) SELECT edge, (row + dr)::INT AS row, (col + dc)::INT AS col, count(*) AS n FROM y WHERE dr * dr + dc * dc <= r * r GROUP BY ALL",
     ),
     "junction_exclusion": (
         lambda s, d: R.minus(mask(s, d), R.exclusion(_seeds(s, d), 1)),
