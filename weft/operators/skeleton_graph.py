@@ -19,17 +19,26 @@ AROUND = [o for o in raster.square(1) if o != (0, 0)]
 
 
 def node_pixels(skeleton: DataFrame, radius: int = 0) -> DataFrame:
-    """(image, row, col, node, type): junction clusters, ends and lone pixels. node: the least pixel number of its cluster.
+    """(image, row, col, node, type): junction clusters, ends and lone pixels. node: the least pixel key of its cluster.
 
-    Junction pixels (three neighbours or more) within ``radius`` (Chebyshev) of each other are one cluster. Around them only
-    places inside the frame count: what lies outside joins nothing.
+    Junction pixels (three neighbours or more) that touch are a cluster. Where several clusters lie within ``radius``, so that
+    the discs around their pixels touch, the skeleton's pixels inside the discs that hang together with them are one cluster.
+    Only places inside the frame count: what lies outside joins nothing.
     """
     at = raster.neighbour_count(skeleton)
-    junctions = at.filter("neighbours >= 3").select(*PIXEL)
-    grown = raster.shifted(junctions, raster.square(radius)).filter("row >= 0 and col >= 0").distinct()
-    clusters = raster.labelled(grown).join(junctions, PIXEL).select(*PIXEL, F.col("component").alias("node"), F.lit("junction").alias("type"))
-    tips = at.filter("neighbours < 2").select(*PIXEL, raster.pixel_id(at).alias("node"), F.when(F.col("neighbours") == 1, "endpoint").otherwise("isolated").alias("type"))
-    return clusters.unionByName(tips)
+    junctions = stored(raster.labelled(at.filter("neighbours >= 3").select(*PIXEL)).withColumnRenamed("component", "node"), "junctions")
+    clusters = junctions
+    if radius:
+        grown = raster.shifted(junctions, raster.disk(radius)).filter("row >= 0 and col >= 0").distinct()
+        regions = stored(raster.labelled(grown).withColumnRenamed("component", "region"), "regions")
+        many = junctions.join(regions, PIXEL).groupBy("region").agg(F.countDistinct("node").alias("n")).filter("n > 1").select("region")
+        inside = regions.join(many, "region", "left_semi").select(*PIXEL)
+        pieces = stored(raster.labelled(inside.join(skeleton.select(*PIXEL), PIXEL)).withColumnRenamed("component", "node"), "bridges")
+        held = pieces.join(junctions.select(*PIXEL), PIXEL, "left_semi").select("image", "node").distinct()
+        clusters = raster.minus(junctions, inside).unionByName(pieces.join(held, ["image", "node"], "left_semi"))
+    clusters = clusters.select(*PIXEL, "node", F.lit("junction").alias("type"))
+    tips = raster.minus(at.filter("neighbours < 2"), clusters)
+    return clusters.unionByName(tips.select(*PIXEL, raster.pixel_id(at).alias("node"), F.when(F.col("neighbours") == 1, "endpoint").otherwise("isolated").alias("type")))
 
 
 def _direct_id(pixels: DataFrame, u: str, v: str) -> Column:
@@ -39,41 +48,60 @@ def _direct_id(pixels: DataFrame, u: str, v: str) -> Column:
 
 
 def build(skeleton: DataFrame, radius: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes (image, node, type, row, col, pixels), edges (image, edge, u, v, length, is_loop) and paths (image, edge, pos, row, col).
+    """nodes (image, node, type, row, col, pixels and their extents), edges (image, edge, u, v, length, pixels, is_loop) and
+    paths (image, edge, pos, row, col).
 
     A chain of pixels between nodes is an edge; one that leaves and meets the same node is a loop; one that meets a single
-    node at one end comes back to it; a ring of three pixels or more without nodes gets a virtual node. Nodes that touch
-    are joined by an edge without pixels.
+    node at one end comes back to it. Its path starts and ends at the nearest pixel of either node. A ring of three pixels or
+    more without nodes gets a virtual node, and its path ends where it starts. Nodes that touch are joined by an edge of the
+    first two pixels that do.
     """
     px = stored(node_pixels(skeleton, radius), "node-pixels")
     chains = stored(raster.labelled(raster.minus(skeleton.select(*PIXEL), px)), "chains")
-    paths = stored(kernels.traced(chains).withColumnRenamed("component", "edge"), "paths")
-
-    last = F.max("pos").over(Window.partitionBy("image", "edge"))
-    tips = paths.withColumn("last", last).filter("pos = 0 or pos = last")
-    near = raster.shifted(px, AROUND, ["node"])
-    met = tips.join(near, PIXEL).groupBy("image", "edge", "pos", "last").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    walked = stored(kernels.traced(chains).withColumnRenamed("component", "edge"), "chains-in-order")
+
+    key = ["image", "edge"]
+    last = F.max("pos").over(Window.partitionBy(*key))
+    tips = walked.withColumn("last", last).filter("pos = 0 or pos = last")
+    near = raster.shifted(px.withColumns({"nr": F.col("row"), "nc": F.col("col")}), AROUND, ["node", "nr", "nc"])
+    far = (F.col("row") - F.col("nr")) * (F.col("row") - F.col("nr")) + (F.col("col") - F.col("nc")) * (F.col("col") - F.col("nc"))
+    met = tips.join(near, PIXEL).groupBy(*key, "pos", "last", "node").agg(F.min(F.struct(far.alias("far"), F.col("nr").alias("row"), F.col("nc").alias("col"))).alias("at"))
     # a chain of one pixel meets its two nodes at the same place
-    sides = met.groupBy("image", "edge").agg(
-        F.min(F.when(F.col("pos") == 0, F.col("least"))).alias("a"), F.max(F.when(F.col("pos") == F.col("last"), F.col("most"))).alias("b")
-    ).select("image", "edge", F.coalesce("a", "b").alias("u"), F.coalesce("b", "a").alias("v"))
+    side = F.struct("node", "at")
+    sides = met.groupBy(*key).agg(F.min(F.when(F.col("pos") == 0, side)).alias("a"), F.max(F.when(F.col("pos") == F.col("last"), side)).alias("b"))
+    sides = sides.select(*key, F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b"))
 
-    hop = Window.partitionBy("image", "edge").orderBy("pos")
-    step = F.sqrt(F.pow(F.col("row") - F.lag("row").over(hop), F.lit(2.0)) + F.pow(F.col("col") - F.lag("col").over(hop), F.lit(2.0)))
-    sizes = paths.withColumn("step", step).groupBy("image", "edge").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), F.count("*").alias("pixels"), F.min(F.struct("pos", "row", "col")).alias("first"))
-    at = sizes.join(sides, ["image", "edge"], "left")
-    rings = at.filter("u is null and pixels >= 3")
-    ring_nodes = rings.select("image", F.col("edge").alias("node"), F.lit("virtual_loop").alias("type"), F.col("first.row").alias("row"), F.col("first.col").alias("col"), F.lit(1).cast("long").alias("pixels"))
-    along = at.filter("u is not null").select("image", "edge", "u", "v", "length", "pixels").unionByName(rings.select("image", "edge", F.col("edge").alias("u"), F.col("edge").alias("v"), "length", "pixels"))
+    sizes = walked.groupBy(*key).agg(F.count("*").alias("pixels"), F.min(F.struct("pos", "row", "col")).alias("first")).join(sides, key, "left")
+    rings = sizes.filter("a is null and pixels >= 3")
+    ring_nodes = rings.select("image", F.col("edge").alias("node"), F.lit("virtual_loop").alias("type"), F.col("first.row").alias("row"), F.col("first.col").alias("col"), F.lit(1).cast("long").alias("pixels"), *(F.col(f"first.{c}").alias(n) for n, c in (("top", "row"), ("bottom", "row"), ("left", "col"), ("right", "col"))))
+    along = sizes.filter("a is not null").select(*key, F.col("a.node").alias("u"), F.col("b.node").alias("v")).unionByName(rings.select(*key, F.col("edge").alias("u"), F.col("edge").alias("v")))
 
     other = px.select(*PIXEL, F.col("node").alias("v"))
-    touching = near.withColumnRenamed("node", "u").join(other, PIXEL).filter("u < v").select("image", "u", "v").distinct()
-    direct = touching.select("image", _direct_id(skeleton, "u", "v").alias("edge"), "u", "v", F.lit(1.0).alias("length"), F.lit(0).cast("long").alias("pixels"))
-    edges = along.unionByName(direct).withColumn("is_loop", F.col("u") == F.col("v"))
+    pair = F.struct(F.struct("nr", "nc").alias("x"), F.struct("row", "col").alias("y"))
+    touching = near.withColumnRenamed("node", "u").join(other, PIXEL).filter("u < v").groupBy("image", "u", "v").agg(F.min(pair).alias("at"))
+    direct = stored(touching.select("image", _direct_id(skeleton, "u", "v").alias("edge"), "u", "v", "at"), "touching")
+
+    place = lambda rows, pos, row, col: rows.select(*key, F.lit(pos).cast("int").alias("pos") if isinstance(pos, int) else pos.cast("int").alias("pos"), F.col(row).alias("row"), F.col(col).alias("col"))
+    inner = sizes.filter("a is not null")
+    parts = [
+        walked.join(inner.select(*key), key, "left_semi").select(*key, (F.col("pos") + 1).alias("pos"), "row", "col"),
+        place(inner, 0, "a.at.row", "a.at.col"), place(inner, F.col("pixels") + 1, "b.at.row", "b.at.col"),
+        walked.join(rings.select(*key), key, "left_semi").select(*key, "pos", "row", "col"), place(rings, F.col("pixels"), "first.row", "first.col"),
+        place(direct, 0, "at.x.nr", "at.x.nc"), place(direct, 1, "at.y.row", "at.y.col"),
+    ]
+    paths = parts[0]
+    for part in parts[1:]:
+        paths = paths.unionByName(part)
+    paths = stored(paths, "paths")
+
+    hop = Window.partitionBy(*key).orderBy("pos")
+    step = F.sqrt(F.pow(F.col("row") - F.lag("row").over(hop), F.lit(2.0)) + F.pow(F.col("col") - F.lag("col").over(hop), F.lit(2.0)))
+    lengths = paths.withColumn("step", step).groupBy(*key).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("length"), F.count("*").alias("pixels"))
+    edges = along.unionByName(direct.drop("at")).join(lengths, key).withColumn("is_loop", F.col("u") == F.col("v"))
 
     centres = medoids(px, ["image", "node", "type"])
-    counts = px.groupBy("image", "node").agg(F.count("*").alias("pixels"))
-    nodes = centres.join(counts, ["image", "node"]).select("image", "node", "type", "row", "col", "pixels").unionByName(ring_nodes)
+    counts = px.groupBy("image", "node").agg(F.count("*").alias("pixels"), F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
+    nodes = centres.join(counts, ["image", "node"]).select("image", "node", "type", "row", "col", "pixels", "top", "bottom", "left", "right").unionByName(ring_nodes)
     return nodes, edges, paths
 
 
