@@ -68,3 +68,18 @@ def sigmoid(x: Column) -> Column:
 def as_fixed(x: Column, places: int = 4) -> Column:
     """A number in fixed notation, ``n/a`` where there is none."""
     return F.when(x.isNull() | F.isnan(x), "n/a").otherwise(F.format_string(f"%.{places}f", x.cast("double")))
+
+
+def reflected(i: Column, n: Column) -> Column:
+    """An index outside 0 .. n - 1 mirrored back inside, without repeating the ends."""
+    period = F.greatest(2 * (n - 1), F.lit(1))
+    at = F.pmod(i, period)
+    return F.when(n == 1, F.lit(0)).otherwise(F.least(at, period - at))
+
+
+def class_of_colour(b: Column, g: Column, r: Column, colours: dict[int, tuple[int, int, int]], none: int = 0) -> Column:
+    """The class value of a colour (b, g, r)."""
+    out = F.lit(none)
+    for value, (x, y, z) in colours.items():
+        out = F.when((b == x) & (g == y) & (r == z), value).otherwise(out)
+    return out

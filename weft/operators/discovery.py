@@ -75,3 +75,26 @@ def pairs(truths: DataFrame, predictions: DataFrame, truth_suffix: str, predicti
     """(name, truth, prediction): files whose names differ in the suffix only; just the end of a name counts."""
     bare = lambda rows, suffix, out: rows.filter(F.col("path").endswith(suffix)).select(F.expr(f"substring(path, 1, length(path) - {len(suffix)})").alias("name"), F.col("path").alias(out))
     return bare(truths, truth_suffix, "truth").join(bare(predictions, prediction_suffix, "prediction"), "name")
+
+
+def stripped(names: DataFrame, ids: DataFrame, suffixes: list[str], name: str = "name") -> DataFrame:
+    """As ``owner``; a name without an id loses the first of the suffixes that it ends in, or owns itself."""
+    bare = F.col(name)
+    for suffix in reversed(suffixes):
+        bare = F.when(F.col(name).endswith(suffix), F.expr(f"substring({name}, 1, length({name}) - {len(suffix)})")).otherwise(bare)
+    return owner(names, ids, name).withColumn("owner", F.coalesce("owner", bare))
+
+
+def ids_of(files: list[DataFrame], suffixes: list[str]) -> DataFrame:
+    """The distinct ids of files (path) of several folders: their stems without a suffix."""
+    paths = files[0].select("path")
+    for more in files[1:]:
+        paths = paths.union(more.select("path"))
+    names = paths.select(stem(F.col("path")).alias("name")).distinct()
+    return stripped(names, names.limit(0).select(F.col("name").alias("id")), suffixes).select(F.col("owner").alias("id")).distinct()
+
+
+def selected(records: DataFrame, only: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Records of the images asked for (all, if none are), the first by image."""
+    at = records if not only else records.filter(F.col("image_id").isin(only))
+    return at if most is None else at.orderBy("image_id").limit(most)

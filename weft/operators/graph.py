@@ -245,3 +245,17 @@ def class_mask(labelled_pixels: DataFrame, values: DataFrame, ignore: int = 255)
     """Pixels with the class value of the edge they belong to; without an edge or a class they are ignored."""
     at = labelled_pixels.join(values.select(F.col("seed"), F.col("value").alias("__v")), "seed", "left")
     return at.select("image", "row", "col", F.coalesce("__v", F.lit(ignore)).alias("value"))
+
+
+def endpoint_ids(rows: DataFrame, columns: tuple = ("u", "v")) -> DataFrame:
+    """rows with whole numbers in these columns; text or numbers that are no finite whole number are an error."""
+    for c in columns:
+        as_number = F.col(c).try_cast("double")
+        whole = (F.abs(as_number) < 2.0**53) & (as_number == F.floor(as_number))
+        rows = rows.withColumn(c, F.when(whole, as_number.cast("long")).otherwise(F.raise_error(F.concat(F.lit(f"{c} is no whole number: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))))))
+    return rows
+
+
+def node_pixels_of(pixels: DataFrame) -> DataFrame:
+    """The distinct pixels that belong to any node."""
+    return pixels.select("image", "row", "col").distinct()

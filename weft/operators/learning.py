@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators import metrics, policies
 from weft.operators.metrics import balanced_weights
 
 
@@ -41,3 +42,32 @@ def cross_validated(rows: DataFrame, columns: list[str], label: str, fold: str,
         part = part.withColumn("confidence", F.array_max(vector_to_array("probability"))).drop("features", "rawPrediction", "probability")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_prefixes(columns: list[str], prefixes: list[str]) -> list[str]:
+    """The columns that start with none of the prefixes."""
+    return [c for c in columns if not c.startswith(tuple(prefixes))]
+
+
+def importances(model, columns: list[str]) -> list[tuple[str, float]]:
+    """Each feature's share in the splits of a forest, the largest first."""
+    return sorted(zip(columns, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def classified(model, rows: DataFrame, columns: list[str], names: list[str], least: float, policy: str = policies.UNCERTAIN) -> DataFrame:
+    """Edges (image, edge, u, v and features) with prob_<class>, confidence, raw_label and predicted_label: what is less sure
+    than ``least``, and by the policy what contradicts all its neighbours, is uncertain."""
+    scored = model.transform(assembled(rows, columns)).withColumn("__p", vector_to_array("probability"))
+    scored = scored.withColumns({f"prob_{n}": F.get("__p", F.lit(k)) for k, n in enumerate(names)})
+    label, confidence = policies.best_class(F.col("__p"), names)
+    scored = scored.withColumn("__label", label).withColumn("confidence", confidence).drop("__p", "features", "rawPrediction", "probability", "prediction")
+    return policies.junction_policy(policies.abstain(scored, "confidence", "__label", least).drop("__label"), policy)
+
+
+def cross_validation_report(rows: DataFrame, columns: list[str], label: str, fold: str, **settings) -> tuple[DataFrame, DataFrame]:
+    """Mean and deviation over folds of accuracy, F1 and recall (metric, mean, std), and the confusion summed over folds."""
+    done = cross_validated(rows, columns, label, fold, **settings).withColumn("predicted", F.col("prediction").cast("int"))
+    counts = metrics.confusion(done, label, "predicted", [fold])
+    each = metrics.summary(metrics.per_class(counts, [fold]), [fold])
+    summed = counts.groupBy("truth", "predicted").agg(F.sum("n").alias("n"))
+    return metrics.over_folds(each, [c for c in each.columns if c != fold]), summed

@@ -5,29 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import stored
+
+
+def _dealt(sizes: DataFrame, order: list, dealt: int = 64) -> DataFrame:
+    """sizes with rank: the place of each row by ``order``. Rows are sorted by ranges over all tasks, not in one."""
+    ranged = sizes.repartitionByRange(dealt, *order).withColumn("__part", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = Window.partitionBy("__part").orderBy(*order)
+    at = ranged.withColumn("__place", F.row_number().over(within) - 1).join(F.broadcast(firsts), "__part")
+    return at.withColumn("rank", F.col("__first") + F.col("__place")).drop("__part", "__place", "__first")
+
 
 def grouped_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, n, fold): groups by size dealt to folds back and forth, so folds are of about equal size.
 
-    Fewer groups than folds make as many folds as groups; a single group is an error. Groups are few beside rows:
-    they are counted with map-side sums and ranked.
+    Fewer groups than folds make as many folds as groups; a single group is an error. Groups are counted with map-side sums
+    and ranked by ranges, so that even with an image a group none of it is done in one task.
     """
     sizes = rows.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"))
     many = sizes.count()
     if many < 2:
         raise ValueError("at least two groups are needed")
     k = min(folds, many)
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "group")) - 1
     turn, place = F.floor(F.col("rank") / k), F.col("rank") % k
-    return sizes.withColumn("rank", rank).select("group", "n", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
+    return _dealt(sizes, [F.desc("n"), "group"]).select("group", "n", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
 def holdout(rows: DataFrame, group: str, share: float) -> DataFrame:
     """(group, held): the groups of least hash are held out, share of them rounded up."""
     groups = rows.select(F.col(group).alias("group")).distinct()
     n = groups.count()
-    rank = F.row_number().over(Window.orderBy(F.md5(F.col("group").cast("string")), "group"))
-    return groups.withColumn("held", rank <= -int(-share * n // 1))
+    ranked = _dealt(groups, [F.md5(F.col("group").cast("string")), "group"])
+    return ranked.select("group", (F.col("rank") < -int(-share * n // 1)).alias("held"))
 
 
 def leaks(assigned: DataFrame, group: str, fold: str) -> DataFrame:
@@ -42,3 +54,13 @@ def shared_groups(train: DataFrame, test: DataFrame, group: str) -> DataFrame:
 def one_class_folds(rows: DataFrame, fold: str, label: str) -> DataFrame:
     """Folds in which only one class occurs."""
     return rows.groupBy(F.col(fold).alias("fold")).agg(F.countDistinct(label).alias("classes")).filter("classes < 2")
+
+
+def image_conflicts(rows: DataFrame, image: str, group: str) -> DataFrame:
+    """Images that are in more than one group (or on more than one side of a split)."""
+    return rows.groupBy(F.col(image).alias("image")).agg(F.countDistinct(group).alias("groups")).filter("groups > 1")
+
+
+def contained(part: DataFrame, whole: DataFrame, keys: list[str]) -> bool:
+    """Whether every key of part is one of whole."""
+    return part.join(whole.select(*keys).distinct(), keys, "left_anti").isEmpty()

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import io
+import os
+import traceback
+import zipfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.operators.discovery import has_suffix, stem
+from weft.operators.discovery import has_suffix, last_wins, stem
+from weft.operators.labels import Vocabulary, duplicates, normalized
 
 #: Suffixes of image files.
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".ppm", ".bmp"]
@@ -22,31 +28,84 @@ def list_images(spark: SparkSession, folder: str, most: int | None = None) -> Da
     return files if most is None else files.limit(most)
 
 
-def image_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, row, col, b, g, r) of PNG and JPEG files, decoded by Spark; grey images have three equal values."""
-    im = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    px = im.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)))
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, i * nChannels + 1 + least({k}, nChannels - 1), 1)")), 16, 10).cast("int")
-    return px.select(F.col("origin").alias("path"), F.floor(F.col("i") / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).cast("int").alias("col"), *(byte(k).alias(c) for k, c in enumerate("bgr")))
+#: Pixels of one batch that a scan hands on.
+BLOCK = 1 << 18
 
 
-def array_pixels(spark: SparkSession, folder: str, glob: str = "*.npy") -> DataFrame:
-    """(name, row, col, value, error) of two-dimensional .npy files; a file that cannot be read is one row with its error."""
+def _blocks(height: int, width: int):
+    """(from, to) of stretches of rows of about ``BLOCK`` pixels."""
+    each = max(1, BLOCK // max(1, width))
+    return ((lo, min(height, lo + each)) for lo in range(0, height, each))
+
+
+def image_pixels(spark: SparkSession, folder: str, drop_unreadable: bool = True) -> DataFrame:
+    """(path, row, col, b, g, r) of PNG and JPEG files, decoded by Spark; grey images have three equal values.
+
+    A folder without images is an error, and so is an image that cannot be read unless such are dropped. An image is
+    handed on in blocks of rows, so its pixels are never all held as rows.
+    """
+    if list_images(spark, folder).isEmpty():
+        raise ValueError(f"no images in {folder}")
+    images = spark.read.format("image").option("dropInvalid", drop_unreadable).option("recursiveFileLookup", True).load(folder).select("image.*")
+
+    def decode(batches):
+        for batch in batches:
+            for one in (batch.slice(k, 1) for k in range(len(batch))):
+                path, height, width, channels, data = (c[0].as_py() for c in one.columns)
+                if height <= 0:
+                    raise ValueError(f"cannot read {path}")
+                px = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                for lo, hi in _blocks(height, width):
+                    n = (hi - lo) * width
+                    rows, cols = np.divmod(np.arange(n) + lo * width, width)
+                    bgr = [px[lo:hi, :, min(k, channels - 1)].ravel().astype("i4") for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(rows.astype("i4")), pa.array(cols.astype("i4")), *map(pa.array, bgr)], ["path", "row", "col", "b", "g", "r"])
+
+    return images.select("origin", "height", "width", "nChannels", "data").mapInArrow(decode, "path string, row int, col int, b int, g int, r int")
+
+
+def _plane(content: bytes, name: str) -> np.ndarray:
+    a = np.load(io.BytesIO(content), allow_pickle=False)
+    if isinstance(a, np.lib.npyio.NpzFile):
+        a = a[a.files[0]]
+    if a.ndim != 2 or not a.size or not np.isfinite(a.astype(float)).all():
+        raise ValueError(f"not a finite, non-empty plane: shape {a.shape}")
+    return a
+
+
+def array_pixels(spark: SparkSession, folder: str, glob: str = "*.np[yz]") -> DataFrame:
+    """(name, row, col, value, error, error_type, traceback) of two-dimensional .npy files, or the first array of .npz files.
+
+    A file that cannot be read is one row with its error. Arrays are handed on in blocks of rows.
+    """
 
     def decode(frames):
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"], strict=True):
                 try:
-                    a = np.load(io.BytesIO(content), allow_pickle=False)
-                    if a.ndim != 2 or not a.size or not np.isfinite(a.astype(float)).all():
-                        raise ValueError(f"not a finite, non-empty plane: shape {a.shape}")
-                    r, c = np.indices(a.shape)
-                    yield pd.DataFrame({"name": name, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "value": a.ravel().astype(float), "error": None})
-                except (ValueError, OSError, EOFError) as why:
-                    yield pd.DataFrame({"name": [name], "row": pd.array([None], "Int32"), "col": pd.array([None], "Int32"), "value": [None], "error": [str(why)[:4000]]})
+                    a = _plane(content, name)
+                except (ValueError, OSError, EOFError, IndexError, zipfile.BadZipFile) as why:
+                    yield pd.DataFrame({"name": [name], "row": pd.array([None], "Int32"), "col": pd.array([None], "Int32"), "value": [None], "error": [str(why)[:4000]], "error_type": [type(why).__name__], "traceback": [traceback.format_exc()[-4000:]]})
+                    continue
+                for lo, hi in _blocks(*a.shape):
+                    r, c = np.indices((hi - lo, a.shape[1]))
+                    yield pd.DataFrame({"name": name, "row": (r.ravel() + lo).astype("int32"), "col": c.ravel().astype("int32"), "value": a[lo:hi].ravel().astype(float), "error": None, "error_type": None, "traceback": None})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return files.select(stem(F.col("path")).alias("name"), "content").mapInPandas(decode, "name string, row int, col int, value double, error string")
+    return files.select(stem(F.col("path")).alias("name"), "content").mapInPandas(decode, "name string, row int, col int, value double, error string, error_type string, traceback string")
+
+
+def scores_and_masks(prob: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per image what there is of scores and mask, and the images whose two rasters differ in shape.
+
+    Rows: image, row, col, ... of full rasters. First: image, prob_available, mask_available, height, width. Second: image, error.
+    """
+    shape = lambda rows, k: rows.groupBy("image").agg((F.max("row") + 1).alias(f"{k}_height"), (F.max("col") + 1).alias(f"{k}_width"))
+    at = shape(prob, "prob").join(shape(masks, "mask"), "image", "full")
+    unequal = (F.col("prob_height") != F.col("mask_height")) | (F.col("prob_width") != F.col("mask_width"))
+    message = F.format_string("scores are %d x %d, mask is %d x %d", "prob_height", "prob_width", "mask_height", "mask_width")
+    held = at.select("image", F.col("prob_height").isNotNull().alias("prob_available"), F.col("mask_height").isNotNull().alias("mask_available"), F.coalesce("prob_height", "mask_height").alias("height"), F.coalesce("prob_width", "mask_width").alias("width"), unequal.alias("__bad"), message.alias("error"))
+    return held.filter("not coalesce(__bad, false)").drop("__bad", "error"), held.filter("__bad").select("image", "error")
 
 
 def read_review(spark: SparkSession, path, required: list[str]) -> DataFrame:
@@ -59,9 +118,86 @@ def read_review(spark: SparkSession, path, required: list[str]) -> DataFrame:
     return rows
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """A feature table, Parquet or CSV by its suffix, with ids as text."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+#: Columns of a feature table that are text; all others are numbers.
+TEXT_COLUMNS = ("image_id", "panel_id", "label", "label_reason")
+
+
+def read_features(spark: SparkSession, path: str, text: tuple = TEXT_COLUMNS) -> DataFrame:
+    """A feature table, Parquet or CSV by its suffix; where the Parquet one is missing, the CSV beside it. Ids are text."""
+    if not path.endswith(".csv"):
+        try:
+            rows = spark.read.parquet(path)
+            return rows.withColumns({c: F.col(c).cast("string") for c in text if c in rows.columns})
+        except AnalysisException as why:
+            if why.getCondition() != "PATH_NOT_FOUND":
+                raise
+            path = path.removesuffix(".parquet") + ".csv"
+    names = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` {'string' if c in text else 'double'}" for c in names)
+    return spark.read.option("header", True).option("nanValue", "").schema(schema).csv(path)
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, panel_id) of a mapping table: required columns, blanks left out, the last row of an image by line."""
+    rows = read_review(spark, path, ["image_id", "panel_id"]).withColumn("__line", F.monotonically_increasing_id())
+    return last_wins(rows, "image_id", "panel_id", "__line")
+
+
+def read_annotations(spark: SparkSession, path, words: Vocabulary, keys: tuple = ("image_id", "edge_id"), most: int = 20) -> DataFrame:
+    """Keys and label of a review table; labels outside the vocabulary and keys that occur twice are one error with the
+    first ``most`` of them."""
+    rows = read_review(spark, path, [*keys, "label"]).withColumn("__label", normalized(F.col("label"), words))
+    key = F.concat_ws("/", *(F.trim(k) for k in keys))
+    bad = rows.filter("__label is null").select(F.concat(key, F.lit(": no label "), F.col("label")).alias("m"))
+    twice = duplicates(rows.select(*(F.trim(k).alias(k) for k in keys)), list(keys)).select(F.concat(F.concat_ws("/", *keys), F.lit(": occurs "), F.col("n"), F.lit(" times")).alias("m"))
+    messages = [r["m"] for r in bad.unionByName(twice).orderBy("m").limit(most).collect()]
+    if messages:
+        raise ValueError("; ".join(messages))
+    return rows.select(*(F.trim(k).alias(k) for k in keys), F.col("__label").alias("label"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, paths: DataFrame, path: str, config: str) -> None:
+    """A graph archive: three tables, a folder for each configuration."""
+    for name, rows in (("nodes", nodes), ("edges", edges), ("paths", paths)):
+        write_by_config(rows.withColumn("config_hash", F.lit(config)), f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, config: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}").filter(F.col("config_hash") == config).drop("config_hash") for name in ("nodes", "edges", "paths"))
+
+
+def packed(mask: DataFrame) -> DataFrame:
+    """(image, row, start, length): a mask's runs of pixels, a row at a time."""
+    w = Window.partitionBy("image", "row").orderBy("col")
+    at = mask.select("image", "row", "col").distinct().withColumn("run", F.col("col") - F.row_number().over(w))
+    return at.groupBy("image", "row", "run").agg(F.min("col").alias("start"), F.count("*").cast("int").alias("length")).drop("run")
+
+
+def unpacked(runs: DataFrame) -> DataFrame:
+    """The mask of packed runs."""
+    return runs.select("image", "row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("col"))
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Predictions as CSV, a folder an image."""
+    predictions.write.mode("overwrite").partitionBy("image_id").option("header", True).csv(path)
+
+
+def write_rasters(pixels: DataFrame, path: str, height: int, width: int, value: str = "value", empty: int = 0) -> DataFrame:
+    """(image, path) of one .npy file an image, written by the tasks; each task holds one image.
+
+    path must be reachable from all executors.
+    """
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        plane = np.full((height, width), empty, np.uint8)
+        plane[rows["row"], rows["col"]] = rows["value"]
+        name = f"{path}/{key[0]}.npy"
+        os.makedirs(path, exist_ok=True)
+        np.save(name, plane)
+        return pd.DataFrame({"image": [str(key[0])], "path": [name]})
+
+    return pixels.select("image", "row", "col", F.col(value).alias("value")).groupBy("image").applyInPandas(write, "image string, path string")
 
 
 def write_by_config(rows: DataFrame, path: str) -> None:
@@ -72,7 +208,7 @@ def write_by_config(rows: DataFrame, path: str) -> None:
 def journal(rows: DataFrame, stage: str, path: str) -> None:
     """Appends the rows that carry an error to a JSON journal."""
     bad = rows.filter("error is not null")
-    bad.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.col("name").alias("image_id"), F.lit(stage).alias("stage"), F.substring("error", 1, 4000).alias("message")).write.mode("append").json(path)
+    bad.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.col("name").alias("image_id"), F.lit(stage).alias("stage"), *(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("error_type", "traceback")), F.substring("error", 1, 4000).alias("message")).write.mode("append").json(path)
 
 
 def write_review(edges: DataFrame, path: str) -> None:
@@ -82,5 +218,5 @@ def write_review(edges: DataFrame, path: str) -> None:
 
 
 def merge_reviews(spark: SparkSession, paths: list[str], to: str) -> None:
-    """Several review tables as one file."""
-    read_review(spark, paths, ["image_id", "edge_id", "label"]).coalesce(1).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(to)
+    """Several review tables as one."""
+    read_review(spark, paths, ["image_id", "edge_id", "label"]).write.option("header", True).option("emptyValue", "").mode("overwrite").csv(to)
