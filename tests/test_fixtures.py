@@ -110,6 +110,31 @@ def test_pixels_without_a_key_are_an_error(spark):
         raster.labelled(spark.createDataFrame([(1, 1 << 20, 0)], "image long, row int, col int")).collect()
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_over_tile_borders(spark, monkeypatch, connectivity):
+    monkeypatch.setattr(raster, "TILE", 4)
+    rng = random.Random(connectivity)
+    points = {(k, r, c) for k in (1, 2) for r in range(23) for c in range(19) if rng.random() < 0.5}
+    near = [(r, c) for r, c in raster.square(1) if (r or c) and (connectivity == 8 or not (r and c))]
+    want, left = {}, set(points)
+    while left:
+        first = min(left)
+        heap = [first]
+        left.discard(first)
+        while heap:
+            k, r, c = heap.pop()
+            want[k, r, c] = first
+            for i, j in near:
+                if (q := (k, r + i, c + j)) in left:
+                    left.discard(q)
+                    heap.append(q)
+    mask = spark.createDataFrame([(*p, "x") for p in sorted(points)], "image long, row int, col int, note string")
+    got = raster.labelled(mask, connectivity)
+    assert got.columns == [*mask.columns, "component"]
+    assert {(r["image"], r["row"], r["col"]): r["component"] for r in got.collect()} == {p: (k << 40) + (r << 20) + c for p, (k, r, c) in want.items()}
+    assert raster.labelled(mask.limit(0), connectivity).count() == 0
+
+
 def test_distances_are_those_of_all_pairs():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -6,11 +6,14 @@ pixels, not images, and an image may be larger than a task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.components import connected_components
+from weft.session import stored
 
 PIXEL = ["image", "row", "col"]
 
@@ -45,13 +48,13 @@ def weak_and_strong(prob: DataFrame, high: float, low: float) -> DataFrame:
     return prob.filter(F.col("p") >= low).withColumn("strong", F.col("p") >= high)
 
 
-def pixel_id(pixels: DataFrame) -> Column:
+def pixel_id(pixels: DataFrame, row: str = "row", col: str = "col") -> Column:
     """A key for each pixel that orders an image's pixels by row and column, an error outside what it can hold.
 
     Images that are numbers (0 to 2^23 - 1) give numbers, 20 bits each for row and column; other images give text.
     Rows and columns are 0 to 2^20 - 1, so no two pixels share a key.
     """
-    row, col, image = F.col("row"), F.col("col"), F.col("image")
+    row, col, image = F.col(row), F.col(col), F.col("image")
     held = row.between(0, (1 << 20) - 1) & col.between(0, (1 << 20) - 1)
     if isinstance(pixels.schema["image"].dataType, T.IntegralType):
         key = F.shiftleft(image.cast("long"), 40).bitwiseOR(F.shiftleft(row.cast("long"), 20)).bitwiseOR(col.cast("long"))
@@ -62,13 +65,78 @@ def pixel_id(pixels: DataFrame) -> Column:
     return F.when(held, key).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no pixel key for"), image.cast("string"), row.cast("string"), col.cast("string"))))
 
 
+#: Side of the tiles that components are found in before they are joined over tile borders.
+TILE = 256
+
+
+def tile_roots(tile: np.ndarray, row: np.ndarray, col: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each pixel the place of the least pixel (by row and column) that it hangs together with inside its tile.
+
+    Labels go to the least of the neighbours' and then to that one's own, until nothing moves: all tiles at once.
+    """
+    top, left = row.min(), col.min()
+    width = int(col.max() - left) + 3
+    number = np.unique(tile, return_inverse=True)[1]
+    key = (number * (int(row.max() - top) + 3) + (row - top) + 1) * width + (col - left) + 1
+    keys, first, own = np.unique(key, return_index=True, return_inverse=True)
+    a, b = [], []
+    for r, c in neighbours(connectivity):
+        want = keys + r * width + c
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        met = np.flatnonzero(keys[at] == want)
+        a.append(met)
+        b.append(at[met])
+    a, b = np.concatenate(a), np.concatenate(b)
+    label = np.arange(len(keys))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b):
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, label[x], least)
+        while (further := new[new]).tobytes() != new.tobytes():
+            new = further
+        if (new == label).all():
+            return first[label][own]
+        label = new
+
+
 def labelled(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """mask with component: the least pixel key of the component (see ``pixel_id``)."""
-    own = mask.select(*PIXEL, pixel_id(mask).alias("pixel"))
-    near = shifted(own, neighbours(connectivity), ["pixel"]).withColumnRenamed("pixel", "src")
-    touching = near.join(own, PIXEL).select("src", F.col("pixel").alias("dst"))
-    found = connected_components(touching).withColumnRenamed("id", "pixel")
-    return mask.withColumn("pixel", pixel_id(mask)).join(found, "pixel", "left").withColumn("component", F.coalesce("component", "pixel")).drop("pixel")
+    """mask with component: the least pixel key of the component (see ``pixel_id``).
+
+    Tiles are labelled each in one pass; only labels that meet over a tile's border go on to the joined search. Rows without
+    an image or place are left out.
+    """
+    tiled = mask.withColumn("__tile", F.concat_ws(":", F.col("image").cast("string"), F.floor(F.col("row") / TILE).cast("string"), F.floor(F.col("col") / TILE).cast("string")))
+
+    def roots(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (held["__tile"] == held["__tile"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield found(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield found(held)
+
+    def found(frame):
+        row, col = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+        at = tile_roots(frame["__tile"].to_numpy(), row, col, connectivity)
+        return frame.drop(columns="__tile").assign(__row=row[at], __col=col[at])
+
+    tiled = tiled.filter("image is not null and row is not null and col is not null")
+    kinds = T.StructType([*mask.schema.fields, T.StructField("__row", T.LongType()), T.StructField("__col", T.LongType())])
+    at = tiled.repartition("__tile").sortWithinPartitions("__tile").mapInPandas(roots, kinds)
+    at = stored(at.withColumn("component", pixel_id(mask, "__row", "__col")).drop("__row", "__col"), "tiles")
+    edge = lambda c: (F.col(c) % TILE == 0) | (F.col(c) % TILE == TILE - 1)
+    rim = at.filter(edge("row") | edge("col")).select(*PIXEL, F.col("component").alias("src"))
+    near = shifted(rim, neighbours(connectivity), ["src"])
+    over = stored(near.join(rim.withColumnRenamed("src", "dst"), PIXEL).filter("src <> dst").select("src", "dst").distinct(), "borders")
+    if over.isEmpty():
+        return at
+    whole = connected_components(over).select(F.col("id").alias("component"), F.col("component").alias("__whole"))
+    return at.join(whole, "component", "left").withColumn("component", F.coalesce("__whole", "component")).select(*mask.columns, "component")
 
 
 def hysteresis(prob: DataFrame, high: float, low: float, connectivity: int = 8) -> DataFrame:
