@@ -214,9 +214,8 @@ def rake_brute(tokens, shares, keep, rounds):
     return p
 
 
-@pytest.mark.parametrize("wishes", [None, {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}])
-def test_mixing_rakes_like_plain_loops(docs, wishes):
-    cells, few, model = mixing.plan(docs, 0.3, wishes)
+def assert_plan_is_raked(docs, plan, keep, wishes=None):
+    cells, few, model = plan
     tokens = Counter()
     for r in docs.collect():
         counts, v = mixing._vectors([r["text"]])
@@ -230,10 +229,15 @@ def test_mixing_rakes_like_plain_loops(docs, wishes):
             seen[cell[at]] += n
         weight = {c: ((wishes or {}).get(margin, {}).get(c, 0.0) if n else 0.0) if margin in (wishes or {}) else n ** mixing.TEMPERS[margin] for c, n in seen.items()}
         shares.append({c: w / sum(weight.values()) for c, w in weight.items()})
-    want = rake_brute(tokens, shares, 0.3, mixing.ROUNDS)
+    want = rake_brute(tokens, shares, keep, mixing.ROUNDS)
     assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-4 for r in got)
 
 
+@pytest.mark.parametrize("wishes", [None, {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}])
+def test_mixing_rakes_like_plain_loops(docs, wishes):
+    assert_plan_is_raked(docs, mixing.plan(docs, 0.3, wishes), 0.3, wishes)
+
+
 def test_mixing_draws_what_it_expects(docs):
     report = mixing.achieved(docs, 0.3, {"lang": {"en": 0.25, "de": 0.25, "es": 0.25, "fr": 0.25}}).collect()
     assert {r["margin"] for r in report} == set(mixing.MARGINS)
@@ -433,22 +437,25 @@ def test_plan_places_every_piece_once():
         assert n == len(rooms)
 
 
-def test_pack_round_trip(docs, odd):
+def check_packing(df, got):
+    """got (a frame of pieces) against the tokenizer itself: every piece once, sequences gapless and no longer than they may be."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(queries.word_bpe())
+    tok, want = Tokenizer.from_file(queries.word_bpe()), []
+    for r in df.collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        want += [(r["doc_id"], k, at, len(part := ids[at : at + 2048]), zlib.crc32(np.array(part, "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    none = lambda x: None if x != x else int(x)
+    assert sorted(((none(r[0]), *map(int, r[1:5])) for r in got.itertuples(index=False)), key=str) == sorted(want, key=str)
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["sequence_id"].nunique() <= got["length"].sum() / 2048 * 1.1 + 1
+
+
+def test_pack_round_trip(docs, odd):
     for df in (docs, odd):
-        want = []
-        for r in df.collect():
-            ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [0]
-            want += [(r["doc_id"], k, at, len(part := ids[at : at + 2048]), zlib.crc32(np.array(part, "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
-        got = packing.pack(df, queries.word_bpe()).toPandas()
-        none = lambda x: None if x != x else int(x)
-        assert sorted(((none(r[0]), *map(int, r[1:5])) for r in got.itertuples(index=False)), key=str) == sorted(want, key=str)
-        got = got.sort_values(["sequence_id", "offset"])
-        assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
-        assert got.groupby("sequence_id")["length"].sum().max() <= 2048
-        assert got["sequence_id"].nunique() <= got["length"].sum() / 2048 * 1.1 + 1
+        check_packing(df, packing.pack(df, queries.word_bpe()).toPandas())
     assert packing.pack(odd.limit(0), queries.word_bpe()).count() == 0
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline as pipeline
-from tests.llm.test_operators import CLASHES, ODD, jaccard_brute, line_brute
-from weft.llm import quality_rules
+from tests.llm.test_operators import CLASHES, ODD, assert_plan_is_raked, check_packing, jaccard_brute, line_brute
+from weft.llm import mixing, quality_rules
 from weft.session import stored, table
 
 
@@ -44,9 +44,18 @@ def test_one_document_of_each_class_stays(stages):
     assert {r["doc_id"] for r in after.collect()} == {c for c, _ in classes.values()}
 
 
+def test_mixing_keeps_what_its_draw_keeps(stages):
+    _, before, after = stages[3]
+    assert_plan_is_raked(before, mixing.plan(before), mixing.KEEP_SHARE)
+    kept = [(r["doc_id"]) for r in mixing.mix(before).filter("kept").collect()]
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    got = after.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(kept) and all(texts[r["doc_id"]] == r["text"] for r in got)
+
+
 def test_last_stage_packs_what_is_left(stages):
     _, before, after = stages[4]
-    assert {r["doc_id"] for r in after.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}
+    check_packing(before, after.toPandas())
 
 
 def test_stages_take_odd_rows(spark, sf_dir):
