@@ -82,10 +82,11 @@ def line_graph(edges: DataFrame) -> DataFrame:
 
     A pair that shares both its nodes is given at the lesser of them, so that the pairs need not be made distinct.
     """
-    e = edges.select("image", "edge", "u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
-    other = e.select("image", "node", F.col("edge").alias("dst"), F.col("u").alias("u2"), F.col("v").alias("v2"))
-    shared = F.array_min(F.array_intersect(F.array("u", "v"), F.array("u2", "v2")))
-    return e.withColumnRenamed("edge", "src").join(other, ["image", "node"]).filter((F.col("src") != F.col("dst")) & (F.col("node") == shared)).select("image", "src", "dst")
+    e = edges.select("image", "edge", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"), "u", "v")
+    e = e.select("image", "node", F.col("edge").alias("src"), F.when(F.col("u") == F.col("node"), F.col("v")).otherwise(F.col("u")).alias("end"))
+    other = e.select("image", "node", F.col("src").alias("dst"), F.col("end").alias("end2"))
+    elsewhere = (F.col("end") == F.col("end2")) & (F.col("end") < F.col("node"))
+    return e.join(other, ["image", "node"]).filter((F.col("src") != F.col("dst")) & ~elsewhere).select("image", "src", "dst")
 
 
 #: Sums over neighbours are taken in decimals, so that what a hot node has and an edge's own share part without error.
