@@ -30,7 +30,7 @@ LIST = 256
 MOST_LISTS = 4096
 REPLICAS = 4
 BOUNDARY = 1.15
-SAMPLE_RECALL = 0.96
+SAMPLE_RECALL = 0.975
 SAMPLE_QUERIES = 256
 DEGREE = 24
 CHUNK = 4096
