@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import jaccard_join, language_id, line_dedup, lm_score, mixing, nearest, packing, substring_dedup, suffix_dedup
+from weft.llm import exact_dedup, jaccard_join, language_id, line_dedup, lm_score, mixing, nearest, packing, periodic_runs, prefix_trie, substring_dedup, suffix_dedup
 from weft.llm import quality_rules as rules
-from weft.session import table
+from weft.llm.tables import let, words_of
+from weft.session import stored, table
 
 
 def word_bpe() -> str:
@@ -204,5 +205,134 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m"""
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_lm_score": op7_lm_score, "op8_suffix_dedup": op8_suffix_dedup, "op9_nearest": op9_nearest, "op10_quality_rules": op10_quality_rules}
-ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op8_suffix_dedup": _OP8_SQL, "op10_quality_rules": _op10_sql()}
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text of ASCII characters: bytes are taken in, -1 stands for a shift by one bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {step}), 4294967295::BIGINT)"
+
+
+def _planted(doc_id, text):
+    """The text of op11's documents: one in ten, by the hash of its id, ends in a repeated stretch of its own words."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    return F.when((h % 10 == 0) & (text.rlike(r"[^\x20\x09-\x0D]")), let(words_of(text), repeated)).otherwise(text)
+
+
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = periodic_runs.periodic_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+    # of runs with the greatest exponent the first by start, then period: the array is in that order
+    longer = lambda x, y: F.coalesce(y["length"] * x["period"] > x["length"] * y["period"], F.lit(True))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(longer(x, y), y).otherwise(x))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    digest = out.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return digest.select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+_OP11_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, len(ws) AS n, {_crc32("doc_id::VARCHAR")} AS h FROM documents
+), p AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d
+), w AS (
+  SELECT doc_id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM p)
+), m AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i AND y.i - x.i <= x.n // 3
+), g AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM m
+), c AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM g GROUP BY doc_id, p, g HAVING count(*) + p >= greatest({periodic_runs.LEAST}, {periodic_runs.PERIODS} * p)
+), r AS (
+  SELECT doc_id, start, length, min(p) AS period FROM c GROUP BY doc_id, start, length
+), b AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS nth FROM r
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r
+), k AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f ON f.doc_id = d.doc_id AND nth = 1 LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+def op12_prefix_trie(spark, sf_dir):
+    turns = stored(prefix_trie.numbered(table(spark, sf_dir, "conversations")), "numbered")
+    own = turns.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", "n", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), (F.crc32(F.col("conv_id").cast("string")) % 6).alias("h"))
+    of_base = own.filter("conv_id = base").select("base", F.col("n").alias("n_base"))
+    convs = stored(own.join(of_base, "base", "left").select("conv_id", "base", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("taken")), "rebuilt")
+    # the first turns of a base, five at most, go to the hundred conversations that have it
+    first = turns.filter("conv_id % 100 = 0 and pos < 5").withColumnRenamed("conv_id", "base")
+    heads = convs.filter("taken > 0").join(first, "base").filter("pos < taken").select("conv_id", "pos", "digest", "chars")
+    rest = turns.join(convs, "conv_id").filter("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "chars")
+    made = prefix_trie.trie(heads.unionByName(rest), convs.select("conv_id"))
+    sums = prefix_trie.digests(made.ends)
+    return made.nodes.join(sums, ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("sha256", F.sha2(F.lit(""), 256))).drop("sha256")
+
+
+_OP12_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, unhex(sha256(strlen(r)::VARCHAR || ':' || r || x))) - 1 AS pos, r, x
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM t GROUP BY conv_id
+), b AS (
+  SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(o.n, 0)) AS taken FROM c LEFT JOIN c o ON o.conv_id = c.base
+), m AS (
+  SELECT b.conv_id, t.pos, t.r, t.x FROM b JOIN t ON t.conv_id = b.base AND t.pos < b.taken
+  UNION ALL
+  SELECT b.conv_id, t.pos - b.h + b.taken, t.r, t.x FROM b JOIN t ON t.conv_id = b.conv_id AND t.pos >= b.h
+), f AS (
+  SELECT conv_id, pos + 1 AS depth, length(x) AS chars,
+         sha256(string_agg(strlen(r)::VARCHAR || ':' || strlen(x)::VARCHAR || ':' || r || x, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS k
+  FROM m
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM b
+), v AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM f GROUP BY depth, k
+), p AS (
+  SELECT f.conv_id AS member, f.depth, v.conv_id, v.n_convs, v.chars FROM f JOIN v USING (depth, k)
+), l AS (
+  SELECT v.conv_id, v.depth, v.n_convs, v.chars, p.conv_id AS parent_conv_id FROM v LEFT JOIN p ON p.member = v.conv_id AND p.depth = v.depth - 1
+), k AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM l WHERE depth > 0 GROUP BY ALL
+), s AS (
+  SELECT p.conv_id, p.depth, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((l.n_convs - 1) * l.chars) AS saved_tokens
+  FROM l LEFT JOIN k USING (conv_id, depth) JOIN p ON p.member = l.conv_id AND p.depth <= l.depth GROUP BY ALL
+), e AS (
+  SELECT p.conv_id, p.depth, string_agg(member::VARCHAR, ',' ORDER BY member) AS ends
+  FROM p JOIN (SELECT conv_id AS member, max(depth) AS depth FROM f GROUP BY conv_id) USING (member, depth) GROUP BY ALL
+)
+SELECT l.conv_id, l.depth::BIGINT AS depth, l.parent_conv_id, l.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM l JOIN s USING (conv_id, depth) LEFT JOIN k USING (conv_id, depth) LEFT JOIN e USING (conv_id, depth)"""
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS l, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t ORDER BY l DESC, doc_id NULLS FIRST)"""
+
+
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_substring_dedup": op2_substring_dedup, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op5_language_id": op5_language_id, "op6_packing": op6_packing, "op7_lm_score": op7_lm_score, "op8_suffix_dedup": op8_suffix_dedup, "op9_nearest": op9_nearest, "op10_quality_rules": op10_quality_rules, "op11_periodic_runs": op11_periodic_runs, "op12_prefix_trie": op12_prefix_trie, "op13_exact_dedup": op13_exact_dedup}
+ORACLES = {"op1_jaccard_join": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op8_suffix_dedup": _OP8_SQL, "op10_quality_rules": _op10_sql(), "op11_periodic_runs": _OP11_SQL, "op12_prefix_trie": _OP12_SQL, "op13_exact_dedup": _OP13_SQL}
