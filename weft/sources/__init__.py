@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import traceback
 import zipfile
 
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from weft.operators.discovery import has_suffix, last_wins, stem
 from weft.operators.labels import Vocabulary, duplicates, normalized
+from weft.session import stored
+from weft.sources.rasters import write_planes
 
 #: Suffixes of image files.
 IMAGE_SUFFIXES = [".jpg", ".jpeg", ".png", ".ppm", ".bmp"]
@@ -184,20 +185,10 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 
 
 def write_rasters(pixels: DataFrame, path: str, height: int, width: int, value: str = "value", empty: int = 0) -> DataFrame:
-    """(image, path) of one .npy file an image, written by the tasks; each task holds one image.
-
-    path must be reachable from all executors.
-    """
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        plane = np.full((height, width), empty, np.uint8)
-        plane[rows["row"], rows["col"]] = rows["value"]
-        name = f"{path}/{key[0]}.npy"
-        os.makedirs(path, exist_ok=True)
-        np.save(name, plane)
-        return pd.DataFrame({"image": [str(key[0])], "path": [name]})
-
-    return pixels.select("image", "row", "col", F.col(value).alias("value")).groupBy("image").applyInPandas(write, "image string, path string")
+    """(image, path) of one .npy file an image, which appear when all are written. path must be reachable from all executors."""
+    images = stored(pixels.select(F.col("image").cast("string").alias("image")).distinct(), "images")
+    write_planes(pixels, images.withColumns({"height": F.lit(height), "width": F.lit(width)}), path, (value,), empty=empty)
+    return images.select("image", F.concat(F.lit(f"{path}/"), "image", F.lit(".npy")).alias("path"))
 
 
 def write_by_config(rows: DataFrame, path: str) -> None:
