@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_fixtures import line, pixels
-from weft.operators import features, kernels, raster, skeleton_graph
+from weft.operators import features, raster, skeleton_graph, tiles
 
 SIZE = 60
 DRAWN = {
@@ -25,8 +25,8 @@ def built(spark):
     for image, points in DRAWN.items():
         part = pixels(spark, points, image)
         masks = part if masks is None else masks.unionByName(part)
-    nodes, edges, paths = (x.cache() for x in skeleton_graph.build(kernels.thinned(masks), 2))
-    distance = kernels.distances(masks, SIZE, SIZE).select("image", "row", "col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    nodes, edges, paths = (x.cache() for x in skeleton_graph.build(tiles.thinned(masks), 2))
+    distance = tiles.distances(masks, SIZE, SIZE).select("image", "row", "col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
     frame = raster.frame(masks, SIZE, SIZE)
     prob = frame.select("image", "row", "col", ((F.col("row") * 7 + F.col("col") * 3) % 11 / 11.0).alias("p"))
     planes = frame.select("image", "row", "col", ((F.col("row") * 13 + F.col("col") * 5) % 251).alias("grey"), ((F.col("row") + F.col("col")) % 97).alias("saturation"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft import functions as fn
 from weft import sources, streaming
-from weft.operators import discovery, graph, kernels, labels, paths, policies, raster, skeleton_graph, splits, sweeps
+from weft.operators import discovery, graph, kernels, labels, paths, policies, raster, skeleton_graph, splits, sweeps, tiles
 from weft.operators.components import connected_components
 
 
@@ -43,7 +43,7 @@ def test_faces_of_a_pinhole_and_a_ring(spark):
 
 def test_junction_and_endpoints_of_a_thinned_cross(spark):
     thick = {(r + i, c + j) for r, c in line((5, 5), (35, 35)) | line((5, 35), (35, 5)) for i in (0, 1) for j in (0, 1)}
-    thin = kernels.thinned(pixels(spark, thick))
+    thin = tiles.thinned(pixels(spark, thick))
     ends = raster.neighbour_count(thin).filter("neighbours = 1").count()
     assert ends == 4 and thin.count() < len(thick)
 
@@ -135,25 +135,6 @@ def test_components_over_tile_borders(spark, monkeypatch, connectivity):
     assert raster.labelled(mask.limit(0), connectivity).count() == 0
 
 
-def test_distances_are_those_of_all_pairs():
-    rng = np.random.default_rng(3)
-    for _ in range(30):
-        grid = rng.random(rng.integers(1, 25, 2)) < rng.choice([0.5, 0.9, 0.99])
-        if grid.all():
-            continue
-        r, c = np.nonzero(~grid)
-        want = np.array([[((r - i) ** 2 + (c - j) ** 2).min() for j in range(grid.shape[1])] for i in range(grid.shape[0])])
-        assert (kernels.squared_distances(grid) == want).all()
-
-
-def test_distances_match_brute_force():
-    rng = np.random.default_rng(1)
-    grid = rng.random((17, 13)) < 0.8
-    far, off = kernels.squared_distances(grid), np.argwhere(~grid)
-    for r, c in np.argwhere(grid):
-        assert far[r, c] == ((off - (r, c)) ** 2).sum(axis=1).min()
-
-
 def test_orientation_of_a_horizontal_path(spark):
     p = spark.createDataFrame([(1, k, 20.0, float(k)) for k in range(50)], "edge long, pos int, row double, col double")
     o = paths.orientation(p, ["edge"]).first()

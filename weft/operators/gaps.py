@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import kernels, paths, raster, skeleton_graph
+from weft.operators import paths, raster, skeleton_graph, tiles
 from weft.operators.graph import pairs_within
 from weft.operators.raster import PIXEL
 from weft.session import stored
@@ -30,7 +30,7 @@ def without_noise(mask: DataFrame, prob: DataFrame | None, pixels: int, diagonal
     pixels, by the diagonal of its box, by elongation, by mean score."""
     at = stored(raster.labelled(mask.select(*PIXEL)), "components")
     p = at.withColumn("p", F.lit(1.0)) if prob is None else at.join(prob.select(*PIXEL, "p"), PIXEL, "left")
-    thin = raster.labelled(kernels.thinned(mask)).select(*PIXEL).join(at, PIXEL).groupBy("image", "component").agg(F.count("*").alias("skeleton"))
+    thin = raster.labelled(tiles.thinned(mask)).select(*PIXEL).join(at, PIXEL).groupBy("image", "component").agg(F.count("*").alias("skeleton"))
     stats = raster.component_stats(p).join(thin, ["image", "component"], "left").join(paths.elongation(at, ["image", "component"]), ["image", "component"], "left")
     why = (
         F.when(F.coalesce("skeleton", F.lit(0)) < pixels, "skeleton_length").when(F.col("diagonal") < diagonal, "bbox_diagonal")
@@ -70,7 +70,7 @@ def bridges(mask: DataFrame, prob: DataFrame | None, most: float, angle: float,
     Returns the bridges (image, a, b, distance, angle_start, angle_end, mean_p), their pixels, and how many pairs were
     rejected for what reason (image, reason, n) while both their ends were free.
     """
-    skeleton = stored(kernels.thinned(mask), "skeleton")
+    skeleton = stored(tiles.thinned(mask), "skeleton")
     ends = stored(tangents(skeleton, window), "ends")
     near = pairs_within(ends.select("image", "point", "row", "col"), most)
     side = lambda k: ends.select("image", *(F.col(c).alias(n) for c, n in (("point", k), ("row", f"{k}r"), ("col", f"{k}c"), ("tr", f"{k}tr"), ("tc", f"{k}tc"))))

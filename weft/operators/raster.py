@@ -206,14 +206,6 @@ def adjacent_faces(paths: DataFrame, keys: list[str], faces: DataFrame, radius:
     return paths.select(*keys).distinct().join(g, keys, "left").na.fill(0, ["faces", "area"])
 
 
-def nearest_seed(mask: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
-    """The nearest seed of each mask pixel within ``radius`` (Euclidean), the least seed of equals; others have none."""
-    near = seeds.select("image", "row", "col", "seed").withColumn("__o", _offsets(disk(radius)))
-    near = near.select("image", (F.col("row") + F.col("__o.r")).alias("row"), (F.col("col") + F.col("__o.c")).alias("col"), "seed", (F.col("__o.r") * F.col("__o.r") + F.col("__o.c") * F.col("__o.c")).alias("d2"))
-    best = near.groupBy(*PIXEL).agg(F.min(F.struct("d2", "seed")).alias("x"))
-    return mask.select(*PIXEL).join(best, PIXEL, "left").select(*PIXEL, F.col("x.seed").alias("seed"), F.col("x.d2").alias("d2"))
-
-
 def exclusion(nodes: DataFrame, radius: int) -> DataFrame:
     """Pixels within ``radius`` (Chebyshev) of a junction."""
     return shifted(nodes, square(radius)).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft import functions as fn
 from weft import sources
-from weft.operators import discovery, features, gaps, kernels, metrics, raster, skeleton_graph, splits
+from weft.operators import discovery, features, gaps, metrics, raster, skeleton_graph, splits, tiles
 from weft.plans.relations import SIDE, mask, predictions, prob, with_
 from weft.session import stored, table
 
@@ -16,8 +16,8 @@ SMALL = features.Settings(margin=1, least_face=1, radius=4.0, patch=2, stride=2,
 
 def _features(s, d):
     m = stored(mask(s, d), "mask")
-    nodes, edges, paths = skeleton_graph.build(kernels.thinned(m), 1)
-    distance = kernels.distances(m, SIDE, SIDE).select("image", "row", "col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    nodes, edges, paths = skeleton_graph.build(tiles.thinned(m), 1)
+    distance = tiles.distances(m, SIDE, SIDE).select("image", "row", "col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
     p = prob(s, d)
     planes = p.select("image", "row", "col", F.floor(F.col("p") * 255).alias("grey"), F.floor(F.col("p") * 100).alias("saturation"))
     return features.table(nodes, edges, paths, SIDE, SIDE, m, distance, p, planes, settings=SMALL)

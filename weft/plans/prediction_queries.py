@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft import functions as fn
-from weft.operators import discovery, graph, raster, sweeps
+from weft.operators import discovery, graph, raster, sweeps, tiles
 from weft.plans.relations import edges, mask, nodes, paths, prob, scores, with_
 from weft.plans.sweep_queries import rounded
 from weft.session import table
@@ -15,7 +15,7 @@ def _seeded(s, d):
     m = mask(s, d)
     seeds = m.filter("(row * 8 + col + image) % 9 = 0").withColumn("seed", F.col("row") * 8 + F.col("col"))
     values = s.range(64).filter("id % 5 > 0").select(F.col("id").cast("int").alias("seed"), (F.col("id") % 3).cast("int").alias("value"))
-    return graph.class_mask(raster.nearest_seed(m, seeds, 4), values).groupBy("image", "value").agg(F.count("*").alias("n"))
+    return graph.class_mask(tiles.nearest(m, seeds), values).groupBy("image", "value").agg(F.count("*").alias("n"))
 
 
 def _pixels(s, d):
@@ -63,7 +63,7 @@ QUERIES = {
     ),
     "class_mask": (
         _seeded,
-        with_("prob", "mask") + ", sd AS (SELECT *, row * 8 + col AS seed FROM mask WHERE (row * 8 + col + image) % 9 = 0), k AS (SELECT m.image, m.row, m.col, arg_min(seed, ((m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col), seed)) FILTER ((m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col) <= 16) AS seed FROM mask m LEFT JOIN sd ON sd.image = m.image GROUP BY ALL) SELECT image, CASE WHEN seed % 5 > 0 THEN seed % 3 ELSE 255 END::INT AS value, count(*) AS n FROM k GROUP BY ALL",
+        with_("prob", "mask") + ", sd AS (SELECT *, row * 8 + col AS seed FROM mask WHERE (row * 8 + col + image) % 9 = 0), k AS (SELECT m.image, m.row, m.col, arg_min(seed, ((m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col), seed)) AS seed FROM mask m LEFT JOIN sd ON sd.image = m.image GROUP BY ALL) SELECT image, CASE WHEN seed % 5 > 0 THEN seed % 3 ELSE 255 END::INT AS value, count(*) AS n FROM k GROUP BY ALL",
     ),
     "pixel_owner": (lambda s, d: graph.pixel_owner(_pixels(s, d)), _PIXELS + "SELECT image, row, col, max(edge) AS edge FROM px GROUP BY ALL"),
     "shared_pixels": (lambda s, d: graph.shared_pixels(_pixels(s, d)), _PIXELS + "SELECT image, row, col, count(DISTINCT edge) AS edges FROM px GROUP BY ALL HAVING count(DISTINCT edge) > 1"),

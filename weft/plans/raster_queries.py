@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import hann
-from weft.operators import kernels
+from weft.operators import kernels, tiles
 from weft.operators import raster as R
 from weft.plans.relations import SIDE, mask, paths, prob, with_
 from weft.plans.sweep_queries import rounded
@@ -63,7 +63,7 @@ def _stats(s, d):
 
 def _thin_and_trace(s, d):
     """Thinned masks cut at their junctions, and the chains that are left, traced."""
-    thin = kernels.thinned(mask(s, d))
+    thin = tiles.thinned(mask(s, d))
     chains = R.neighbour_count(thin).filter("neighbours <= 2").select("image", "row", "col")
     return kernels.traced(R.labelled(chains))
 
@@ -103,11 +103,11 @@ QUERIES = {
         with_("prob", "mask") + "SELECT image, row, col FROM mask m WHERE NOT EXISTS (SELECT 1 FROM mask k WHERE k.image = m.image AND (k.row * 8 + k.col + k.image) % 9 = 0 AND abs(k.row - m.row) <= 1 AND abs(k.col - m.col) <= 1)",
     ),
     "nearest_seed": (
-        lambda s, d: R.nearest_seed(mask(s, d), _seeds(s, d), 4).na.fill(-1),
-        with_("prob", "mask") + ", sd AS (SELECT *, row * 8 + col AS seed FROM mask WHERE (row * 8 + col + image) % 9 = 0), c AS (SELECT m.image, m.row, m.col, seed, (m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col) AS d2 FROM mask m JOIN sd ON sd.image = m.image), k AS (SELECT *, row_number() OVER (PARTITION BY image, row, col ORDER BY d2, seed) AS n FROM c WHERE d2 <= 16) SELECT m.image, m.row, m.col, coalesce(seed, -1) AS seed, coalesce(d2, -1) AS d2 FROM mask m LEFT JOIN k ON k.image = m.image AND k.row = m.row AND k.col = m.col AND n = 1",
+        lambda s, d: tiles.nearest(mask(s, d), _seeds(s, d)).na.fill(-1),
+        with_("prob", "mask") + ", sd AS (SELECT *, row * 8 + col AS seed FROM mask WHERE (row * 8 + col + image) % 9 = 0), c AS (SELECT m.image, m.row, m.col, seed, (m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col) AS d2 FROM mask m JOIN sd ON sd.image = m.image), k AS (SELECT *, row_number() OVER (PARTITION BY image, row, col ORDER BY d2, seed) AS n FROM c) SELECT m.image, m.row, m.col, coalesce(seed, -1) AS seed, coalesce(d2, -1) AS d2 FROM mask m LEFT JOIN k ON k.image = m.image AND k.row = m.row AND k.col = m.col AND n = 1",
     ),
     "distance_transform": (
-        lambda s, d: kernels.distances(mask(s, d), SIDE, SIDE),
+        lambda s, d: tiles.distances(mask(s, d), SIDE, SIDE),
         with_("prob", "mask") + ", bg AS (SELECT image, row, col FROM prob ANTI JOIN mask USING (image, row, col)) SELECT m.image, m.row, m.col, min((m.row - b.row) * (m.row - b.row) + (m.col - b.col) * (m.col - b.col))::BIGINT AS d2 FROM mask m LEFT JOIN bg b ON b.image = m.image GROUP BY ALL",
     ),
     "normalise_per_group": (
