@@ -214,12 +214,17 @@ def rake_brute(tokens, shares, keep, rounds):
     return p
 
 
-def assert_plan_is_raked(docs, plan, keep, wishes=None):
-    cells, few, model = plan
+def slot_of(lang):
+    return zlib.crc32((lang or "?").encode()) % mixing.SLOTS
+
+
+def assert_plan_is_raked(docs, plan, most, wishes=None):
+    """The plan's probabilities are those of plain loops at its share; a share below the most has a reason."""
+    cells, few, model, keep = plan
     tokens = Counter()
     for r in docs.collect():
         counts, v = mixing._vectors([r["text"]])
-        tokens[r["source"] or "?", r["lang"] or "?", f"t{model.nearest(v)[0]}" if counts[0] else "?"] += counts[0]
+        tokens[r["source"] or "?", r["lang"] or "?", f"t{model.nearest(v, [slot_of(r['lang'])])[0]}" if counts[0] else "?"] += counts[0]
     got = cells.collect()
     assert few and {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in got} == tokens
     shares = []
@@ -229,6 +234,13 @@ def assert_plan_is_raked(docs, plan, keep, wishes=None):
             seen[cell[at]] += n
         weight = {c: ((wishes or {}).get(margin, {}).get(c, 0.0) if n else 0.0) if margin in (wishes or {}) else n ** mixing.TEMPERS[margin] for c, n in seen.items()}
         shares.append({c: w / sum(weight.values()) for c, w in weight.items()})
+    def off(share):
+        p = rake_brute(tokens, shares, share, mixing.ROUNDS)
+        total = sum(p[c] * n for c, n in tokens.items())
+        return max(abs(sum(p[c] * n for c, n in tokens.items() if c[at] == k) / total - w) for at, s in enumerate(shares) for k, w in s.items())
+
+    assert keep == most or off(most) > mixing.WITHIN
+    assert keep == most or off(keep) <= mixing.WITHIN < off(keep + most / 2**mixing.HALVINGS)
     want = rake_brute(tokens, shares, keep, mixing.ROUNDS)
     assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-4 for r in got)
 
@@ -249,6 +261,21 @@ def test_mixing_draws_what_it_expects(docs):
     assert abs(drawn.loc[drawn["kept"], "n_tokens"].sum() - expected) < 4 * spread
 
 
+def test_mixing_meets_its_targets_or_says_so(docs):
+    drawn = mixing.mix(docs).toPandas()
+    full = drawn[drawn["n_tokens"] > 0]
+    assert full["met"].all() and 0 < full["keep_share"].iloc[0] <= mixing.KEEP_SHARE and drawn["keep_share"].nunique() == 1
+    for m in mixing.MARGINS:
+        by = full.groupby(m)
+        have = by.apply(lambda g: (g["n_tokens"] * g["probability"]).sum(), include_groups=False) / (full["n_tokens"] * full["probability"]).sum()
+        assert np.allclose(have, by[f"{m}_expected"].first()) and (abs(have - by[f"{m}_wanted"].first()) <= mixing.WITHIN).all()
+    # most of the tokens are of languages that are not wanted, and the wanted one is where no wanted source is
+    rows = [(k, "a b c d", "en" if k % 2 else "de", "x" if k % 2 else "y") for k in range(100)]
+    odd = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    against = mixing.mix(odd, 0.5, {"lang": {"en": 1.0}, "source": {"y": 1.0}}).toPandas()
+    assert not against["met"].any() and (against["keep_share"] == 0.5).all()
+
+
 def test_topics_part_word_fields(spark):
     rng = random.Random(3)
     fields = [[f"f{f}w{k}" for k in range(300)] for f in range(4)]
@@ -256,7 +283,7 @@ def test_topics_part_word_fields(spark):
     rows = [(k, " ".join(rng.choices(fields[k % 4], k=60) + rng.choices(common, k=60))) for k in range(800)]
     signed = mixing.with_traits(spark.createDataFrame(rows, "doc_id long, text string"), None).select("__mix.*")
     model = mixing.learn_topics(signed, 4)
-    own = model.nearest(mixing._vectors([t for _, t in rows])[1])
+    own = model.nearest(mixing._vectors([t for _, t in rows])[1], [slot_of(None)] * len(rows))
     assert sum(max(Counter(own[f::4].tolist()).values()) for f in range(4)) > 0.95 * len(rows) and len(set(own.tolist())) == 4
 
 
@@ -268,8 +295,8 @@ def test_mixing_takes_a_topic_column(docs):
 
 def test_mixing_joined_equals_driver(docs, monkeypatch):
     monkeypatch.setattr(mixing, "ROUNDS", 3)
-    one, few, _ = mixing.plan(docs)
-    two, joined, _ = mixing.plan(docs, most_driver_cells=0)
+    one, few, _, share = mixing.plan(docs)
+    two, joined, _, also = mixing.plan(docs, most_driver_cells=0)
     assert few and not joined
     a, b = ({(r["source"], r["lang"], r["topic"]): r["probability"] for r in x.collect()} for x in (one, two))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
@@ -398,6 +425,10 @@ def test_long_text_has_one_choice(spark):
     assert short["langs"].keys() == long["langs"].keys() and abs(short["score"] - long["score"]) < 0.02
 
 
+def test_numbers_are_no_letters():
+    assert not any(language_id.has_letter(t) for t in ("", "12 _ !", "½ ²", "①", "Ⅷ", "٣")) and all(language_id.has_letter(t) for t in ("½a", "Ⅷ ß", "漢", "ª"))
+
+
 def test_language_odd_rows(odd):
     langs, model = language_id.learn(odd)
     got = language_id.identify(odd, langs, model).collect()
@@ -650,6 +681,21 @@ def test_many_equal_vectors(spark):
     assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4], 100: [0, 1, 2, 3, 4], 200: [0, 1, 2, 3, 4]}
 
 
+def test_equal_cosines_go_to_the_smaller_ids(spark):
+    rows = [(k, [float(3 * (1 << (k % 7))), float(4 * (1 << (k % 7)))]) for k in range(1, 150)]
+    rng = random.Random(2)
+    small = [(k, [float(rng.randint(-1, 1)) for _ in range(3)]) for k in range(200, 700)]
+    for batch in (rows, small):
+        got = {}
+        for r in nearest.nearest(spark.createDataFrame(batch, "vec_id long, embedding array<double>"), lists=1).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        some = {k: np.array(v) for k, v in batch if any(v)}
+        for q, found in got.items():
+            scores = sorted((-float((some[q] * x).sum() / (np.sqrt((some[q] ** 2).sum()) * np.sqrt((x * x).sum()))), k) for k, x in some.items() if k != q)
+            assert [v for v, _ in found] == [k for _, k in scores[:5]]
+        assert set(got) == {k for k in some if k % 50 == 0}
+
+
 # 10
 
 

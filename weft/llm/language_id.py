@@ -37,11 +37,17 @@ PENALTY = 6.0
 MOST_HELD = 64
 UND = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and such numbers as are no digits.
+_WORDY = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters count as blanks.
 _FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers such as one half, a raised two or a Roman eight are none."""
+    return any(m.group().isalpha() for m in _WORDY.finditer(text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """The bucket of each byte trigram of a text, blanks around it included."""
     b = _FOLD[np.frombuffer(b" " + text.lower().encode() + b" ", np.uint8)]
@@ -139,7 +145,7 @@ def identify(docs: DataFrame, langs: list, model: np.ndarray, id_col: str = "doc
             out: tuple = ([], [], [])
             for text in batch.column(1):
                 text, shares = text.as_py(), None
-                if text is not None and names and LETTER.search(text):
+                if text is not None and names and has_letter(text):
                     # a document has as many rows as different trigrams, at most one a cell, however long it is
                     cells, times = np.unique(trigrams(text) >> fold, return_counts=True)
                     shares = mixture(likelihood[cells], times)

@@ -9,7 +9,8 @@ the ratio is read off the sample, where it finds ``SAMPLE_RECALL`` of the true n
 
 Equal vectors are one entry with its ``k + 1`` least ids, more of which can never be among the k nearest. Lists and
 the queries that open them are cut into chunks of bounded size, every chunk of one met by every chunk of the other, so
-no list is too large for a task. Scores are cosines of the original vectors in double precision.
+no list is too large for a task. Scores are cosines of the original vectors in double precision; of equal ones the
+smaller id comes first, however many there are.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite numbers take no part, nor do rows with a
 null id; vectors of different lengths are never near each other; repeated ids count once; fewer candidates than k give as many rows; an empty
@@ -34,6 +35,9 @@ SAMPLE_RECALL = 0.975
 SAMPLE_QUERIES = 256
 DEGREE = 24
 CHUNK = 4096
+#: Parts that the rows of one vector are dealt in, and how far off a rough score may be.
+PARTS = 64
+ROUGH = 1e-9
 K = 5
 
 
@@ -41,9 +45,10 @@ def entries(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """Distinct usable vectors with their k + 1 least ids."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     v = v.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).distinct()
-    least = Window.partitionBy("v").orderBy("vec_id")
-    few = v.withColumn("nth", F.row_number().over(least)).filter(F.col("nth") <= k + 1)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # the least ids of each part of a vector's rows first: a vector that most rows hold is no task of its own
+    for keys in (["v", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))], ["v"]):
+        v = v.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).filter(F.col("nth") <= k + 1).drop("nth")
+    return v.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -179,9 +184,11 @@ def _best(k: int):
         ids, queries, out = stored_in.column("ids").to_pylist(), asked.column("query_id").to_pylist(), []
         for at in range(0, len(q), 256):
             rough = (q[at : at + 256] / nq[at : at + 256, None]) @ (x / nx[:, None]).T
-            few = min(k + 8, len(x))
-            short = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            for i, picks in enumerate(short):
+            few = min(k + 1, len(x))  # the query's own vector may be among them
+            enough = np.partition(rough, len(x) - few, axis=1)[:, len(x) - few]
+            for i in range(len(rough)):
+                # all that may be as near as the last one: the exact score and then the id decide
+                picks = np.flatnonzero(rough[i] >= enough[i] - ROUGH)
                 score = (q[at + i] * x[picks]).sum(axis=1) / (nq[at + i] * nx[picks])
                 found = sorted((-s, v) for s, p in zip(score.tolist(), picks.tolist(), strict=True) for v in ids[p] if v != queries[at + i])
                 out += [(queries[at + i], v, -s) for s, v in found[:k]]
