@@ -94,3 +94,20 @@ def test_without_rasters_features_are_missing_not_zero(spark):
     nodes, edges, paths = skeleton_graph.build(pixels(spark, DRAWN[3], 3))
     r = features.table(nodes, edges, paths, SIZE, SIZE).first()
     assert r["width_mean"] is None and r["prob_mean"] is None and r["prob_available"] == 0 and r["appearance_available"] == 0 and r["comp_strict_face_count"] is None and r["length_px"] == 40
+
+
+def test_an_image_is_not_changed_by_another(spark):
+    """A ring with a line six pixels off it, alone and beside a large blob, whose distances are greater."""
+    ring = {(r, c) for r in range(5, 26) for c in range(5, 26)} - {(r, c) for r in range(7, 24) for c in range(7, 24)}
+    line = {(r, 32) for r in range(8, 22)}
+    blob = {(r, c) for r in range(5, 55) for c in range(5, 55)}
+    both = spark.createDataFrame([("a", r, c) for r, c in ring | line] + [("b", r, c) for r, c in blob], "image string, row int, col int")
+
+    def faces(mask):
+        nodes, edges, px = skeleton_graph.build(tiles.thinned(mask), 2)
+        distance = tiles.distances(mask, 64, 64).select("image", "row", "col", F.sqrt(F.col("d2").cast("double")).alias("distance"))
+        rows = features.table(nodes, edges, px, 64, 64, mask=mask, distance=distance).filter("image = 'a'").collect()
+        return sorted((r["row"], r["col"], r["strict_face_count"], r["tolerant_face_count"], r["strict_face_area_max"]) for r in rows)
+
+    alone = faces(both.filter("image = 'a'"))
+    assert alone == faces(both) and len(alone) == 2 and {x[2] for x in alone} == {0.0, 1.0}

@@ -183,19 +183,43 @@ def local_block(edges: DataFrame, nodes: DataFrame, px: DataFrame, sums: DataFra
     return at.withColumn("local_length_share", ratio("__own", "local_length_total", 1e-9)).withColumn("local_length_ratio", ratio("__own", "local_length_mean", 1e-9)).drop("__own")
 
 
-def face_block(edges: DataFrame, px: DataFrame, faces: DataFrame, radius: int, wider: int | None, prefix: str) -> DataFrame:
-    """The faces that an edge's pixels touch: of those within ``radius`` of a pixel the last counts.
+#: Columns of one bucket of a row, by which runs of pixels and what looks for them meet.
+BUCKET = 64
+
+
+def runs_of_faces(faces: DataFrame) -> DataFrame:
+    """(image, row, start, end, face, area, bucket): the runs of a face's pixels along rows, once for each bucket they reach."""
+    w = Window.partitionBy("image", "row", "face").orderBy("col")
+    at = faces.select(*PIXEL, "face", "area").withColumn("run", F.col("col") - F.row_number().over(w))
+    runs = at.groupBy("image", "row", "face", "area", "run").agg(F.min("col").alias("start"), F.max("col").alias("end")).drop("run")
+    return runs.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+
+
+def faces_near(px: DataFrame, runs: DataFrame, radius: Column) -> DataFrame:
+    """(image, edge, face, area): of the faces within ``radius`` of each pixel of a path, in both directions, the last.
 
-    Edges that touch none are looked up once more with ``wider``, where that is more.
+    A pixel asks the rows within its radius for runs that reach its columns; no face is spread out.
     """
-    def met(of: DataFrame, r: int) -> DataFrame:
-        near = raster.shifted(faces, raster.square(r), ["face", "area"]).groupBy(*PIXEL).agg(F.max(F.struct("face", "area")).alias("x"))
-        return of.join(near, PIXEL).select(*EDGE, "x.face", "x.area").distinct()
+    at = px.select(*PIXEL, "edge", radius.cast("int").alias("__r")).withColumnsRenamed({"row": "__row", "col": "__col"})
+    at = at.select("*", (F.col("__col") - F.col("__r")).alias("lo"), (F.col("__col") + F.col("__r")).alias("hi"), F.explode(F.sequence(F.col("__row") - F.col("__r"), F.col("__row") + F.col("__r"))).alias("row"))
+    at = at.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(F.col("hi") / BUCKET))))
+    met = at.join(runs, ["image", "row", "bucket"]).filter((F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo")))
+    last = met.groupBy(*EDGE, "__row", "__col").agg(F.max(F.struct("face", "area")).alias("x"))
+    return last.select(*EDGE, "x.face", "x.area").distinct()
 
-    found = met(px, radius)
-    if wider is not None and wider > radius:
+
+def face_block(edges: DataFrame, px: DataFrame, faces: DataFrame, radius: int, wider: DataFrame | None, prefix: str) -> DataFrame:
+    """The faces that an edge's pixels touch: of those within ``radius`` of a pixel the last counts.
+
+    Edges that touch none are looked up once more with the radius that ``wider`` (image, wider) has for their image, where
+    that is more.
+    """
+    runs = stored(runs_of_faces(faces), "runs")
+    found = faces_near(px, runs, F.lit(radius))
+    if wider is not None:
         found = stored(found, "faces")
-        found = found.unionByName(met(px.join(found.select(*EDGE).distinct(), EDGE, "left_anti"), wider))
+        rest = px.join(found.select(*EDGE).distinct(), EDGE, "left_anti").join(wider.filter(F.col("wider") > radius), "image")
+        found = found.unionByName(faces_near(rest, runs, F.col("wider")))
     g = found.groupBy(*EDGE).agg(F.count("*").cast("double").alias(f"{prefix}_face_count"), F.avg("area").alias(f"{prefix}_face_area_mean"), F.max("area").cast("double").alias(f"{prefix}_face_area_max"), F.min("area").cast("double").alias(f"{prefix}_face_area_min"))
     at = edges.select(*EDGE).join(g, EDGE, "left").na.fill(0.0)
     return at.withColumn(f"{prefix}_borders_face", (F.col(f"{prefix}_face_count") > 0).cast("double"))
@@ -286,8 +310,8 @@ def table(nodes: DataFrame, edges: DataFrame, px: DataFrame, height: int, width:
         images = mask.select("image").distinct()
         strict = stored(raster.face_pixels(mask, images, height, width, s.least_face), "faces")
         tolerant = stored(raster.face_pixels(raster.close(mask, raster.disk(s.closing), height, width), images, height, width, s.least_face), "faces")
-        top = distance.agg(F.max("distance")).first()[0] if distance is not None else None
-        wider = math.ceil(top / 2) + 1 if top is not None else None
+        # each image by its own widest line
+        wider = distance.groupBy("image").agg((F.ceil(F.max("distance") / 2) + 1).alias("wider")) if distance is not None else None
         for faces, prefix in ((strict, "strict"), (tolerant, "tolerant")):
             blocks.append(face_block(edges, px, faces, max(1, s.closing + 1), wider, prefix))
     at = edges.select("image", "edge", "u", "v", "component")

@@ -48,6 +48,25 @@ def vote(samples: DataFrame, keys: list[str], value: str, least_samples: int = 1
     return best.select(*keys, (-F.col("x.minus")).alias("value"), purity.alias("purity"), "samples", reason.alias("reason"))
 
 
+def edge_votes(edges: DataFrame, samples: DataFrame, keys: list[str], words: Vocabulary, least_purity: float = 0.6) -> DataFrame:
+    """keys, label, purity, samples and reason of every edge, by the annotated pixels it has.
+
+    samples: keys, value (of the label raster; NULL outside of it) and excluded (near a junction). Values that are in no
+    vocabulary do not count; of equally frequent labels the one of the least value wins. Reasons: no_samples,
+    junction_only, no_annotation, mixed_below_purity, majority.
+    """
+    named = F.create_map(*(F.lit(x) for kv in (words.no_class | words.classes).items() for x in kv))
+    kept = F.when(~F.coalesce("excluded", F.lit(False)), F.try_element_at(named, F.col("value").cast("int")))
+    at = samples.select(*keys, F.coalesce("excluded", F.lit(False)).alias("excluded"), "value", kept.alias("label")).filter("value is not null")
+    counts = at.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.count_if(~F.col("excluded")).alias("free"), F.min("value").alias("least"))
+    order = F.struct(F.col("n"), (-F.col("least")).alias("minus"), F.col("label"))
+    each = counts.groupBy(*keys).agg(F.max(F.when(F.col("label").isNotNull(), order)).alias("best"), F.sum(F.when(F.col("label").isNotNull(), F.col("n"))).alias("total"), F.sum("free").alias("free"))
+    out = edges.select(*keys).distinct().join(each, keys, "left").withColumn("purity", F.coalesce(F.col("best.n") / F.col("total"), F.lit(0.0)))
+    reason = F.when(F.col("free").isNull(), "no_samples").when(F.col("free") == 0, "junction_only").when(F.col("best").isNull(), "no_annotation").when(F.col("purity") < least_purity, "mixed_below_purity").otherwise("majority")
+    label = F.when(reason.isin("no_samples", "no_annotation"), UNLABELED).when(reason == "majority", F.col("best.label")).otherwise(UNCERTAIN)
+    return out.select(*keys, label.alias("label"), "purity", F.coalesce("total", F.lit(0)).alias("samples"), reason.alias("reason"))
+
+
 def overlay(features: DataFrame, derived: DataFrame, review: DataFrame, keys: list[str], blank_keeps: bool = False) -> DataFrame:
     """Labels from pixels with a review table over them; a blank review cell also wins, unless ``blank_keeps``."""
     given = review.select(*keys, F.col("label").alias("__review"))

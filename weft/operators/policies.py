@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.operators.graph import ends
-
 UNCERTAIN = "uncertain"
 
 
@@ -22,23 +22,37 @@ def abstain(rows: DataFrame, confidence: str, label: str, least: float) -> DataF
 
 
 def junction_conflicts(edges: DataFrame) -> DataFrame:
-    """(image, edge, conflict): has neighbours, and none of them the same raw label. Rows: image, edge, u, v, raw_label.
+    """(image, edge, conflict): has neighbours with labels, and none of them the same. Rows: image, edge, u, v, raw_label.
 
-    Each node counts its labels once; an edge compares its own with its nodes' counts, so a hot node is not paired out.
+    Uncertain edges are in no conflict and no evidence for one. Rows without an image are those of one image, and no label is a
+    label like any other. Each node counts its labels once; an edge compares its own with its nodes' counts, so a hot node
+    is not paired out.
     """
-    e = ends(edges).distinct().join(edges.select("image", "edge", "raw_label"), ["image", "edge"])
-    labels = e.groupBy("image", "node", "raw_label").agg(F.count("*").alias("alike"))
-    degree = e.groupBy("image", "node").agg(F.count("*").alias("all"))
-    at = e.join(labels, ["image", "node", "raw_label"]).join(degree, ["image", "node"])
-    return at.groupBy("image", "edge").agg((F.bool_or(F.col("all") > 1) & ~F.bool_or(F.col("alike") > 1)).alias("conflict"))
+    # a struct of one column is equal to itself where the column is null
+    own = edges.select(F.struct("image").alias("of"), "edge", "u", "v", F.struct("raw_label").alias("label")).filter(F.coalesce(F.col("raw_label") != UNCERTAIN, F.lit(True)))
+    e = own.select("of", "edge", "label", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
+    labels = e.groupBy("of", "node", "label").agg(F.count("*").alias("alike"))
+    degree = labels.groupBy("of", "node").agg(F.sum("alike").alias("all"))
+    at = e.join(labels.join(degree, ["of", "node"]), ["of", "node", "label"])
+    found = at.groupBy("of", "edge").agg((F.bool_or(F.col("all") > 1) & ~F.bool_or(F.col("alike") > 1)).alias("conflict"))
+    return found.select("of.image", "edge", "conflict")
 
 
 def junction_policy(edges: DataFrame, policy: str = UNCERTAIN) -> DataFrame:
-    """edges with predicted_label, which conflicts turn to uncertain unless the policy is ``keep``."""
+    """edges with predicted_label, which conflicts turn to uncertain unless the policy is ``keep``.
+
+    Tables without ends or labels are left as they are, with a warning; another policy is an error.
+    """
+    if policy not in (UNCERTAIN, "keep"):
+        raise ValueError(f"unknown policy {policy!r}: {UNCERTAIN!r} or 'keep'")
     if policy == "keep":
         return edges
-    at = edges.join(junction_conflicts(edges), ["image", "edge"], "left")
-    return at.withColumn("predicted_label", F.when(F.col("conflict"), UNCERTAIN).otherwise(F.col("predicted_label"))).drop("conflict")
+    if missing := sorted({"image", "edge", "u", "v", "raw_label", "predicted_label"} - set(edges.columns)):
+        warnings.warn(f"no junction policy without columns {missing}", stacklevel=2)
+        return edges
+    found = junction_conflicts(edges).filter("conflict").select(F.col("image").alias("__image"), F.col("edge").alias("__edge"), "conflict")
+    at = edges.join(found, F.col("image").eqNullSafe(F.col("__image")) & (F.col("edge") == F.col("__edge")), "left")
+    return at.withColumn("predicted_label", F.when(F.col("conflict"), UNCERTAIN).otherwise(F.col("predicted_label"))).drop("conflict", "__image", "__edge")
 
 
 def review_sample(rows: DataFrame, key: str, group: str, length: str, least: float, most: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weft.plans import feature_queries, graph_queries, label_queries, path_queries, pixel_queries, prediction_queries, raster_queries, sweep_queries
+from weft.plans import feature_queries, graph_queries, label_queries, mosaic_queries, path_queries, pixel_queries, prediction_queries, raster_queries, sweep_queries
 
 FLAGSHIP = "threshold_sweep_ods"
-_PARTS = (sweep_queries, path_queries, graph_queries, raster_queries, pixel_queries, prediction_queries, label_queries, feature_queries)
+_PARTS = (sweep_queries, path_queries, graph_queries, raster_queries, pixel_queries, prediction_queries, label_queries, feature_queries, mosaic_queries)
 QUERIES = {name: query for part in _PARTS for name, (query, _) in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}

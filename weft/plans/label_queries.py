@@ -22,6 +22,29 @@ def _vote(s, d):
     return rounded(labels.vote(votes(s, d), ["edge"], "value", 1, 0.3)).withColumn("value", F.col("value").cast("long"))
 
 
+def _vote_reasons(s, d):
+    """Customers as edges, their events as pixels: most have none, some only excluded ones, and some values are no label."""
+    samples = table(s, d, "events").select(F.col("user_id").alias("edge"), F.when(F.col("user_id") % 11 == 3, 9).otherwise((F.length("event_type") + F.col("user_id")) % 4).alias("value"), ((F.col("event_id") % 5 == 0) | (F.col("user_id") % 7 == 2)).alias("excluded"))
+    return rounded(labels.edge_votes(table(s, d, "customer").select(F.col("c_custkey").alias("edge")), samples, ["edge"], WORDS, 0.45))
+
+
+_VOTE_REASONS = """WITH s AS (
+  SELECT user_id AS edge, CASE WHEN user_id % 11 = 3 THEN 9 ELSE (length(event_type) + user_id) % 4 END AS value, event_id % 5 = 0 OR user_id % 7 = 2 AS excluded FROM events
+), c AS (
+  SELECT edge, value, count(*) AS n FROM s WHERE NOT excluded AND value IN (0, 1, 2, 3) GROUP BY ALL
+), b AS (
+  SELECT edge, arg_min(value, (-n, value)) AS value, max(n) / sum(n)::DOUBLE AS purity, sum(n)::BIGINT AS samples FROM c GROUP BY edge
+), f AS (
+  SELECT edge, count(*) FILTER (NOT excluded) AS free FROM s GROUP BY edge
+), r AS (
+  SELECT c_custkey AS edge, value, coalesce(purity, 0) AS purity, coalesce(samples, 0) AS samples,
+         CASE WHEN free IS NULL THEN 'no_samples' WHEN free = 0 THEN 'junction_only' WHEN samples IS NULL THEN 'no_annotation' WHEN purity < 0.45::DOUBLE THEN 'mixed_below_purity' ELSE 'majority' END AS reason
+  FROM (SELECT DISTINCT c_custkey FROM customer) LEFT JOIN f ON f.edge = c_custkey LEFT JOIN b ON b.edge = c_custkey
+)
+SELECT edge, CASE WHEN reason IN ('no_samples', 'no_annotation') THEN 'unlabeled' WHEN reason = 'majority' THEN ['unlabeled', 'thin', 'wide', 'side'][value + 1] ELSE 'uncertain' END AS label,
+       round(purity, 6) AS purity, samples, reason FROM r"""
+
+
 def _raw(s, d):
     """Free-text labels made of documents."""
     raw = F.when(F.col("doc_id") % 6 == 0, " Thin ").when(F.col("doc_id") % 6 == 1, "2").when(F.col("doc_id") % 6 == 2, "").when(F.col("doc_id") % 6 == 3, "wd").when(F.col("doc_id") % 6 == 4, "1.0").otherwise(F.col("lang"))
@@ -103,6 +126,7 @@ def _forest(s, d):
 
 QUERIES = {
     "label_vote": (_vote, _votes_sql() + "SELECT edge, value, round(purity, 6) AS purity, samples, CASE WHEN purity < 0.3::DOUBLE THEN 'mixed_below_purity' ELSE 'majority' END AS reason FROM v"),
+    "vote_reasons": (_vote_reasons, _VOTE_REASONS),
     "normalize_labels": (lambda s, d: _normalized(s, d).select("doc_id", F.coalesce("label", F.lit("?")).alias("label")), _RAW + "SELECT doc_id, coalesce(label, '?') AS label FROM n"),
     "label_overlay": (_overlay, _RAW + "SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND label IS NOT NULL THEN label WHEN doc_id % 2 = 0 THEN 'side' ELSE 'unlabeled' END AS label FROM n"),
     "trainable_rows": (
