@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,48 @@ def grouped_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     return _dealt(sizes, [F.desc("n"), "group"]).select("group", "n", F.when(turn % 2 == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
 
 
+#: Groups that are dealt to folds one after the other; more are first put together by what classes they have.
+MOST_GROUPS = 100_000
+
+
+def stratified_folds(rows: DataFrame, group: str, label: str, folds: int, most_groups: int = MOST_GROUPS) -> DataFrame:
+    """(group, fold): groups stay whole, and each fold has about the classes that all rows have.
+
+    Groups are taken in order of how far their counts of the classes lie apart, the farthest first (then by name), and each goes
+    to the fold where the classes' shares then differ least between folds (then to the one of fewest rows). This goes over the small
+    table of groups and classes; where it has more than ``most_groups`` groups, those of like profile are dealt
+    as one by turns, so no more than that ever reach the driver.
+    """
+    counts = stored(rows.groupBy(F.col(group).alias("group"), F.col(label).alias("label")).agg(F.count("*").alias("n")), "group-classes")
+    many = counts.select("group").distinct().count()
+    if many < 2:
+        raise ValueError("at least two groups are needed")
+    k = min(folds, many)
+    profile = counts.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("classes"), F.sum("n").alias("n"))
+    if many <= most_groups:
+        units = profile.select("group", F.col("group").cast("string").alias("unit"))
+        table = counts.select(F.col("group").cast("string").alias("unit"), "label", "n")
+    else:
+        # groups ranked by profile: neighbours are alike, and one in ``each`` goes to each of as many units
+        ranked = _dealt(profile.select("group", "classes", "n"), ["classes", "n", "group"])
+        units = stored(ranked.select("group", (F.col("rank") % most_groups).cast("string").alias("unit")), "units")
+        table = counts.join(units, "group").groupBy("unit", "label").agg(F.sum("n").alias("n"))
+    names = sorted({r[0] for r in table.select("label").distinct().collect()}, key=str)
+    held: dict = {}
+    for r in table.collect():
+        held.setdefault(r["unit"], np.zeros(len(names)))[names.index(r["label"])] += r["n"]
+    total = sum(held.values())
+    have, out = np.zeros((k, len(names))), []
+    for unit in sorted(held, key=lambda u: (-held[u].std(), u)):
+        after = have[None] + np.eye(k)[:, :, None] * held[unit]
+        spread = (after / total).std(axis=1).mean(axis=1)
+        fold = min(range(k), key=lambda f: (round(float(spread[f]), 12), have[f].sum(), f))
+        have[fold] += held[unit]
+        out.append((unit, fold))
+    found = rows.sparkSession.createDataFrame(out, "unit string, fold int")
+    return units.join(found, "unit").select("group", "fold")
+
+
 def holdout(rows: DataFrame, group: str, share: float) -> DataFrame:
     """(group, held): the groups of least hash are held out, share of them rounded up."""
     groups = rows.select(F.col(group).alias("group")).distinct()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.operators import contrast, inference, skeleton_graph, tiles
 from weft.operators import raster as R
-from weft.operators import skeleton_graph, tiles
 from weft.plans.relations import ACROSS, SIDE, mosaic, mosaic_shape, with_
 from weft.plans.sweep_queries import rounded
 
@@ -32,6 +32,41 @@ def _graph(s, d):
     return kinds.unionByName(edges.agg(F.lit("edge").alias("kind"), F.count("*").alias("n"), F.round(F.sum("length"), 4).alias("pixels")))
 
 
+def _levels(s, d):
+    return mosaic(s, d).select("image", "row", "col", F.floor(F.col("p") * 255).cast("int").alias("level"))
+
+
+def _frame(s, d):
+    return s.createDataFrame([(0, *mosaic_shape(s, d))], "image long, height int, width int")
+
+
+def _line_model():
+    """A stand-in for a trained network: one weight a channel."""
+    return lambda x: 3 * x[..., 0] - x[..., 2]
+
+
+def _inferred(s, d):
+    planes = _levels(s, d).select("image", "row", "col", F.col("level").alias("b"), F.lit(0).alias("g"), (255 - F.col("level")).alias("r"))
+    return inference.inferred(planes, _frame(s, d), _line_model, 96, 48).select("image", "row", "col", F.round("p", 2).alias("p"))
+
+
+GRID, CLIP = 8, 2.0
+_CONTRAST = (
+    with_("prob", "mosaic")
+    + f""", shape AS (SELECT (max(vec_id) // {ACROSS} + 1) * {SIDE} // {GRID} AS th, {ACROSS * SIDE // GRID} AS tw FROM embeddings
+), l AS (SELECT row, col, floor(p * 255)::INT AS level FROM mosaic
+), c AS (SELECT row // th AS tr, col // tw AS tc, level, count(*) AS n FROM l, shape GROUP BY ALL
+), f AS (
+  SELECT tr, tc, level, coalesce(n, 0) AS n, th * tw AS size, greatest(1, floor({CLIP} * th * tw / 256))::BIGINT AS most
+  FROM (SELECT * FROM shape, range({GRID}) AS a(tr), range({GRID}) AS b(tc), range(256) AS d(level)) LEFT JOIN c USING (tr, tc, level)
+), o AS (SELECT *, (sum(greatest(n - most, 0)) OVER (PARTITION BY tr, tc))::BIGINT AS over FROM f
+), m AS (
+  SELECT *, least(n, most) + over // 256 + (level % greatest(256 // greatest(over % 256, 1), 1) = 0 AND level // greatest(256 // greatest(over % 256, 1), 1) < over % 256)::INT AS m FROM o
+), t AS (
+  SELECT tr, tc, level, greatest(0, least(255, round_even((sum(m) OVER (PARTITION BY tr, tc ORDER BY level))::DOUBLE * 255 / size, 0)))::INT AS v FROM m
+) """
+)
+
 _MASK = with_("prob", "mosaic", recursive=True) + f", mask AS (SELECT image, row, col FROM mosaic WHERE p >= {LEAST}::DOUBLE)"
 _MASK_ONLY = _MASK.replace("WITH RECURSIVE", "WITH")
 
@@ -69,6 +104,23 @@ QUERIES = {
         lambda s, d: tiles.nearest(_mask(s, d), _seeds(s, d)),
         _MASK_ONLY + ", sd AS (SELECT row, col, (row + 3 * col)::BIGINT AS seed FROM mask WHERE (row * 7 + col) % 41 = 0), c AS (SELECT m.row, m.col, min(((m.row - sd.row) * (m.row - sd.row) + (m.col - sd.col) * (m.col - sd.col), seed)) AS x FROM mask m, sd GROUP BY ALL) SELECT 0::BIGINT AS image, row, col, x[2] AS seed, x[1]::BIGINT AS d2 FROM c",
     ),
+    "contrast_tables": (
+        lambda s, d: contrast.tile_tables(_levels(s, d), _frame(s, d), GRID, CLIP),
+        _CONTRAST + 'SELECT 0::BIGINT AS image, tr::INT AS tr, tc::INT AS tc, level::INT AS level, v AS "to" FROM t',
+    ),
+    "contrast_equalised": (
+        lambda s, d: contrast.equalised(_levels(s, d), _frame(s, d), GRID, CLIP),
+        _CONTRAST
+        + f""", x AS (SELECT row, col, level, floor(row / th::DOUBLE - 0.5::DOUBLE)::INT AS r, floor(col / tw::DOUBLE - 0.5::DOUBLE)::INT AS c, row / th::DOUBLE - 0.5::DOUBLE AS fr, col / tw::DOUBLE - 0.5::DOUBLE AS fc FROM l, shape
+), y AS (SELECT *, fr - r AS ya, fc - c AS xa, greatest(r, 0) AS r1, least(r + 1, {GRID - 1}) AS r2, greatest(c, 0) AS c1, least(c + 1, {GRID - 1}) AS c2 FROM x)
+SELECT 0::BIGINT AS image, row, col, round_even((a.v * (1 - xa) + b.v * xa) * (1 - ya) + (e.v * (1 - xa) + g.v * xa) * ya, 0)::INT AS level
+FROM y JOIN t a ON a.tr = r1 AND a.tc = c1 AND a.level = y.level JOIN t b ON b.tr = r1 AND b.tc = c2 AND b.level = y.level
+JOIN t e ON e.tr = r2 AND e.tc = c1 AND e.level = y.level JOIN t g ON g.tr = r2 AND g.tc = c2 AND g.level = y.level""",
+    ),
+    "tile_inference": (
+        _inferred,
+        with_("prob", "mosaic") + "SELECT image, row, col, round(1 / (1 + exp(-(3 * ((255 - l) / 255::DOUBLE - 0.5) / 0.5 - (l / 255::DOUBLE - 0.5) / 0.5))), 2) AS p FROM (SELECT image, row, col, floor(p * 255) AS l FROM mosaic)",
+    ),
     "mosaic_thinned": (lambda s, d: tiles.thinned(_mask(s, d)), None),
     "mosaic_graph": (_graph, None),
 }
