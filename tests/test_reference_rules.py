@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import features, labels, policies
+from weft.operators import features, graph, labels, policies
 from weft.plans import relations
 
 EDGES = "image string, edge long, u long, v long, raw_label string, predicted_label string"
@@ -104,3 +104,41 @@ def test_edge_keys_hold_at_large_sizes_and_are_checked(spark):
     assert 0 < row["j"] < row["k"] < 1 << 63
     with pytest.raises(Exception, match="no edge key"):
         spark.range(1).select(relations.edge_key(F.lit(1), F.lit(8), F.lit(0))).collect()
+
+
+@pytest.mark.parametrize("turn", [180, 360])
+def test_angles_between_branches_are_those_of_all_pairs(spark, turn):
+    rng = random.Random(turn)
+    rows = [(node, float(round(rng.choice([rng.uniform(-400, 800), 0, 90, 180, 45]), rng.choice([0, 3, 9])))) for node in range(40) for _ in range(rng.choice([1, 2, 2, 3, 7, 40]))]
+    got = {r["node"]: tuple(r)[1:] for r in graph.circular_spread(spark.createDataFrame(rows, "node int, angle double"), ["node"], "angle", turn).collect()}
+    by = defaultdict(list)
+    for node, angle in rows:
+        by[node].append(angle)
+    want = {}
+    for node, angles in by.items():
+        d = [min(x := abs(a - b) % turn, turn - x) for i, a in enumerate(angles) for b in angles[:i]]
+        if d:
+            want[node] = (min(d), max(d), np.mean(d), np.std(d))
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_contexts_within_a_radius_are_those_of_a_search(spark):
+    rng = random.Random(9)
+    place = {n: (rng.randint(0, 60), rng.randint(0, 60)) for n in range(80)}
+    ends = [(k, rng.randrange(80), rng.choice([0, 1, rng.randrange(80)])) for k in range(200)]
+    edges = spark.createDataFrame([(0, k, u, v) for k, u, v in ends], "image int, edge int, u int, v int")
+    places = spark.createDataFrame([(0, n, *p) for n, p in place.items()], "image int, node int, row int, col int")
+    middles = spark.createDataFrame([(0, k, *(float(x) for x in place[u])) for k, u, _ in ends], "image int, edge int, row double, col double")
+    near = defaultdict(set)
+    for _, u, v in ends:
+        near[u].add(v)
+        near[v].add(u)
+    want = {}
+    for k, u, v in ends:
+        hop, front = {u: 0, v: 0}, {u, v}
+        for h in (1, 2):
+            front = {m for n in front for m in near[n] if m not in hop and (place[m][0] - place[u][0]) ** 2 + (place[m][1] - place[u][1]) ** 2 <= 225}
+            hop |= dict.fromkeys(front, h)
+        want |= {(k, n): h for n, h in hop.items()}
+    assert {(r["edge"], r["node"]): r["hop"] for r in graph.khop(edges, 2, middles, places, 15.0).collect()} == want

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions import angle_difference, clipped, ratio
+from weft.functions import clipped, ratio
 from weft.operators import gather, graph, paths, raster
 from weft.operators.raster import PIXEL
 from weft.session import stored
@@ -96,12 +96,9 @@ def node_block(edges: DataFrame, nodes: DataFrame, px: DataFrame, height: int, w
     sides = edges.select(*EDGE, "u", "v").join(leaving, EDGE)
     sides = sides.select(*EDGE, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node"), turn(F.col("a0"), F.col("a1")).alias("angle")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node"), turn(F.col("b0"), F.col("b1")).alias("angle")))).alias("x"))
     sides = sides.select(*EDGE, "x.*").filter("angle is not null")
-    a, b = sides.alias("a"), sides.alias("b")
-    pairs = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.node") == F.col("b.node")) & (F.struct("a.edge", "a.side") < F.struct("b.edge", "b.side")))
-    d = angle_difference(F.col("a.angle"), F.col("b.angle"))
-    angles = pairs.groupBy(F.col("a.image").alias("image"), F.col("a.node").alias("node")).agg(
-        F.min(d).alias("branch_angle_min"), F.max(d).alias("branch_angle_max"), F.avg(d).alias("branch_angle_mean"), F.stddev_pop(d).alias("branch_angle_std"), F.avg(1 - F.abs(d - 90) / 90).alias("branch_angle_orthogonality"),
-    )
+    # lines without direction differ by 90 degrees at most, so orthogonality follows from the mean
+    angles = graph.circular_spread(sides, ["image", "node"], "angle", 180)
+    angles = angles.select("image", "node", *(F.col(f"angle_{x}").alias(f"branch_angle_{x}") for x in ("min", "max", "mean", "std")), (F.col("angle_mean") / 90).alias("branch_angle_orthogonality"))
     border = at_border(F.col("top"), F.col("bottom"), F.col("left"), F.col("right"), height, width, s.margin)
     at = nodes.join(degree, ["image", "node"]).join(angles, ["image", "node"], "left")
     return at.select("image", "node", "row", "col", "type", "degree", border.alias("border"), F.col("pixels").alias("cluster_size"), *(F.col(f"branch_angle_{x}") for x in ("min", "max", "mean", "std", "orthogonality")))

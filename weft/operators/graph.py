@@ -67,14 +67,58 @@ def endpoint_features(edges: DataFrame, nodes: DataFrame, names: list[str]) -> D
     return at.select("image", "edge", *(c for n in names for c in three(n)))
 
 
+def circular_spread(rows: DataFrame, keys: list[str], angle: str, turn: int) -> DataFrame:
+    """keys, angle_min, angle_max, angle_mean and angle_std of the distances between each two angles of a key, on a circle of
+    ``turn`` degrees, without making pairs. Keys with fewer than two angles have no row.
+
+    Angles are sorted; a second row for each asks at half a turn beyond it. What lies up to an angle and up to that place is
+    known from running sums, which tell the sums of all distances and of their squares; the farthest angle is one of the two
+    next to that place, the nearest a neighbour in the order. Sums are decimals, so that no digits go in their differences.
+    """
+    angle_, sum_, square_, wide_ = "decimal(12,8)", "decimal(26,8)", "decimal(32,16)", "decimal(38,16)"
+    a = F.pmod(F.col(angle).cast("decimal(20,8)"), F.lit(turn)).cast(angle_)
+    at = rows.filter(F.col(angle).isNotNull()).select(*keys, a.alias("a"))
+    asked = F.explode(F.array(F.struct(F.lit(0).alias("ask"), F.col("a").alias("at")), F.struct(F.lit(1).alias("ask"), (F.col("a") + F.lit(turn / 2).cast(angle_)).cast(angle_).alias("at")))).alias("x")
+    at = at.select(*keys, "a", asked).select(*keys, "a", "x.*").withColumn("own", F.when(F.col("ask") == 0, F.col("a")))
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("at", "ask")
+    so_far, later = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(1, Window.unboundedFollowing)
+    square = (F.col("own") * F.col("own")).cast("decimal(22,16)")
+    zero = F.lit(0)
+    at = at.select(
+        *keys, "a", "ask",
+        F.count("own").over(so_far).alias("c"), F.coalesce(F.sum("own").over(so_far), zero).cast(sum_).alias("s"), F.coalesce(F.sum(square).over(so_far), zero).cast(square_).alias("q"),
+        F.count("own").over(whole).alias("n"), F.sum("own").over(whole).cast(sum_).alias("st"), F.sum(square).over(whole).cast(square_).alias("qt"),
+        F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("own", ignorenulls=True).over(later).alias("after"),
+        F.min("own").over(whole).alias("low"), F.max("own").over(whole).alias("high"),
+    ).filter("n > 1")
+    wide = lambda x: x.cast(wide_)
+    times = lambda many, x: (many * x).cast(sum_)
+    a, b, c, rest = F.col("a"), (F.col("a") + turn).cast(angle_), F.col("c").cast("decimal(10,0)"), (F.col("n") - F.col("c")).cast("decimal(10,0)")
+    over, more = (F.col("st") - F.col("s")).cast(sum_), wide(F.col("qt")) - wide(F.col("q"))
+    # an angle's own row takes off what lies up to it; the other adds what lies up to half a turn on, and what lies beyond
+    upto, upto2 = times(c, a) - F.col("s"), wide(a * times(c, a)) - wide(2 * a * F.col("s")) + wide(F.col("q"))
+    total = F.when(F.col("ask") == 0, upto).otherwise(times(rest, b) - over - upto).cast(sum_)
+    squares = wide(F.when(F.col("ask") == 0, -upto2).otherwise(upto2 + wide(b * times(rest, b)) - wide(2 * b * over) + more))
+    apart = lambda x: F.least(x, turn - x)
+    gap = F.least(apart(a - F.col("before")), apart(F.col("high") - F.col("low")))
+    far = F.greatest(apart(F.col("before") - a), apart(F.col("after") - a))
+    got = at.groupBy(*keys).agg(F.min(F.when(F.col("ask") == 0, gap)).cast(angle_).alias("low"), F.max(F.when(F.col("ask") == 1, far)).cast("double").alias("angle_max"), F.sum(total).cast(sum_).alias("t"), F.sum(squares).alias("q"), F.first("n").alias("n"))
+    pairs = F.expr("n * (n - 1) div 2").cast("decimal(18,0)")
+    # about the least distance, where squares are small
+    spread = wide(F.col("q")) - wide(2 * F.col("low") * F.col("t")) + wide(F.col("low") * times(pairs, F.col("low")))
+    return got.select(*keys, F.col("low").cast("double").alias("angle_min"), "angle_max", (F.col("t").cast("double") / pairs.cast("double")).alias("angle_mean"), _deviation(spread, F.col("t") - times(pairs, F.col("low")), pairs).alias("angle_std"))
+
+
+def _deviation(squares: Column, total: Column, n: Column) -> Column:
+    """The deviation of n numbers from their sum and the sum of their squares."""
+    n, total = n.cast("double"), total.cast("double")
+    return F.sqrt(F.greatest(squares.cast("double") / n - (total / n) * (total / n), F.lit(0.0)))
+
+
 def branch_angles(ends_at: DataFrame) -> DataFrame:
-    """Least, greatest, mean and deviation of the angles between each two branches of a node. Rows: image, node, edge, side, angle."""
-    a, b = ends_at.alias("a"), ends_at.alias("b")
-    later = F.struct("a.edge", "a.side") < F.struct("b.edge", "b.side")
-    pairs = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.node") == F.col("b.node")) & later)
-    d = F.abs(F.col("a.angle") - F.col("b.angle")) % 360
-    d = F.least(d, 360 - d)
-    return pairs.groupBy(F.col("a.image").alias("image"), F.col("a.node").alias("node")).agg(F.min(d).alias("angle_min"), F.max(d).alias("angle_max"), F.avg(d).alias("angle_mean"), F.stddev_pop(d).alias("angle_std"))
+    """Least, greatest, mean and deviation of the angles between each two branches of a node. Rows: image, node, angle."""
+    return circular_spread(ends_at, ["image", "node"], "angle", 360)
 
 
 def line_graph(edges: DataFrame) -> DataFrame:
@@ -137,19 +181,25 @@ def khop(edges: DataFrame, hops: int = 2, middles: DataFrame | None = None, plac
     """(image, edge, node, hop): nodes within ``hops`` steps of an edge's ends, with the fewest steps.
 
     With a radius a step leads only to nodes (places: image, node, row, col) within it of the edge's middle (image, edge,
-    row, col), which bounds a context however many edges its nodes have; the two ends are always in.
+    row, col), which bounds a context however many edges its nodes have; the two ends are always in. Steps are told by the cell
+    of that size that they lead to, and an edge asks for the nine cells around its middle: a hub's far neighbours are never met.
     """
     steps = edges.select("image", F.col("u").alias("node"), F.col("v").alias("next")).union(edges.select("image", F.col("v").alias("node"), F.col("u").alias("next"))).distinct()
     reached = ends(edges).distinct().withColumn("hop", F.lit(0))
     own = ["image", "edge"]
     if radius is not None:
         own = ["image", "edge", "__r", "__c"]
+        cell = lambda c: F.floor(F.col(c) / max(radius, 1e-9))
         steps = steps.join(places.select("image", F.col("node").alias("next"), F.col("row").alias("__row"), F.col("col").alias("__col")), ["image", "next"])
+        steps = steps.withColumns({"__gr": cell("__row"), "__gc": cell("__col")})
         reached = reached.join(middles.select("image", "edge", F.col("row").alias("__r"), F.col("col").alias("__c")), ["image", "edge"])
     front = reached
     for h in range(1, hops + 1):
-        nxt = front.join(steps, ["image", "node"])
-        if radius is not None:
+        if radius is None:
+            nxt = front.join(steps, ["image", "node"])
+        else:
+            near = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
+            nxt = front.withColumn("__gr", near("__r")).withColumn("__gc", near("__c")).join(steps, ["image", "node", "__gr", "__gc"])
             dr, dc = F.col("__row") - F.col("__r"), F.col("__col") - F.col("__c")
             nxt = nxt.filter(dr * dr + dc * dc <= radius * radius)
         nxt = nxt.select(*own, F.col("next").alias("node")).distinct().withColumn("hop", F.lit(h))

@@ -119,7 +119,7 @@ JOIN t e ON e.tr = r2 AND e.tc = c1 AND e.level = y.level JOIN t g ON g.tr = r2
     ),
     "tile_inference": (
         _inferred,
-        with_("prob", "mosaic") + "SELECT image, row, col, round(1 / (1 + exp(-(3 * ((255 - l) / 255::DOUBLE - 0.5) / 0.5 - (l / 255::DOUBLE - 0.5) / 0.5))), 2) AS p FROM (SELECT image, row, col, floor(p * 255) AS l FROM mosaic)",
+        with_("prob", "mosaic") + f", shape AS (SELECT (max(vec_id) // {ACROSS} + 1) * {SIDE} AS height FROM embeddings), h AS (SELECT unnest(range(height))::INT AS row FROM shape), f AS (SELECT row, col::INT AS col FROM h, range({ACROSS * SIDE}) AS c(col)), l AS (SELECT row, col, floor(p * 255) AS l FROM f LEFT JOIN mosaic USING (row, col)), b AS (SELECT row, col, coalesce(l, 0) / 255::DOUBLE AS b, CASE WHEN l IS NULL THEN 0 ELSE 255 - l END / 255::DOUBLE AS r FROM l) SELECT 0::BIGINT AS image, row, col, round(1 / (1 + exp(-(3 * (r - 0.5::DOUBLE) / 0.5::DOUBLE - (b - 0.5::DOUBLE) / 0.5::DOUBLE))), 2) AS p FROM b",
     ),
     "mosaic_thinned": (lambda s, d: tiles.thinned(_mask(s, d)), None),
     "mosaic_graph": (_graph, None),
