@@ -6,6 +6,8 @@ joined by key, so no side is compared with all of the other.
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,18 @@ def stale(current: DataFrame, cached: DataFrame) -> DataFrame:
     return current.join(cached, ["image_id", "signature"], "left_anti")
 
 
+def matching(files: DataFrame, globs: str, path: str = "path") -> DataFrame:
+    """files (a path) with ``priority``: the place of the first of comma-separated globs that their names match; others are left out.
+
+    ``*`` stands for any characters, ``?`` for one, and brackets for one of some.
+    """
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    place = F.lit(None).cast("int")
+    for k, glob in reversed(list(enumerate(g.strip() for g in globs.split(",") if g.strip()))):
+        place = F.when(name.rlike("^" + fnmatch.translate(glob).replace(r"\Z", r"\z")), k).otherwise(place)
+    return files.withColumn("priority", place).filter("priority is not null")
+
+
 def pairs(truths: DataFrame, predictions: DataFrame, truth_suffix: str, prediction_suffix: str) -> DataFrame:
     """(name, truth, prediction): files whose names differ in the suffix only; just the end of a name counts."""
     bare = lambda rows, suffix, out: rows.filter(F.col("path").endswith(suffix)).select(F.expr(f"substring(path, 1, length(path) - {len(suffix)})").alias("name"), F.col("path").alias(out))

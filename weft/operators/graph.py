@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import cycle_rank, ratio
+from weft.operators import raster
 from weft.operators.components import connected_components
 
 
@@ -171,6 +172,63 @@ def neighbour_stats(edges: DataFrame, value: str) -> DataFrame:
     return near.select("image", "edge", F.col(f"n_{value}").alias("neighbours"), mean.alias(f"{value}_near"))
 
 
+def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row an image: node_count, edge_count, endpoint_count, valid_endpoint_count, junction_count, component_count and
+    skeleton_total_length.
+
+    nodes: image, node, type and border; an endpoint at the border is none that is valid. Nodes without edges are components too.
+    """
+    of = nodes.select("image", "node").join(components(edges), "node", "left").select("image", F.coalesce("component", "node").alias("component"))
+    whole = of.groupBy("image").agg(F.countDistinct("component").alias("component_count"))
+    tip = F.col("type") == "endpoint"
+    n = nodes.groupBy("image").agg(F.count("*").alias("node_count"), F.count_if(tip).alias("endpoint_count"), F.count_if(tip & ~F.col("border")).alias("valid_endpoint_count"), F.count_if(F.col("type") == "junction").alias("junction_count"))
+    e = edges.groupBy("image").agg(F.count("*").alias("edge_count"), F.sum(F.col("length").cast("double")).alias("skeleton_total_length"))
+    at = n.join(whole, "image").join(e, "image", "left").na.fill(0, ["edge_count"]).na.fill(0.0, ["skeleton_total_length"])
+    return at.select("image", "node_count", "edge_count", "endpoint_count", "valid_endpoint_count", "junction_count", "component_count", "skeleton_total_length")
+
+
+def problems(nodes: DataFrame, edges: DataFrame, px: DataFrame, height: int, width: int, node_px: DataFrame | None = None) -> DataFrame:
+    """(image, severity, problem, item): what is wrong with a graph, item being an edge's or a node's number as text.
+
+    Errors: ends that are no nodes, empty paths, paths that leave the frame or skip pixels, pixels of several nodes. Warnings: nodes
+    without edges that are not isolated ones, and nodes without pixels. px: image, edge, pos, row, col; node_px: image, node, row, col.
+    """
+    told = lambda rows, severity, problem, item: rows.select("image", F.lit(severity).alias("severity"), F.lit(problem).alias("problem"), item.cast("string").alias("item"))
+    e, n = edges.select("image", "edge").distinct(), nodes.select("image", "node", "type")
+    dangling = ends(edges).distinct().join(n, ["image", "node"], "left_anti").select("image", "edge").distinct()
+    along = Window.partitionBy("image", "edge").orderBy("pos")
+    step = F.greatest(F.abs(F.col("row") - F.lag("row").over(along)), F.abs(F.col("col") - F.lag("col").over(along)))
+    outside = (F.col("row") < 0) | (F.col("col") < 0) | (F.col("row") >= height) | (F.col("col") >= width)
+    each = px.withColumn("step", step).groupBy("image", "edge").agg(F.bool_or(outside).alias("outside"), F.max("step").alias("step"))
+    lone = n.filter("type <> 'isolated'").join(ends(edges).select("image", "node").distinct(), ["image", "node"], "left_anti")
+    out = [
+        told(dangling, "error", "missing node", F.col("edge")), told(e.join(each, ["image", "edge"], "left_anti"), "error", "empty path", F.col("edge")),
+        told(each.join(e, ["image", "edge"], "left_semi").filter("outside"), "error", "leaves the image", F.col("edge")), told(each.join(e, ["image", "edge"], "left_semi").filter("step > 1"), "error", "path is not connected", F.col("edge")),
+        told(lone, "warning", "no incident edge", F.col("node")),
+    ]
+    if node_px is not None:
+        shared = node_px.groupBy("image", "row", "col").agg(F.countDistinct("node").alias("n")).filter("n > 1")
+        out.append(told(shared, "error", "pixel of several nodes", F.concat_ws(",", "row", "col")))
+        out.append(told(n.join(node_px.select("image", "node").distinct(), ["image", "node"], "left_anti"), "warning", "no pixels", F.col("node")))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def border_nodes(node_px: DataFrame, height: int, width: int, margin: int, valid: DataFrame | None = None) -> DataFrame:
+    """(image, node, border): whether any pixel of a node lies within ``margin`` of the frame, or outside of the region of valid
+    pixels (image, row, col) less a disc of that radius at its rim. What lies beyond the frame is not valid."""
+    near = (F.col("row") < margin) | (F.col("col") < margin) | (F.col("row") >= height - margin) | (F.col("col") >= width - margin)
+    at = node_px.select("image", "node", "row", "col")
+    if valid is not None and margin > 0:
+        inner = raster.inside_of(valid, raster.disk(margin)).withColumn("inner", F.lit(True))
+        at = at.join(inner, ["image", "row", "col"], "left").withColumn("near", near | F.col("inner").isNull())
+    else:
+        at = at.withColumn("near", near)
+    return at.groupBy("image", "node").agg(F.bool_or("near").alias("border"))
+
+
 def validate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(image, edge, problem): ends that are no nodes."""
     known = nodes.select("image", "node")

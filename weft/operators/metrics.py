@@ -38,6 +38,36 @@ def summary(classes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return classes.groupBy(*by).agg(*aggs) if by else classes.agg(*aggs)
 
 
+def bundle(rows: DataFrame, truth: str, predicted: str, classes: list, by: list[str] | None = None, abstained: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confusion over all pairs of classes, metrics of every class, and one row of summary with notes, for each ``by``.
+
+    Rows that abstain are not scored, only counted in coverage and abstention_rate. Classes that don't occur have rows of zeros, and
+    count in macro_f1; balanced_accuracy is over those that occur. Without scored rows the summary's metrics are NULL.
+    """
+    by = by or []
+    out = F.coalesce(F.col(abstained), F.lit(False)) if abstained else F.lit(False)
+    spine = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    every = lambda name: F.explode(F.array(*map(F.lit, classes))).alias(name)
+    joined = lambda a, b, keys: a.join(b, [*by, *keys], "left")
+    counts = confusion(rows.filter(~out), truth, predicted, by)
+    full = joined(spine.select(*by, every("truth")).select(*by, "truth", every("predicted")), counts, ["truth", "predicted"]).na.fill(0, ["n"])
+    each = per_class(full, by)
+    of = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(~out).alias("scored")) if by else rows.agg(F.count("*").alias("rows"), F.count_if(~out).alias("scored"))
+    missing = F.array_sort(F.collect_list(F.when(F.col("support") == 0, F.col("class").cast("string"))))
+    sums = summary(each, by)
+    gaps = each.groupBy(*by).agg(missing.alias("__missing"), F.count_if(F.col("support") > 0).alias("__present")) if by else each.agg(missing.alias("__missing"), F.count_if(F.col("support") > 0).alias("__present"))
+    at = joined(of, sums, []).join(gaps, by, "left") if by else of.withColumn("__k", F.lit(1)).join(sums.withColumn("__k", F.lit(1)), "__k").join(gaps.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    none = F.col("scored") == 0
+    notes = F.filter(F.array(
+        F.when(F.col("rows") == 0, "empty evaluation set"), F.when((F.col("rows") > 0) & none, "every prediction abstained; no scored rows"),
+        F.when(~none & (F.size("__missing") > 0), F.concat(F.lit("no true rows of: "), F.array_join("__missing", ", "))),
+        F.when(~none & (F.col("__present") < 2), "scored rows have a single true class"),
+    ), lambda x: x.isNotNull())
+    values = [F.when(~none, F.col(c)).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "balanced_accuracy")]
+    share = F.try_divide(F.col("scored").cast("double"), F.col("rows"))
+    return full, each, at.select(*by, "rows", *values, share.alias("coverage"), (1 - share).alias("abstention_rate"), notes.alias("notes"))
+
+
 def length_weighted(rows: DataFrame, truth: str, predicted: str, length: str) -> DataFrame:
     """Recall of each class and of all (class NULL), by length; NULL where the lengths sum to nothing."""
     hit = F.when(F.col(truth) == F.col(predicted), F.col(length)).otherwise(0).cast("double")

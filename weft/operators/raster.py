@@ -170,6 +170,12 @@ def erode(mask: DataFrame, shape: list[tuple[int, int]], height: int, width: int
     return within(hits, height, width).filter(F.col("hits") == inside).select(*PIXEL)
 
 
+def inside_of(mask: DataFrame, shape: list[tuple[int, int]]) -> DataFrame:
+    """Pixels all of whose neighbourhood is in the mask, which has nothing beyond the frame."""
+    hits = shifted(mask.select(*PIXEL).distinct(), [(-r, -c) for r, c in shape]).groupBy(*PIXEL).agg(F.count("*").alias("hits"))
+    return hits.filter(F.col("hits") == len(shape)).select(*PIXEL)
+
+
 def close(mask: DataFrame, shape: list[tuple[int, int]], height: int, width: int) -> DataFrame:
     return erode(dilate(mask, shape, height, width), shape, height, width)
 

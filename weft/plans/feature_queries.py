@@ -82,7 +82,7 @@ QUERIES = {
         "SELECT vec_id, CASE WHEN label % 2 = 1 AND vec_id % 2 = 0 AND vec_id % 3 = 0 THEN 1 WHEN label % 2 = 0 AND vec_id % 2 = 1 AND vec_id % 3 = 2 THEN 2 ELSE 0 END AS value FROM embeddings",
     ),
     "frame_check": (
-        lambda s, d: raster.frame(mask(s, d), SIDE, SIDE).groupBy("image").agg(F.count("*").alias("n")),
-        with_("prob", "mask") + f"SELECT image, {SIDE * SIDE}::BIGINT AS n FROM mask GROUP BY image",
+        lambda s, d: raster.minus(raster.frame(mask(s, d), SIDE, SIDE), mask(s, d)).groupBy("image").agg(F.count("*").alias("n")),
+        with_("prob", "mask") + "SELECT image, count(*) AS n FROM prob ANTI JOIN mask USING (image, row, col) WHERE image IN (SELECT image FROM mask) GROUP BY image",
     ),
 }

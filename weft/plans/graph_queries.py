@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from weft.operators import graph as G
 from weft.operators import policies
-from weft.plans.relations import edges, middles, nodes, places, with_
+from weft.plans.relations import edges, middles, node_number, nodes, paths, places, with_
 from weft.plans.sweep_queries import rounded
+from weft.session import table
 
 _COMPONENTS = with_("edges", "ends", recursive=True) + """, steps AS (SELECT u AS a, v AS b FROM edges UNION SELECT v, u FROM edges
 ), comp(node, component) USING KEY (node) AS (
@@ -68,7 +69,48 @@ def _branches(s, d):
     return rounded(G.branch_angles(at))
 
 
+def _problems(s, d):
+    """Users' events as paths between parts and suppliers of the same numbers, half of which are missing."""
+    px = paths(s, d).select(F.lit(0).alias("image"), "edge", "pos", (F.floor("row") % 13 - (F.col("edge") % 9 == 0).cast("int")).cast("int").alias("row"), (F.col("col") % 7).alias("col"))
+    e = table(s, d, "customer").select(F.lit(0).alias("image"), F.col("c_custkey").cast("long").alias("edge"), (F.col("c_custkey") % 50).alias("u"), (F.col("c_custkey") % 70).alias("v"))
+    n = table(s, d, "part").filter("p_partkey < 80").select(F.lit(0).alias("image"), F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 3 == 0, "isolated").otherwise("endpoint").alias("type")).filter("node % 2 = 0 or node > 60")
+    return G.problems(n, e, px, 12, 7)
+
+
+_PROBLEMS = with_("paths") + """, px AS (SELECT edge, pos, floor(row)::BIGINT % 13 - (edge % 9 = 0)::INT AS row, col % 7 AS col FROM paths
+), e AS (SELECT c_custkey::BIGINT AS edge, c_custkey % 50 AS u, c_custkey % 70 AS v FROM customer
+), n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 3 = 0 THEN 'isolated' ELSE 'endpoint' END AS type FROM part WHERE p_partkey < 80 AND (p_partkey % 2 = 0 OR p_partkey > 60)
+), s AS (SELECT *, greatest(abs(row - lag(row) OVER w), abs(col - lag(col) OVER w)) AS step FROM px WINDOW w AS (PARTITION BY edge ORDER BY pos)
+), x AS (SELECT edge, bool_or(row < 0 OR col < 0 OR row >= 12 OR col >= 7) AS outside, max(step) AS step FROM s WHERE edge IN (SELECT edge FROM e) GROUP BY edge
+)
+SELECT 0 AS image, 'error' AS severity, 'missing node' AS problem, edge::VARCHAR AS item FROM e WHERE u NOT IN (SELECT node FROM n) OR v NOT IN (SELECT node FROM n)
+UNION ALL SELECT 0, 'error', 'empty path', edge::VARCHAR FROM e ANTI JOIN x USING (edge)
+UNION ALL SELECT 0, 'error', 'leaves the image', edge::VARCHAR FROM x WHERE outside
+UNION ALL SELECT 0, 'error', 'path is not connected', edge::VARCHAR FROM x WHERE step > 1
+UNION ALL SELECT 0, 'warning', 'no incident edge', node::VARCHAR FROM n WHERE type <> 'isolated' AND node NOT IN (SELECT u FROM e UNION SELECT v FROM e)"""
+
+
+def _report(s, d):
+    kind = F.when(F.col("key") % 3 == 0, "endpoint").when(F.col("key") % 3 == 1, "junction").otherwise("isolated")
+    n = nodes(s, d).withColumn("key", node_number(F.col("node"))).select("image", "node", kind.alias("type"), (F.col("col") < 20).alias("border"))
+    return rounded(G.report(n, edges(s, d)), 4)
+
+
 QUERIES = {
+    "graph_problems": (_problems, _PROBLEMS),
+    "graph_report": (
+        _report,
+        with_("edges", "ends", "nodes", recursive=True) + """, steps AS (SELECT u AS a, v AS b FROM edges UNION SELECT v, u FROM edges
+), comp(node, component) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM steps
+  UNION
+  SELECT s.a, min(c.component) FROM comp c JOIN steps s ON s.b = c.node JOIN recurring.comp r ON r.node = s.a WHERE c.component < r.component GROUP BY s.a
+), k AS (SELECT image, n.node, node % 1099511627776 // 2 % 3 AS kind, col < 20 AS border, component FROM nodes n JOIN comp USING (node)
+), g AS (SELECT image, count(*) AS node_count, count(*) FILTER (kind = 0) AS endpoint_count, count(*) FILTER (kind = 0 AND NOT border) AS valid_endpoint_count, count(*) FILTER (kind = 1) AS junction_count, count(DISTINCT component) AS component_count FROM k GROUP BY image
+)
+SELECT image, node_count, edge_count, endpoint_count, valid_endpoint_count, junction_count, component_count, round(total, 4) AS skeleton_total_length
+FROM g JOIN (SELECT image, count(*) AS edge_count, sum(length::DOUBLE) AS total FROM edges GROUP BY image) USING (image)""",
+    ),
     "node_degree": (lambda s, d: G.degrees(edges(s, d), nodes(s, d)), with_("edges", "ends", "nodes") + "SELECT n.image, n.node, count(e.edge)::INT AS degree FROM nodes n LEFT JOIN ends e ON e.image = n.image AND e.node = n.node GROUP BY ALL"),
     "parallel_edges": (lambda s, d: G.parallel_edges(edges(s, d)), with_("edges") + "SELECT image, edge, count(*) OVER (PARTITION BY image, least(u, v), greatest(u, v)) - 1 AS parallel FROM edges"),
     "graph_summary": (

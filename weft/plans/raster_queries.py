@@ -9,6 +9,7 @@ from weft.operators import kernels, tiles
 from weft.operators import raster as R
 from weft.plans.relations import SIDE, mask, paths, prob, with_
 from weft.plans.sweep_queries import rounded
+from weft.session import table
 
 _DISK = "o AS (SELECT r, c FROM range(-{0}, {1}) AS a(r), range(-{0}, {1}) AS b(c) WHERE r * r + c * c <= {0} * {0})"
 
@@ -87,8 +88,8 @@ QUERIES = {
     ),
     "mask_algebra": (lambda s, d: R.minus(R.dilate(mask(s, d), R.disk(1), SIDE, SIDE), mask(s, d)), with_("prob", "mask") + _DILATED + " SELECT image, row::INT AS row, col::INT AS col FROM dil ANTI JOIN mask USING (image, row, col)"),
     "tile_origins": (
-        lambda s, d: s.createDataFrame([(x,) for x in (3, 4, 9, 10, 17)], "length int").withColumn("origin", F.explode(R.tile_origins(F.col("length"), 4, 3))),
-        "SELECT DISTINCT length::INT AS length, origin::INT AS origin FROM (SELECT length, unnest(list_append(range(0, greatest(length - 4, 0) + 1, 3), greatest(length - 4, 0))) AS origin FROM (VALUES (3), (4), (9), (10), (17)) AS l(length))",
+        lambda s, d: table(s, d, "pages").select("page_id", F.length("html").alias("length")).withColumn("origin", F.explode(R.tile_origins(F.col("length"), 512, 256))),
+        "SELECT DISTINCT page_id, length::INT AS length, origin::INT AS origin FROM (SELECT page_id, length(html) AS length, unnest(list_append(range(0, greatest(length(html) - 512, 0) + 1, 256), greatest(length(html) - 512, 0))) AS origin FROM pages)",
     ),
     "tile_blend": (
         lambda s, d: rounded(R.blended(_tiles(s, d).withColumn("p", F.col("p") + F.col("row0") / 100))),

@@ -191,6 +191,26 @@ def write_rasters(pixels: DataFrame, path: str, height: int, width: int, value:
     return images.select("image", F.concat(F.lit(f"{path}/"), "image", F.lit(".npy")).alias("path"))
 
 
+def write_summary(rows: DataFrame, path: str) -> None:
+    """One row an image as JSON lines and as CSV, in the folders ``json`` and ``csv`` of a path; few rows, so one file each."""
+    one = stored(rows, "summary").orderBy("image").coalesce(1)
+    one.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
+    one.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+#: What tells some readers that a text is UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_table_with_mark(rows: DataFrame, path: str) -> None:
+    """A table as one CSV text whose first character is a byte order mark, for spreadsheet programs. Fields are quoted where they must be."""
+    cell = lambda c: F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(",", *(F.coalesce(cell(F.col(f"`{c}`").cast("string")), F.lit("")) for c in rows.columns))
+    head = rows.sparkSession.createDataFrame([(0, BYTE_ORDER_MARK + ",".join(rows.columns))], "part int, value string")
+    lines = rows.select((F.spark_partition_id() + 1).alias("part"), line.alias("value")).withColumn("at", F.monotonically_increasing_id())
+    stored(head.withColumn("at", F.lit(0).cast("long")).unionByName(lines), "lines").orderBy("part", "at").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_by_config(rows: DataFrame, path: str) -> None:
     """Parquet, a folder for each config_hash; other configurations stay."""
     rows.write.mode("append").partitionBy("config_hash").parquet(path)
