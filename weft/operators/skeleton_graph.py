@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators import kernels, raster
+from weft.operators.components import connected_components
 from weft.operators.graph import medoids
 from weft.operators.raster import PIXEL
 from weft.session import stored
@@ -105,14 +106,46 @@ def build(skeleton: DataFrame, radius: int = 0) -> tuple[DataFrame, DataFrame, D
     return nodes, edges, paths
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
+#: Pairs of one component of candidates that are settled in one task; larger components are settled in rounds.
+MOST_PAIRS = 1_000_000
+
+
+def greedy_pairs(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     """The pairs (image, a, b, distance) that taking them by (distance, a, b), each point once, would take.
 
-    Each round takes every pair that is the first of both its points; the order is total, so this is the same choice.
-    Of the pairs left the first is always taken, so rounds end when none is left. Equal rows are one pair;
-    rows without an image or two points are none.
+    Points that no pair joins, not even by way of others, have nothing to do with each other: each component of candidates is
+    sorted and gone through in one pass, as many components to a task as fall to it. Components of more than ``most`` pairs are
+    settled over all tasks (see ``_in_rounds``). Equal rows are one pair; rows without an image or two points are none.
     """
-    pairs = pairs.filter("image is not null and a <> b").select("image", "a", "b", "distance").distinct()
+    pairs = stored(pairs.filter("image is not null and a <> b").select("image", "a", "b", "distance").distinct(), "pairs")
+    end = lambda c: F.struct("image", F.col(c).alias("point"))
+    of = connected_components(pairs.select(end("a").alias("a"), end("b").alias("b")), "a", "b")
+    at = stored(pairs.withColumn("id", end("a")).join(of, "id").drop("id"), "pairs-by-component")
+    large = at.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("component")
+    few = at.join(large, "component", "left_anti")
+
+    def settle(frames):
+        now, used = None, set()
+        for frame in frames:
+            keep = []
+            for component, image, a, b in zip(frame["key"], frame["image"], frame["a"], frame["b"], strict=True):
+                if component != now:
+                    now, used = component, set()
+                keep.append((image, a) not in used and (image, b) not in used)
+                if keep[-1]:
+                    used |= {(image, a), (image, b)}
+            yield frame[keep][["image", "a", "b", "distance"]]
+
+    # components are told apart by their text, which is unique for an image and a point
+    dealt = few.withColumn("key", F.to_json("component")).repartition("key").sortWithinPartitions("key", "distance", "a", "b")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in pairs.columns)
+    done = dealt.select("key", *pairs.columns).mapInPandas(settle, kinds)
+    return done if large.isEmpty() else done.unionByName(_in_rounds(at.join(large, "component", "left_semi").select(*pairs.columns)))
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """As greedy_pairs. Each round takes every pair that is the first of both its points; the order is total, so this is the same
+    choice. Of the pairs left the first is always taken, so rounds end when none is left."""
     left, taken = stored(pairs, "pairs"), None
     while not left.isEmpty():
         ends = left.select("image", "a", "b", F.struct("distance", "a", "b").alias("k"))
