@@ -35,16 +35,12 @@ def folder(spark, odd, tmp_path_factory):
 
 
 def runs_brute(words):
-    best = {}
+    """Every period by itself: where words that far apart are equal in a row."""
+    ids, best = np.unique(np.array(words, object), return_inverse=True)[1] if len(words) else np.zeros(0, int), {}
     for p in range(1, len(words) // 3 + 1):
-        i = 0
-        while i + p < len(words):
-            j = i
-            while j + p < len(words) and words[j] == words[j + p]:
-                j += 1
-            if j > i and j - i + p >= max(24, 3 * p):
-                best.setdefault((i, j - i + p), p)
-            i = max(i + 1, j)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ids[p:] == ids[:-p], [False]]).astype("i1"))).reshape(-1, 2)
+        for start, end in edges[edges[:, 1] - edges[:, 0] + p >= max(24, 3 * p)].tolist():
+            best.setdefault((start, end - start + p), p)
     return sorted((start, p, length) for (start, length), p in best.items())
 
 
