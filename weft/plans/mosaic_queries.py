@@ -10,10 +10,12 @@ from weft.plans.relations import ACROSS, SIDE, mosaic, mosaic_shape, with_
 from weft.plans.sweep_queries import rounded
 
 LEAST = 0.6
+#: Above this most pixels are set, so that what is not lies in many closed faces.
+MOST = 0.45
 
 
-def _mask(s, d):
-    return mosaic(s, d).filter(F.col("p") >= LEAST).select("image", "row", "col")
+def _mask(s, d, least=LEAST):
+    return mosaic(s, d).filter(F.col("p") >= least).select("image", "row", "col")
 
 
 def _seeds(s, d):
@@ -22,7 +24,7 @@ def _seeds(s, d):
 
 def _faces(s, d):
     height, width = mosaic_shape(s, d)
-    return R.face_pixels(_mask(s, d), mosaic(s, d).select("image"), height, width)
+    return R.face_pixels(_mask(s, d, MOST), mosaic(s, d).select("image"), height, width)
 
 
 def _graph(s, d):
@@ -67,7 +69,11 @@ _CONTRAST = (
 ) """
 )
 
-_MASK = with_("prob", "mosaic", recursive=True) + f", mask AS (SELECT image, row, col FROM mosaic WHERE p >= {LEAST}::DOUBLE)"
+def _mask_sql(least: float) -> str:
+    return with_("prob", "mosaic", recursive=True) + f", mask AS (SELECT image, row, col FROM mosaic WHERE p >= {least}::DOUBLE)"
+
+
+_MASK = _mask_sql(LEAST)
 _MASK_ONLY = _MASK.replace("WITH RECURSIVE", "WITH")
 
 
@@ -94,7 +100,7 @@ QUERIES = {
     ),
     "mosaic_faces": (
         _faces,
-        _MASK + _BACK + _cc("back") + ", open AS (SELECT DISTINCT component FROM cc, shape WHERE row = 0 OR col = 0 OR row = height - 1 OR col = width - 1) SELECT image, row, col, component AS face, count(*) OVER (PARTITION BY component) AS area FROM cc ANTI JOIN open USING (component)",
+        _mask_sql(MOST) + _BACK + _cc("back") + ", open AS (SELECT DISTINCT component FROM cc, shape WHERE row = 0 OR col = 0 OR row = height - 1 OR col = width - 1) SELECT image, row, col, component AS face, count(*) OVER (PARTITION BY component) AS area FROM cc ANTI JOIN open USING (component)",
     ),
     "mosaic_distances": (
         lambda s, d: tiles.distances(_mask(s, d), *mosaic_shape(s, d)),
