@@ -239,25 +239,26 @@ def khop(edges: DataFrame, hops: int = 2, middles: DataFrame | None = None, plac
     """(image, edge, node, hop): nodes within ``hops`` steps of an edge's ends, with the fewest steps.
 
     With a radius a step leads only to nodes (places: image, node, row, col) within it of the edge's middle (image, edge,
-    row, col), which bounds a context however many edges its nodes have; the two ends are always in. Steps are told by the cell
-    of that size that they lead to, and an edge asks for the nine cells around its middle: a hub's far neighbours are never met.
+    row, col), which bounds a context however many edges its nodes have; the two ends are always in. A step is known in the cells, of
+    four times that size, within reach of the place it leads to (two or three on average), and an edge asks in its middle's: a
+    hub's far neighbours are never met.
     """
     steps = edges.select("image", F.col("u").alias("node"), F.col("v").alias("next")).union(edges.select("image", F.col("v").alias("node"), F.col("u").alias("next"))).distinct()
     reached = ends(edges).distinct().withColumn("hop", F.lit(0))
     own = ["image", "edge"]
     if radius is not None:
         own = ["image", "edge", "__r", "__c"]
-        cell = lambda c: F.floor(F.col(c) / max(radius, 1e-9))
+        cell = lambda x: F.floor(x / max(4 * radius, 1e-9))
         steps = steps.join(places.select("image", F.col("node").alias("next"), F.col("row").alias("__row"), F.col("col").alias("__col")), ["image", "next"])
-        steps = steps.withColumns({"__gr": cell("__row"), "__gc": cell("__col")})
+        near = lambda c: F.explode(F.sequence(cell(F.col(c) - radius), cell(F.col(c) + radius)))
+        steps = steps.withColumn("__gr", near("__row")).withColumn("__gc", near("__col"))
         reached = reached.join(middles.select("image", "edge", F.col("row").alias("__r"), F.col("col").alias("__c")), ["image", "edge"])
     front = reached
     for h in range(1, hops + 1):
         if radius is None:
             nxt = front.join(steps, ["image", "node"])
         else:
-            near = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
-            nxt = front.withColumn("__gr", near("__r")).withColumn("__gc", near("__c")).join(steps, ["image", "node", "__gr", "__gc"])
+            nxt = front.withColumns({"__gr": cell(F.col("__r")), "__gc": cell(F.col("__c"))}).join(steps, ["image", "node", "__gr", "__gc"])
             dr, dc = F.col("__row") - F.col("__r"), F.col("__col") - F.col("__c")
             nxt = nxt.filter(dr * dr + dc * dc <= radius * radius)
         nxt = nxt.select(*own, F.col("next").alias("node")).distinct().withColumn("hop", F.lit(h))
