@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import kernels, tiles
+from weft.session import sized, stored
 
 PIXELS = "image string, row int, col int"
 
@@ -88,3 +92,27 @@ def test_images_may_be_numbers(spark):
     seeds = spark.createDataFrame([(7, 900, 5, 2), (7, 3, 299, 1)], "image long, row int, col int, seed long")
     got = {r["col"]: (r["seed"], r["d2"]) for r in tiles.nearest(mask, seeds).collect()}
     assert got[299] == (1, 0) and got[5] == (1, 294 * 294) and tiles.thinned(mask).count() == 300
+
+
+def test_small_images_are_thinned_in_one_pass(spark):
+    """3000 images of different sizes and corners: a tile for each would take minutes."""
+    rng = np.random.default_rng(5)
+    grids = {f"i{k}": rng.random((int(rng.integers(1, 20)), int(rng.integers(1, 20)))) < 0.6 for k in range(3000)}
+    want = set()
+    for k, g in grids.items():
+        if g.any():
+            r, c = np.argwhere(g).min(axis=0)
+            want |= {(k, int(i) + r - 1 + 7, int(j) + c - 1 + 7) for i, j in np.argwhere(kernels.thin(np.pad(g[r:, c:], 1)))}
+    started = time.monotonic()
+    assert found(tiles.thinned(as_rows(spark, grids, 7))) == want
+    assert time.monotonic() - started < 60
+
+
+def test_pixels_that_compress_well_are_not_broadcast(spark):
+    """Most of a million pixels are under 10 MB in Parquet, but not in a driver's memory."""
+    pixels = spark.range(0, 1_000_000, 1, 4).filter("xxhash64(id) % 3 <> 0").selectExpr("0L as image", "cast(id div 1000 as int) as row", "cast(id % 1000 as int) as col")
+    other = sized(spark.newSession())
+    other.conf.set("spark.sql.adaptive.enabled", "false")
+    one = other.read.parquet(*stored(pixels, "pixels").inputFiles())
+    plan = one.join(one.select("image", "row", "col", F.lit(1).alias("x")), ["image", "row", "col"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

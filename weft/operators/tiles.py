@@ -9,6 +9,7 @@ rims. Distances and nearest seeds go in two keyed passes, along columns and then
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,10 +114,47 @@ def _round(tiles: DataFrame, side: int, halo: int, steps) -> DataFrame:
 def thinned(mask: DataFrame, side: int = TILE, halo: int = HALO) -> DataFrame:
     """One-pixel lines of a mask: pixel for pixel what ``kernels.thin`` makes of each image as a whole.
 
-    halo: a multiple of 4, at most ``side``. Rounds go on until no tile changes; each is written once.
+    halo: a multiple of 4, at most ``side``. Images whose pixels fit a tile are thinned many at once, in one pass; for the others
+    rounds go on until no tile changes, and each is written once.
     """
     if halo % 4 or not 0 < halo <= side:
         raise ValueError("halo must be a multiple of 4, and at most the tile's side")
+    mask = mask.select(*PIXEL).filter("image is not null and row is not null and col is not null")
+    span = lambda c: F.max(c) - F.min(c) < side
+    fits = stored(mask.groupBy("image").agg((span("row") & span("col")).alias("fits")), "spans")
+    large = fits.filter("not fits")
+    small = _thinned_whole(mask.join(large, "image", "left_anti"))
+    if large.isEmpty():
+        return small
+    return small.unionByName(_thinned_tiles(mask.join(large, "image", "left_semi"), side, halo))
+
+
+def _thinned_whole(mask: DataFrame) -> DataFrame:
+    """Images that fit a tile, many to a batch; one that a batch cuts waits for the next."""
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (held["image"] == held["image"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield lines(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield lines(held)
+
+    def lines(frame):
+        image = frame["image"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], image[1:] != image[:-1]]))
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(image))))
+        k, row, col = kernels.thin_all(number, frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64))
+        return pd.DataFrame({"image": image[first][k], "row": row.astype("i4"), "col": col.astype("i4")})
+
+    return mask.repartition("image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int")
+
+
+def _thinned_tiles(mask: DataFrame, side: int, halo: int) -> DataFrame:
+    """As thinned, tile by tile."""
 
     def borders(grid, row, col):
         for k in range(halo):
