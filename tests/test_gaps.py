@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_fixtures import line, pixels
-from weft.operators import gaps
+from weft.operators import gaps, skeleton_graph
 
 
 def scores(spark, points, inside, value, images=(1,)):
@@ -51,3 +51,17 @@ def test_noise_goes_by_the_first_reason(spark):
     assert sorted(r["reason"] or "" for r in judged.collect()) == ["", "elongation", "skeleton_length"]
     whole = gaps.preprocessed(scores(spark, LEFT | RIGHT, GAP, 0.2), None, pixels=3, gap=6)
     assert {(r["row"], r["col"]) for r in whole.collect()} == LEFT | RIGHT | GAP
+
+
+def test_points_at_one_place_pair_off_without_all_their_pairs(spark):
+    """As taking all pairs one by one; 4000 points at one place have 8 million pairs."""
+    from weft.operators.graph import pairs_within
+
+    rows = [(k % 2, k * 7 % 101, k % 5, k * k % 4) for k in range(101)]
+    points = spark.createDataFrame(rows, "image int, point int, row int, col int")
+    want = {tuple(r) for r in skeleton_graph.greedy_pairs(pairs_within(points, 2.0)).select("image", "a", "b", "distance").collect()}
+    got = [tuple(r) for r in skeleton_graph.greedy_within(points, 2.0).select("image", "a", "b", "distance").collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    heap = spark.range(4001).select(F.lit(0).alias("image"), F.col("id").alias("point"), F.lit(3).alias("row"), F.lit(4).alias("col"))
+    got = skeleton_graph.greedy_within(heap, 2.0)
+    assert got.count() == 2000 and got.filter("b <> a + 1 or a % 2 = 1 or distance > 0").isEmpty()

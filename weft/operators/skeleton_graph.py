@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from weft.operators import kernels, raster
 from weft.operators.components import connected_components
-from weft.operators.graph import medoids
+from weft.operators.graph import medoids, pairs_within
 from weft.operators.raster import PIXEL
 from weft.session import stored
 
@@ -143,6 +143,21 @@ def greedy_pairs(pairs: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     return done if large.isEmpty() else done.unionByName(_in_rounds(at.join(large, "component", "left_semi").select(*pairs.columns)))
 
 
+def greedy_within(points: DataFrame, radius: float) -> DataFrame:
+    """What greedy_pairs takes of the pairs of different points (image, point, row, col) within ``radius``, each point given once.
+
+    Points at one place come first, the least with the next, so they pair off in their order; all but the last of an odd number
+    are used before any other distance is looked at. Only those are paired with their surroundings: the work grows with the
+    points and the places, not with the square of the points at a place.
+    """
+    place = Window.partitionBy(*PIXEL).orderBy("point")
+    at = points.select("image", "point", "row", "col").filter("image is not null and point is not null and row is not null and col is not null")
+    at = at.withColumn("nth", F.row_number().over(place)).withColumn("next", F.lead("point").over(place)).filter("nth % 2 = 1")
+    at = stored(at.select("image", "point", "row", "col", "next"), "places")
+    together = at.filter("next is not null").select("image", F.col("point").alias("a"), F.col("next").alias("b"), F.lit(0.0).alias("distance"))
+    return together.unionByName(greedy_pairs(pairs_within(at.filter("next is null"), radius)))
+
+
 def _in_rounds(pairs: DataFrame) -> DataFrame:
     """As greedy_pairs. Each round takes every pair that is the first of both its points; the order is total, so this is the same
     choice. Of the pairs left the first is always taken, so rounds end when none is left."""
