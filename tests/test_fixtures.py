@@ -314,3 +314,17 @@ def test_label_spellings(spark):
     rows = spark.createDataFrame([(" C ",), ("q",), ("nan",), (None,), ("255",), ("0",), ("2.0",), ("zzz",), ("99",)], "raw string")
     got = [r[0] for r in rows.select(labels.normalized(F.col("raw"), labels.Vocabulary({1: "thin", 2: "wide"}, {"C": "thin", "q": "wide", "nan": "unlabeled"}, {0: "unlabeled", 255: "uncertain"}))).collect()]
     assert got == ["thin", "wide", "unlabeled", "unlabeled", "uncertain", "unlabeled", "wide", None, None]
+
+
+def test_components_of_a_line_and_of_hubs_take_few_tables(spark, monkeypatch):
+    """Names that fall along a line are followed by doubling; loops and text are vertices too."""
+    from weft.operators import components
+
+    written = []
+    keep = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, label: written.append(label) or keep(df, label))
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k % 3, 2000 + k) for k in range(60)] + [(5000, 5000)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{k: 0 for k in range(301)}, **{h: 1000 + h % 1000 % 3 for h in (1000, 1001, 1002)}, **{2000 + k: 1000 + k % 3 for k in range(60)}, 5000: 5000}
+    # edges are written once, and once more when none is left
+    assert written.count("edges") == 2
