@@ -142,3 +142,18 @@ def test_contexts_within_a_radius_are_those_of_a_search(spark):
             hop |= dict.fromkeys(front, h)
         want |= {(k, n): h for n, h in hop.items()}
     assert {(r["edge"], r["node"]): r["hop"] for r in graph.khop(edges, 2, middles, places, 15.0).collect()} == want
+
+
+def test_contexts_hold_their_edges_and_structure_without_meeting_others(spark):
+    """Edges inside contexts of more nodes than there are bits, and their structure counted in one pass as in several."""
+    ends = [(k, k * 13 % 90, k * 31 % 90) for k in range(300)] + [(300, 5, 5), (301, 5, 5), (302, 0, 0)]
+    edges = spark.createDataFrame([(0, k, u, v, None if k % 50 == 0 else k / 7) for k, u, v in ends], "image int, edge int, u int, v int, length double")
+    held = {e: {n for n in range(90) if (n * 7 + e) % (e + 2) < 2} | {5} for e in range(6)} | {6: set(range(80)), 7: {89}}
+    context = spark.createDataFrame([(0, e, n) for e, nodes in held.items() for n in nodes], "image int, edge int, node int")
+    want = {(e, k, u, v) for e, nodes in held.items() for k, u, v in ends if u in nodes and v in nodes}
+    inside = graph.induced(edges, context, ("u", "v", "length"))
+    got = inside.select("edge", "other", "u", "v").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {(r["edge"], r["other"]) for r in graph.induced(edges, context).collect()} == {w[:2] for w in want}
+    few, whole = (f(inside, ["image", "edge"]).toPandas().sort_values("edge").reset_index(drop=True) for f in (graph.structure_of_few, graph.structure))
+    assert list(few.columns) == list(whole.columns) and few.round(9).equals(whole.astype(few.dtypes).round(9))
