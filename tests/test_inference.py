@@ -138,3 +138,31 @@ def test_flips_are_averaged_before_the_sigmoid(images):
         assert np.abs(got[k] - (1 / (1 + np.exp(-logits)))[0, :h, :w]).max() < 1e-5
     with pytest.raises(ValueError, match="stride"):
         inference.inferred(rows, frames, stencil, 8, 9)
+
+
+def test_one_large_image_is_spread_over_tasks_and_each_tile_is_scored_once(spark, tmp_path):
+    """However few images there are: pixels meet by place, not by image."""
+    from pyspark.sql import functions as F
+
+    planes = spark.range(96).select(F.lit(0).cast("long").alias("image"), F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(95))).alias("col"))
+    planes = planes.select("*", *(F.lit(k).alias(c) for k, c in enumerate("bgr")))
+    frames = spark.createDataFrame([(0, 96, 96)], "image long, height int, width int")
+    told = str(tmp_path)
+
+    def make():
+        import uuid
+
+        def model(x):
+            with open(f"{told}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(len(x)))
+            return x[..., 0]
+
+        return model
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r[1] for r in inference.inferred(planes, frames, make, 16, 8, flips=False).groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(parts) == 96 * 96 and max(parts) < 96 * 96 / 2
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 11 * 11

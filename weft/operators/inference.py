@@ -39,7 +39,7 @@ def cells(planes: DataFrame, side: int) -> DataFrame:
 
 
 def tiles(planes: DataFrame, frames: DataFrame, tile: int, stride: int) -> DataFrame:
-    """(image, y, x, pixels): the overlapping tiles of images, red, green and blue from -1 to 1, flat.
+    """(image, y, x, height, width, pixels): the overlapping tiles of images, red, green and blue from -1 to 1, flat.
 
     frames: image, height, width. An image smaller than a tile is mirrored on at its lower and right side, without repeating
     the last pixel; the last tile of an axis ends with the image.
@@ -62,9 +62,9 @@ def tiles(planes: DataFrame, frames: DataFrame, tile: int, stride: int) -> DataF
         cut = held[y - first[0] * stride :, x - first[1] * stride :][:h, :w]
         cut = np.pad(cut, ((0, tile - h), (0, tile - w), (0, 0)), "reflect") if cut.shape[:2] != (tile, tile) else cut
         scaled = (cut[:, :, ::-1].astype("f4") / 255 - 0.5) / 0.5
-        return pa.table({"image": pa.array([image], rows.schema.field("image").type), "y": pa.array([y], pa.int32()), "x": pa.array([x], pa.int32()), "pixels": pa.array([scaled.ravel()], pa.list_(pa.float32()))})
+        return pa.table({"image": pa.array([image], rows.schema.field("image").type), "y": pa.array([y], pa.int32()), "x": pa.array([x], pa.int32()), **{c: pa.array([rows[c][0].as_py()], pa.int32()) for c in ("height", "width")}, "pixels": pa.array([scaled.ravel()], pa.list_(pa.float32()))})
 
-    return met.groupBy("image", "y", "x").applyInArrow(gather, f"image {_kind(planes, 'image')}, y int, x int, pixels array<float>")
+    return met.groupBy("image", "y", "x").applyInArrow(gather, f"image {_kind(planes, 'image')}, y int, x int, height int, width int, pixels array<float>")
 
 
 def _scored(make: Callable, flips: bool):
@@ -93,9 +93,10 @@ def inferred(planes: DataFrame, frames: DataFrame, make: Callable, tile: int = 5
     """
     if not 0 < stride <= tile:
         raise ValueError("tiles must touch: a stride of 1 to the tile's side")
-    score = predict_batch_udf(_scored(make, flips), return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[tile, tile, 3]])
-    at = tiles(planes, frames, tile, stride).select("image", "y", "x", score("pixels").alias("p"))
-    at = at.select("image", "y", "x", F.posexplode("p").alias("i", "p")).withColumns({"r": F.floor(F.col("i") / tile).cast("int"), "c": (F.col("i") % tile).cast("int")})
-    rows = at.select("image", (F.col("y") + F.col("r")).alias("row"), (F.col("x") + F.col("c")).alias("col"), F.col("p").cast("double").alias("p"), (hann(F.col("r"), tile) * hann(F.col("c"), tile)).alias("w"))
-    inside = rows.join(frames.select("image", "height", "width"), "image").filter("row < height and col < width")
-    return raster.blended(inside)
+    # a model that might answer differently is asked once: else the planner asks it again whether there are scores to explode
+    score = predict_batch_udf(_scored(make, flips), return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[tile, tile, 3]]).asNondeterministic()
+    at = tiles(planes, frames, tile, stride).select("image", "y", "x", "height", "width", score("pixels").alias("p"))
+    at = at.select("image", "y", "x", "height", "width", F.posexplode("p").alias("i", "p")).withColumns({"r": F.floor(F.col("i") / tile).cast("int"), "c": (F.col("i") % tile).cast("int")})
+    # a tile knows its image's frame, so that pixels meet by place only
+    rows = at.select("image", "height", "width", (F.col("y") + F.col("r")).alias("row"), (F.col("x") + F.col("c")).alias("col"), F.col("p").cast("double").alias("p"), (hann(F.col("r"), tile) * hann(F.col("c"), tile)).alias("w"))
+    return raster.blended(rows.filter("row < height and col < width"))
