@@ -116,3 +116,17 @@ def test_pixels_that_compress_well_are_not_broadcast(spark):
     one = other.read.parquet(*stored(pixels, "pixels").inputFiles())
     plan = one.join(one.select("image", "row", "col", F.lit(1).alias("x")), ["image", "row", "col"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_what_turns_out_small_is_not_broadcast_by_the_hundred(spark):
+    """Some MB of pixels fit one broadcast, but a plan of many joins holds as many of them in the driver."""
+    other = sized(spark.newSession())
+    pixels = other.range(0, 200_000, 1, 4).selectExpr("id div 64 as image", "id div 8 % 8 as row", "id % 8 as col")
+    counts = pixels.groupBy("image", "row", "col").count()
+    joined = pixels.join(counts, ["image", "row", "col"])
+    assert len(joined.collect()) == 200_000
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    few = counts.groupBy("image").count().filter("image < 9")
+    joined = pixels.join(few, "image")
+    assert len(joined.collect()) == 9 * 64
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
