@@ -123,9 +123,9 @@ def thinned(mask: DataFrame, side: int = TILE, halo: int = HALO) -> DataFrame:
     span = lambda c: F.max(c) - F.min(c) < side
     fits = stored(mask.groupBy("image").agg((span("row") & span("col")).alias("fits")), "spans")
     large = fits.filter("not fits")
-    small = _thinned_whole(mask.join(large, "image", "left_anti"))
     if large.isEmpty():
-        return small
+        return _thinned_whole(mask)
+    small = _thinned_whole(mask.join(large, "image", "left_anti"))
     return small.unionByName(_thinned_tiles(mask.join(large, "image", "left_semi"), side, halo))
 
 
