@@ -130,3 +130,24 @@ def test_what_turns_out_small_is_not_broadcast_by_the_hundred(spark):
     joined = pixels.join(few, "image")
     assert len(joined.collect()) == 9 * 64
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_nearest_seeds_of_small_images_are_found_in_one_pass(spark):
+    """3000 images, some without seeds, one too large, and pixels that are given twice: a group for each would take minutes."""
+    rng = np.random.default_rng(6)
+    mask, seeds = [], []
+    for k in range(3000):
+        h, w = (int(x) for x in rng.integers(1, 12, 2))
+        put = lambda n: zip(rng.integers(0, h, n), rng.integers(0, w, n), strict=True)  # noqa: B023, E731
+        mask += [(k, int(r) + 70, int(c)) for r, c in put(4)]
+        seeds += [(k, int(r) + 70, int(c), int(rng.integers(-3, 3)) * 2**60) for r, c in put(rng.integers(0, 5))]
+    mask += [(5000, 0, 0), (5000, 300, 2)]
+    seeds += [(5000, 150, 1, 4)]
+    by = {}
+    for k, *at in seeds:
+        by.setdefault(k, []).append(at)
+    want = sorted(((k, r, c, *min((((r - y) ** 2 + (c - x) ** 2, s) for y, x, s in by.get(k, [])), default=(None, None))) for k, r, c in mask), key=str)
+    started = time.monotonic()
+    got = tiles.nearest(spark.createDataFrame(mask, "image long, row int, col int"), spark.createDataFrame(seeds, "image long, row int, col int, seed long"))
+    assert sorted(((r["image"], r["row"], r["col"], r["d2"], r["seed"]) for r in got.collect()), key=str) == want
+    assert time.monotonic() - started < 20

@@ -1,6 +1,6 @@
 """One row of named features for each edge of a skeleton graph: blocks computed by key and joined on (image, edge).
 
-Every block ends in an aggregate by (image, edge), so the joins that put them together need no shuffle of their own.
+Every block is by (image, edge) and written before the next is planned.
 What is not available is NULL, and a companion column says so where 0 could be meant.
 """
 
@@ -290,6 +290,7 @@ def table(nodes: DataFrame, edges: DataFrame, px: DataFrame, height: int, width:
     """
     s = settings
     nodes, px = stored(nodes, "nodes"), stored(px, "paths")
+    distance = None if distance is None else stored(distance, "distance")
     of = graph.components(edges)
     edges = stored(edges.join(of.select(F.col("node").alias("u"), "component"), "u", "left").select("image", "edge", "u", "v", "component", "length", "is_loop"), "edges")
     sums = stored(segment_sums(px, s.stride, s.bins), "segments")
@@ -312,9 +313,10 @@ def table(nodes: DataFrame, edges: DataFrame, px: DataFrame, height: int, width:
         for faces, prefix in ((strict, "strict"), (tolerant, "tolerant")):
             blocks.append(face_block(edges, px, faces, max(1, s.closing + 1), wider, prefix))
     at = edges.select("image", "edge", "u", "v", "component")
+    # each block is a job of its own: one plan of all of them is more than a driver should hold
     for block in blocks:
-        at = at.join(block, EDGE, "left")
-    at = at.join(component_block(edges, info, sums, s, strict, tolerant), ["image", "component"], "left")
+        at = at.join(stored(block, "block"), EDGE, "left")
+    at = at.join(stored(component_block(edges, info, sums, s, strict, tolerant), "block"), ["image", "component"], "left")
     if distance is not None:
         at = at.withColumn("width_length_ratio", ratio("width_mean", "length_px", 1e-9))
     flags = {"prob_available": 0.0, "appearance_available": 0.0, "sample_count": 0.0}

@@ -213,13 +213,55 @@ def nearest(mask: DataFrame, seeds: DataFrame, band: int = BAND) -> DataFrame:
     """(image, row, col, seed, d2): the nearest seed of each mask pixel at any distance, the least of equals, and d2 squared.
 
     seeds: image, row, col, seed (a whole number; the least counts where a pixel has several). An image without seeds has NULL.
-    Pixels that occur twice in the mask come out twice. Rows and columns are 0 to 2^20 - 1.
+    Pixels that occur twice in the mask come out twice. Rows and columns are 0 to 2^20 - 1. Images that fit a band, seeds and all, are
+    gone through many at once.
     """
+    some = seeds.select(*PIXEL, F.col("seed").cast("long").alias("seed")).filter("image is not null and row is not null and col is not null and seed is not null")
+    some = stored(some, "seeds")
+    at = mask.select(*PIXEL)
+    span = lambda c: (F.count(c) == F.count("*")) & (F.max(c) - F.min(c) < band)
+    fits = at.unionByName(some.select(*PIXEL)).groupBy("image").agg((F.col("image").isNotNull() & span("row") & span("col")).alias("fits"))
+    fits = stored(fits, "spans")
+    large = fits.filter("not fits")
+    if large.isEmpty():
+        return _nearest_whole(at, some)
+    small = fits.filter("fits").select("image")
+    part = lambda rows, how: rows.join(small, "image", how)
+    return _nearest_whole(part(at, "left_semi"), part(some, "left_semi")).unionByName(_nearest_bands(part(at, "left_anti"), part(some, "left_anti"), band))
+
+
+def _nearest_whole(mask: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As nearest: images that fit a band, many to a batch; one that a batch cuts waits for the next."""
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (held["image"] == held["image"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield lines(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield lines(held)
+
+    def lines(frame):
+        image, asks = frame["image"].to_numpy(), frame["asks"].to_numpy(bool)
+        number = np.cumsum(np.concatenate([[False], image[1:] != image[:-1]]))
+        row, col = frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64)
+        seed, d2 = kernels.nearest_all(number, row, col, frame["seed"].to_numpy(np.int64), asks)
+        whole = lambda x: pd.arrays.IntegerArray(x, d2 < 0)
+        return pd.DataFrame({"image": image[asks], "row": row[asks].astype("i4"), "col": col[asks].astype("i4"), "seed": whole(seed), "d2": whole(d2)})
+
+    rows = mask.withColumns({"seed": F.lit(0).cast("long"), "asks": F.lit(True)}).unionByName(seeds.withColumn("asks", F.lit(False)))
+    return rows.repartition("image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int, seed long, d2 long")
+
+
+def _nearest_bands(mask: DataFrame, seeds: DataFrame, band: int) -> DataFrame:
+    """As nearest, in bands of columns, then of rows."""
     kind = kernels._kind(mask, "image")
     far = lambda c: F.floor(F.col(c) / band)
-    some = seeds.select(*PIXEL, F.col("seed").cast("long").alias("seed")).filter("image is not null and row is not null and col is not null and seed is not null")
-    some = stored(some.withColumn("cb", far("col")), "seeds")
-    at = mask.select(*PIXEL).withColumn("rb", far("row"))
+    some = seeds.withColumn("cb", far("col"))
+    at = mask.withColumn("rb", far("row"))
     bands = at.select("image", "rb").distinct()
     # the bands of rows that a band of columns must tell: as many as an image has tiles
     meets = some.select("image", "cb").distinct().join(bands, "image").select(F.col("image").alias("of"), F.col("cb").alias("block"), "rb")
