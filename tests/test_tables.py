@@ -116,3 +116,18 @@ def test_classified_edges_abstain(spark):
 
 def test_borders(spark):
     assert raster.within(pixels(spark, {(0, 0), (-1, 2), (3, 3)}), 3, 3).count() == 1
+
+
+def test_neighbour_sums_keep_an_edge_in_one_row(spark):
+    """Loops, parallel edges both ways, a missing end and missing values; a row for each end would be a union."""
+    rows = [(1, 1, 10, 11, 1.5), (1, 2, 11, 10, 2.0), (1, 3, 10, 11, None), (1, 4, 10, 10, 4.0), (1, 5, 11, 12, 8.0), (1, 6, None, 12, 16.0), (1, 7, 13, 14, 32.0), (1, 8, None, None, 3.0), (2, 9, 10, 11, 64.0)]
+    got = graph.neighbour_sums(spark.createDataFrame(rows, "image long, edge long, u long, v long, x double"), ["x"], ("x",))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ends = {(r[0], r[1]): {x for x in r[2:4] if x is not None} for r in rows}
+    want = {}
+    for image, edge, _, _, x in rows:
+        if ends[image, edge]:
+            near = [o[4] for o in rows if o[0] == image and o[1] != edge and ends[image, edge] & ends[image, o[1]]]
+            some = [y for y in near if y is not None]
+            want[edge] = (len(near), sum(some), len(some), x)
+    assert {r["edge"]: (r["n"], float(r["sum_x"]), r["n_x"], r["x"]) for r in got.collect()} == want

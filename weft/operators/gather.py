@@ -39,7 +39,7 @@ def line_graph_layer(edges: DataFrame, columns: list[str], weights: list[list[fl
 
     Nodes sum their edges once, so a hot node costs as much as its edges, not their pairs.
     """
-    at = edges.join(neighbour_sums(edges, columns), ["image", "edge"])
+    at = neighbour_sums(edges, columns, tuple(columns))
     h = [(1 + eps) * F.col(c) + F.coalesce(ratio(F.col(f"sum_{c}").cast("double"), F.col("n")), F.lit(0.0)) for c in columns]
     out = [F.greatest(sum((w * x for w, x in zip(row, h, strict=True)), F.lit(float(b))), F.lit(0.0)).alias(f"out_{k}") for k, (row, b) in enumerate(zip(weights, bias, strict=True))]
     return at.select("image", "edge", *out)
