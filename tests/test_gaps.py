@@ -82,3 +82,12 @@ def test_near_points_are_found_by_their_places(spark):
     assert blocks.count() == 12 * 13 // 2
     pairs = graph.points_of(blocks)
     assert pairs.count() == pairs.filter("a < b and distance = 0").count() == 3000 * 2999 // 2
+
+
+def test_noise_labels_the_mask_alone(spark, monkeypatch):
+    """The skeleton takes the mask's components; its own would be thrown away."""
+    calls, labelled = [], gaps.raster.labelled
+    monkeypatch.setattr(gaps.raster, "labelled", lambda *a: calls.append(a) or labelled(*a))
+    mask = spark.createDataFrame([(1, 0, c) for c in range(6)] + [(1, 4, 4)], "image long, row int, col int")
+    _, judged = gaps.without_noise(mask, None, 2, 1.0, 1.0, 0.5)
+    assert sorted((r["pixels"], r["skeleton"], r["reason"]) for r in judged.collect()) == [(1, 1, "skeleton_length"), (6, 6, None)] and len(calls) == 1

@@ -30,7 +30,7 @@ def without_noise(mask: DataFrame, prob: DataFrame | None, pixels: int, diagonal
     pixels, by the diagonal of its box, by elongation, by mean score."""
     at = stored(raster.labelled(mask.select(*PIXEL)), "components")
     p = at.withColumn("p", F.lit(1.0)) if prob is None else at.join(prob.select(*PIXEL, "p"), PIXEL, "left")
-    thin = raster.labelled(tiles.thinned(mask)).select(*PIXEL).join(at, PIXEL).groupBy("image", "component").agg(F.count("*").alias("skeleton"))
+    thin = tiles.thinned(mask).join(at, PIXEL).groupBy("image", "component").agg(F.count("*").alias("skeleton"))
     stats = raster.component_stats(p).join(thin, ["image", "component"], "left").join(paths.elongation(at, ["image", "component"]), ["image", "component"], "left")
     why = (
         F.when(F.coalesce("skeleton", F.lit(0)) < pixels, "skeleton_length").when(F.col("diagonal") < diagonal, "bbox_diagonal")
