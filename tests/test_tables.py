@@ -131,3 +131,18 @@ def test_neighbour_sums_keep_an_edge_in_one_row(spark):
             some = [y for y in near if y is not None]
             want[edge] = (len(near), sum(some), len(some), x)
     assert {r["edge"]: (r["n"], float(r["sum_x"]), r["n_x"], r["x"]) for r in got.collect()} == want
+
+
+def test_forests_of_folds_make_their_rows_once(spark):
+    """What makes a row may be costly: a forest goes over it in many jobs."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return float(x)
+
+    rows = spark.range(90).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).alias("fold"), counted(F.col("id") % 2).alias("x"))
+    done = learning.cross_validated(rows, ["x"], "y", "fold", trees=3, depth=2).collect()
+    assert len(done) == 90 and all(r["prediction"] == r["y"] for r in done)
+    assert made.value == 90

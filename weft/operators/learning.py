@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import metrics, policies
 from weft.operators.metrics import balanced_weights
+from weft.session import stored
 
 
 def numeric_columns(rows: DataFrame, without: list[str]) -> list[str]:
@@ -33,7 +34,11 @@ def fit_forest(rows: DataFrame, columns: list[str], label: str, trees: int = 20,
 
 
 def cross_validated(rows: DataFrame, columns: list[str], label: str, fold: str, **settings) -> DataFrame:
-    """Every row with the prediction and confidence of a forest that has not seen its fold."""
+    """Every row with the prediction and confidence of a forest that has not seen its fold.
+
+    A forest goes over its rows once for each of many jobs, so rows are made once and written.
+    """
+    rows = stored(rows, "rows")
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     out = None
     for k in folds:

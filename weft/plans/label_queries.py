@@ -118,9 +118,9 @@ def _leaks(s, d):
 def _forest(s, d):
     """A forest over length features of labelled documents, by grouped folds; rows under a confidence abstain."""
     rows = predictions(s, d)
-    text = table(s, d, "documents").select("doc_id", F.length(F.translate("text", "#*$%&|<>!", "")).alias("clean"), F.size(F.split("text", " ")).alias("words"))
+    text = table(s, d, "documents").select("doc_id", F.length(F.regexp_replace("text", "[#*$%&|<>!]+", "")).alias("clean"), F.size(F.split("text", " ")).alias("words"))
     rows = rows.join(text, "doc_id").join(splits.grouped_folds(rows, "source", 3).select(F.col("group").alias("source"), F.col("fold").alias("k")), "source")
-    done = learning.cross_validated(rows, ["length", "clean", "words"], "y", "k", trees=8, depth=4)
+    done = learning.cross_validated(rows.select("doc_id", "y", "length", "clean", "words", "k"), ["length", "clean", "words"], "y", "k", trees=8, depth=4)
     return policies.abstain(done.withColumn("label", F.col("prediction").cast("int").cast("string")), "confidence", "label", 0.55).select("doc_id", "y", "raw_label", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 
