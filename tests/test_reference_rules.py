@@ -157,3 +157,18 @@ def test_contexts_hold_their_edges_and_structure_without_meeting_others(spark):
     assert {(r["edge"], r["other"]) for r in graph.induced(edges, context).collect()} == {w[:2] for w in want}
     few, whole = (f(inside, ["image", "edge"]).toPandas().sort_values("edge").reset_index(drop=True) for f in (graph.structure_of_few, graph.structure))
     assert list(few.columns) == list(whole.columns) and few.round(9).equals(whole.astype(few.dtypes).round(9))
+
+
+def test_angles_at_a_hub_take_one_pass(spark):
+    """One row an angle and no frame that runs on to the end of its node, which costs the square of the node's branches."""
+    rng = np.random.default_rng(5)
+    angles = np.round(rng.uniform(-1e6, 1e6, 2000), 7)
+    rows = [(1, float(a)) for a in angles] + [(2, 7.25), (2, 7.25), (3, 359.999999999), (3, 0.0), (4, 10.0), (4, None), (4, float("nan"))]
+    got = graph.circular_spread(spark.createDataFrame(rows, "node int, angle double"), ["node"], "angle", 360)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan and "Generate" not in plan
+    x = np.abs(angles[:, None] - angles[None, :])[np.triu_indices(len(angles), 1)] % 360
+    d = np.minimum(x, 360 - x)
+    got = {r["node"]: tuple(r)[1:] for r in got.collect()}
+    assert got[1] == pytest.approx((d.min(), d.max(), d.mean(), d.std()), abs=1e-6)
+    assert got[2] == got[3] == (0, 0, 0, 0) and set(got) == {1, 2, 3}
