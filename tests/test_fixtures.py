@@ -171,6 +171,13 @@ def test_line_graph_of_two_edges(spark):
     assert sorted((r["src"], r["dst"]) for r in graph.line_graph(e).collect()) == [(0, 1), (1, 0)]
 
 
+def test_line_graph_of_edges_without_a_second_end(spark):
+    rows = [(1, 1, 10, None), (1, 2, 10, 11), (1, 3, 11, 10), (1, 4, None, 11), (1, 5, 10, 10), (1, 6, None, None), (1, 7, None, 10), (2, 8, 10, 11)]
+    got = graph.line_graph(spark.createDataFrame(rows, "image long, edge long, u long, v long")).collect()
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and {x for x in a[2:] if x} & {x for x in b[2:] if x}}
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_self_loop_counts_twice(spark):
     e = spark.createDataFrame([(1, 0, 5, 5)], "image long, edge long, u long, v long")
     assert graph.degrees(e).first()["degree"] == 2
