@@ -151,3 +151,24 @@ def test_nearest_seeds_of_small_images_are_found_in_one_pass(spark):
     got = tiles.nearest(spark.createDataFrame(mask, "image long, row int, col int"), spark.createDataFrame(seeds, "image long, row int, col int, seed long"))
     assert sorted(((r["image"], r["row"], r["col"], r["d2"], r["seed"]) for r in got.collect()), key=str) == want
     assert time.monotonic() - started < 20
+
+
+def test_images_stay_in_one_task_where_a_join_turns_into_a_broadcast(spark):
+    """As in the catalogue: a join by image is planned as a merge and run as a broadcast, which leaves its shuffle where it lies."""
+    mask = [(k, r, c) for k in range(3000) for r, c in ((2, 2), (2, 3), (3, 2), (3, 3), (4, 4))] + [(5000, 0, 0), (5000, 300, 2)]
+    seeds = [(k, 0, 0, k) for k in range(3000)] + [(5000, 150, 1, 4)]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.sources.fileCompressionFactor")
+    before = [spark.conf.get(n) for n in names]
+    sized(spark)
+    try:
+        at = spark.createDataFrame(mask, "image long, row int, col int")
+        got = tiles.nearest(at, spark.createDataFrame(seeds, "image long, row int, col int, seed long")).collect()
+        thin = tiles.thinned(at).collect()
+    finally:
+        for n, value in zip(names, before, strict=True):
+            spark.conf.set(n, value)
+    assert all(r["seed"] == (4 if r["image"] == 5000 else r["image"]) for r in got) and len(got) == len(mask)
+    left = {}
+    for r in thin:
+        left.setdefault(r["image"], set()).add((r["row"], r["col"]))
+    assert len({frozenset(left[k]) for k in range(3000)}) == 1 and left[5000] == {(0, 0), (300, 2)}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import kernels, raster
 from weft.operators.raster import PIXEL
-from weft.session import stored
+from weft.session import dealt, stored
 
 #: Side of tiles, steps of thinning between two exchanges (a multiple of 4), rows or columns of one band.
 TILE = 256
@@ -150,7 +150,7 @@ def _thinned_whole(mask: DataFrame) -> DataFrame:
         k, row, col = kernels.thin_all(number, frame["row"].to_numpy(np.int64), frame["col"].to_numpy(np.int64))
         return pd.DataFrame({"image": image[first][k], "row": row.astype("i4"), "col": col.astype("i4")})
 
-    return mask.repartition("image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int")
+    return dealt(mask, "image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int")
 
 
 def _thinned_tiles(mask: DataFrame, side: int, halo: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _nearest_whole(mask: DataFrame, seeds: DataFrame) -> DataFrame:
         return pd.DataFrame({"image": image[asks], "row": row[asks].astype("i4"), "col": col[asks].astype("i4"), "seed": whole(seed), "d2": whole(d2)})
 
     rows = mask.withColumns({"seed": F.lit(0).cast("long"), "asks": F.lit(True)}).unionByName(seeds.withColumn("asks", F.lit(False)))
-    return rows.repartition("image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int, seed long, d2 long")
+    return dealt(rows, "image").sortWithinPartitions("image").mapInPandas(run, f"image {kernels._kind(mask, 'image')}, row int, col int, seed long, d2 long")
 
 
 def _nearest_bands(mask: DataFrame, seeds: DataFrame, band: int) -> DataFrame:

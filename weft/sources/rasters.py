@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from weft.operators.discovery import stem
-from weft.session import stored
+from weft.session import dealt, stored
 
 #: Bytes that one task reads at least, unless there are fewer, and pixels in one batch.
 BAND_BYTES = 32 << 20
@@ -301,7 +301,7 @@ def write_planes(pixels: DataFrame, frames: DataFrame, path: str, values: tuple
     flat = F.flatten(F.transform("cells", lambda x: F.array(*(x[f"__{k}"] for k in range(len(values))))))
     rows = frames.select(F.col("image").cast("string").alias("image"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")).join(lines, "image", "left")
     rows = rows.select("image", "height", "width", F.col("row").cast("int").alias("row"), F.transform("cells", lambda x: x["col"].cast("int")).alias("cols"), flat.alias("values"))
-    out = rows.repartition("image").sortWithinPartitions("image", "row")
+    out = dealt(rows, "image").sortWithinPartitions("image", "row")
     registered(pixels.sparkSession)
     out.write.format("raster_files").mode("append").options(path=path, kind=kind, dtype=dtype, channels=len(values), empty=empty, suffix=suffix).save()
 
