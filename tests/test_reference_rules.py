@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import features, graph, labels, policies
 from weft.plans import relations
+from weft.plans.catalogue import QUERIES
 
 EDGES = "image string, edge long, u long, v long, raw_label string, predicted_label string"
 
@@ -144,6 +145,33 @@ def test_contexts_within_a_radius_are_those_of_a_search(spark):
     assert {(r["edge"], r["node"]): r["hop"] for r in graph.khop(edges, 2, middles, places, 15.0).collect()} == want
 
 
+def test_contexts_without_a_radius_are_whole(spark, sf_dir):
+    """Two steps along edges between two kinds of nodes, which are taken by node, and along others; no place bounds those of the queries."""
+    rng = random.Random(4)
+    two = [(k % 3, k, 2 * rng.randrange(40), 2 * rng.randrange(12) + 1) for k in range(200)] + [(0, 900, 0, 1), (0, 901, 0, 1), (7, 902, 500, 501)]
+    mixed = [(0, k, rng.randrange(60), rng.choice([0, rng.randrange(60)])) for k in range(150)]
+    rows = [tuple(r) for r in relations.edges(spark, sf_dir).select("image", "edge", "u", "v").collect()]
+    some = {e for _, e, _, _ in rows[::97]}
+    found = QUERIES["khop_context"](spark, sf_dir).filter(F.col("edge").isin(*some))
+    schema = "image long, edge long, u long, v long"
+    made = [(ends, graph.khop(spark.createDataFrame(ends, schema), 2)) for ends in (two, mixed)]
+    for ends, got in [*made, (rows, found)]:
+        near = defaultdict(set)
+        for image, _, u, v in ends:
+            near[image, u].add(v)
+            near[image, v].add(u)
+        want = []
+        for image, k, u, v in ends:
+            if ends is rows and k not in some:
+                continue
+            hop, front = {u: 0, v: 0}, {u, v}
+            for h in (1, 2):
+                front = {m for n in front for m in near[image, n]} - hop.keys()
+                hop |= dict.fromkeys(front, h)
+            want += [(image, k, n, h) for n, h in hop.items()]
+        assert sorted((r["image"], r["edge"], r["node"], r["hop"]) for r in got.collect()) == sorted(want)
+
+
 def test_contexts_hold_their_edges_and_structure_without_meeting_others(spark):
     """Edges inside contexts of more nodes than there are bits, and their structure counted in one pass as in several."""
     ends = [(k, k * 13 % 90, k * 31 % 90) for k in range(300)] + [(300, 5, 5), (301, 5, 5), (302, 0, 0)]
