@@ -172,6 +172,27 @@ def test_contexts_without_a_radius_are_whole(spark, sf_dir):
         assert sorted((r["image"], r["edge"], r["node"], r["hop"]) for r in got.collect()) == sorted(want)
 
 
+def test_local_structure_is_that_of_whole_contexts(spark, sf_dir):
+    """Summed by node and by cycles of four as from contexts that are written out, with parallel edges and lengths that are missing."""
+    by = ["image", "edge"]
+    for seed, (us, vs, many) in enumerate([(30, 8, 120), (10, 10, 60), (5, 40, 120)]):
+        rng = random.Random(seed)
+        length = lambda: rng.uniform(1, 1e5) if seed % 2 else rng.choice([None, 5.0, 5.0, 1e4])  # noqa: B023, E731
+        rows = [(rng.randrange(2), k, 2 * rng.randrange(us), 2 * rng.randrange(vs) + 1, length()) for k in range(many)]
+        edges = spark.createDataFrame(rows, "image long, edge long, u long, v long, length double")
+        inside = graph.induced(edges, graph.khop(edges, 1), ("u", "v", "length"))
+        got, want = (x.toPandas().sort_values(by).reset_index(drop=True).astype(float) for x in (graph.local_structure(edges), graph.structure(inside, by)))
+        assert list(got.columns) == list(want.columns) and len(got) == many
+        assert np.allclose(got, want, atol=1e-6, equal_nan=True)
+    near, ends = defaultdict(set), {}
+    for r in relations.edges(spark, sf_dir).select("edge", "u", "v").collect():
+        near[r["u"]].add(r["v"])
+        near[r["v"]].add(r["u"])
+        ends[r["edge"]] = (r["u"], r["v"])
+    nodes = {r["edge"]: r["nodes"] for r in QUERIES["local_structure"](spark, sf_dir).collect()}
+    assert nodes == {e: len({u, v} | near[u] | near[v]) for e, (u, v) in ends.items()}
+
+
 def test_contexts_hold_their_edges_and_structure_without_meeting_others(spark):
     """Edges inside contexts of more nodes than there are bits, and their structure counted in one pass as in several."""
     ends = [(k, k * 13 % 90, k * 31 % 90) for k in range(300)] + [(300, 5, 5), (301, 5, 5), (302, 0, 0)]
