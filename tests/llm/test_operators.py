@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -643,6 +644,20 @@ def test_nearest_recall_and_scores(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_nearest_opens_most_lists_in_bounded_batches():
+    """Vectors without clusters open most lists: what 300 of them take along was one batch of all their rows."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    index = nearest.Index(x, 1200, 5)
+    index.ratio = 100.0
+    asked = pa.RecordBatch.from_arrays([pa.array(list(x[:300])), pa.array(range(300))], ["v", "query_id"])
+    got = list(nearest._deal(iter([asked.slice(0, 0), asked]), index, "opened", ["v", "query_id"]))
+    want = sorted(zip(*(a.tolist() for a in index.opened(nearest._unit(x[:300]))), strict=True))
+    assert len(want) > 300 * 1000 and max(b.nbytes for b in got) < 2 * nearest.ROOM
+    assert sorted((q, li) for b in got for q, li in zip(b["query_id"].to_pylist(), b["list"].to_pylist(), strict=True)) == want
+    assert got[-1]["v"][0].as_py() == x[got[-1]["query_id"][0].as_py()].tolist()
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), (8, [1.0]), (None, [1.0, 2.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (100, []), (9, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("ids", F.lit(1)).withColumn("query_id", F.lit(1))

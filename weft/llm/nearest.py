@@ -38,6 +38,10 @@ CHUNK = 4096
 #: Parts that the rows of one vector are dealt in, and how far off a rough score may be.
 PARTS = 64
 ROUGH = 1e-9
+#: Most bytes of vectors in a batch that is given out, and most cells of a table of queries and lists. A query may open most of
+#: the lists, each of which takes its vector along.
+ROOM = 4 << 20
+CELLS = 1 << 20
 K = 5
 
 
@@ -157,19 +161,31 @@ class Index:
             beam *= 4
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of a matrix, without a Python number for each component."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _deal(batches, index: Index, pick: str, columns: list[str]):
+    """Batches' rows once for each list that ``pick`` names, with the list, in batches of at most ``ROOM`` bytes of vectors."""
+    few = max(1, min(512, CELLS // len(index.centroids)))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _matrix(batch.column("v"))
+        many = max(1, ROOM // (8 * x.shape[1]))
+        for at in range(0, len(x), few):
+            row, lists = getattr(index, pick)(_unit(x[at : at + few]))
+            for k in range(0, len(row), many):
+                taken = batch.take(pa.array(row[k : k + many] + at))
+                yield pa.RecordBatch.from_arrays([pa.array(lists[k : k + many].astype("i4")), *taken.columns], ["list", *columns])
+
+
 def _dealt(rows: DataFrame, index, pick: str, columns: list[str]) -> DataFrame:
     """rows once for each list that ``pick`` names, with the list."""
     schema = "list int, " + ", ".join(f"{c} {t}" for c, t in rows.select(*columns).dtypes)
-
-    def deal(batches):
-        for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), float)
-            for at in range(0, len(x), 512):
-                row, lists = getattr(index.value, pick)(_unit(x[at : at + 512]))
-                taken = batch.take(pa.array(row + at))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype("i4")), *taken.columns], ["list", *columns])
-
-    return rows.select(*columns).mapInArrow(deal, schema)
+    return rows.select(*columns).mapInArrow(lambda batches: _deal(batches, index.value, pick, columns), schema)
 
 
 def _best(k: int):
@@ -178,7 +194,7 @@ def _best(k: int):
         kinds = [pa.int64(), pa.int64(), pa.float64()]
         if not stored_in.num_rows or not asked.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        x, q = (scaled(np.array(t.column("v").to_pylist(), float)) for t in (stored_in, asked))
+        x, q = (scaled(_matrix(t.column("v"))) for t in (stored_in, asked))
         norms = lambda a: np.sqrt((a * a).sum(axis=1))
         nx, nq = norms(x), norms(q)
         ids, queries, out = stored_in.column("ids").to_pylist(), asked.column("query_id").to_pylist(), []
