@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_fixtures import line, pixels
 from weft.operators import gaps, skeleton_graph
+from weft.plans.catalogue import QUERIES
 
 
 def scores(spark, points, inside, value, images=(1,)):
@@ -84,6 +85,13 @@ def test_near_points_are_found_by_their_places(spark):
     assert pairs.count() == pairs.filter("a < b and distance = 0").count() == 3000 * 2999 // 2
 
 
+def test_segments_are_made_once_for_two_places(spark, sf_dir):
+    """Below the rows of nodes, not for each pair of them."""
+    lines = QUERIES["gap_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [n for n, line in enumerate(lines) if "transform(" in line]
+    assert len(made) == 1 and made[0] > max(n for n, line in enumerate(lines) if "Generate explode(points" in line)
+
+
 def test_noise_labels_the_mask_alone(spark, monkeypatch):
     """The skeleton takes the mask's components; its own would be thrown away."""
     calls, labelled = [], gaps.raster.labelled
