@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_fixtures import line, pixels
-from weft.operators import gaps, skeleton_graph
+from weft.operators import gaps, graph, skeleton_graph
 from weft.plans.catalogue import QUERIES
 
 
@@ -85,6 +85,15 @@ def test_near_points_are_found_by_their_places(spark):
     assert pairs.count() == pairs.filter("a < b and distance = 0").count() == 3000 * 2999 // 2
 
 
+def test_pairs_do_not_depend_on_the_size_of_blocks(spark):
+    """Small blocks give each pair of a heap once, as large ones do, and few pairs to two of them."""
+    heap = spark.range(300).select(F.lit(0).alias("image"), F.col("id").alias("point"), (F.col("id") % 3).alias("row"), F.lit(4).alias("col"))
+    blocks = graph.near_places(heap, 1.0, graph.SMALL_BLOCK)
+    assert blocks.selectExpr("max(size(points) * size(points2))").first()[0] == graph.SMALL_BLOCK**2
+    got = sorted(map(tuple, graph.points_of(blocks).select("a", "b", "distance").collect()))
+    assert got == [(a, b, float(abs(a % 3 - b % 3))) for a in range(300) for b in range(a + 1, 300) if abs(a % 3 - b % 3) < 2]
+
+
 def test_segments_are_made_once_for_two_places(spark, sf_dir):
     """Below the rows of nodes, not for each pair of them."""
     lines = QUERIES["gap_segments"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
