@@ -146,3 +146,30 @@ def test_forests_of_folds_make_their_rows_once(spark):
     done = learning.cross_validated(rows, ["x"], "y", "fold", trees=3, depth=2).collect()
     assert len(done) == 90 and all(r["prediction"] == r["y"] for r in done)
     assert made.value == 90
+
+
+def test_ends_meet_the_nodes_before_they_are_made_distinct(spark):
+    """Equal ends are told apart among those without a node only; repeated edges, loops and missing values are given once each."""
+    edges = [(1, 1, 10, 11), (1, 1, 10, 11), (1, 1, 12, 11), (1, 2, 12, 12), (1, 3, None, 12), (1, 4, None, None), (None, 5, 10, 12), (2, None, 10, 12), (2, 6, 11, 13), (2, 6, 11, 13)]
+    nodes = [(1, 10), (1, 10), (2, 12), (None, 10), (2, None)]
+    got = graph.validate(spark.createDataFrame(edges, "image long, edge long, u long, v long"), spark.createDataFrame(nodes, "image long, node long"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Join LeftAnti") :]
+    known = {n for n in nodes if None not in n}
+    want = {(i, e, n, "missing node") for i, e, *ends in edges for n in ends if (i, n) not in known}
+    rows = [tuple(r) for r in got.select("image", "edge", "node", "problem").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert graph.validate(spark.createDataFrame([], "image long, edge long, u long, v long"), spark.createDataFrame(nodes, "image long, node long")).count() == 0
+
+
+def test_messages_are_capped_and_counted_from_ends_that_met_the_nodes_once(spark):
+    """The lists and the counts share what validate has dealt; empty messages are counted, not listed."""
+    edges = spark.createDataFrame([(image, k, k % 7, 50 + k % 3) for image in (1, 2, None) for k in range(40)], "image long, edge long, u long, v long")
+    bad = graph.validate(edges, spark.createDataFrame([(1, n) for n in range(7)] + [(2, n) for n in (*range(6), 50, 51)], "image long, node long"))
+    bad = bad.withColumn("message", F.when(F.col("node") > 6, F.concat_ws(" ", "edge", "node")).otherwise(F.concat(F.lit("x"), F.col("edge").cast("string"))))
+    said = graph.capped_messages(bad.withColumn("message", F.nullif("message", F.lit("x6"))), "image", "message", 3)
+    got = {r["image"]: (r["n"], r["messages"]) for r in said.collect()}
+    first = [f"{k} {50 + k % 3}" for k in (0, 1, 10)]
+    assert got == {1: (40, first), 2: (13 + 5, ["11 52", "14 52"])}
+    plan = said._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("LeftAnti") == 1
